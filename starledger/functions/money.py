@@ -32,8 +32,10 @@ def scaled(x: Column | str, scale: int) -> Column:
 
 
 def mln_units(total: Column | str) -> Column:
-    """``ROUND(total / 1e6, 2)`` as an exact integer count of 0.01 million."""
-    return (F.round(_c(total).cast("decimal(38,4)"), -4) / F.lit(10_000)).cast("decimal(38,0)")
+    """``ROUND(total / 1e6, 2)`` as an exact integer count of 0.01 million.
+
+    ``total`` must be DECIMAL (cast integer sums to DECIMAL(38,0) first)."""
+    return (F.round(_c(total), -4) / F.lit(10_000)).cast("decimal(38,0)")
 
 
 def mln(total: Column | str) -> Column:

@@ -39,7 +39,7 @@ def customer_value_segments(m: SalesModel, high: int = 100_000_000, medium: int
 def top_products_quantity(m: SalesModel, n: int = 10) -> DataFrame:
     s = m.fact_sales_monthly.select("product_code", "sold_quantity")
     agg = s.join(m.dim_product.select("product_code", "product"), "product_code").groupBy("product").agg(
-        mln_units(F.sum("sold_quantity")).alias("_u")
+        mln_units(F.sum("sold_quantity").cast("decimal(38,0)")).alias("_u")
     )
     return top_n(agg, [F.col("_u").desc(), "product"], n).select("product", _units_to_mln().alias("qty_sold_mln"))
 
