@@ -43,8 +43,8 @@ def _orders(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(f"{base.rstrip('/')}/orders.parquet").select("o_orderkey", "o_orderdate")
 
 
-def _act(m: SalesModel) -> DataFrame:
-    return supply.act_est(m)
+def _act(m: SalesModel, *years: int) -> DataFrame:
+    return supply.act_est(m, years or None)
 
 
 REPORTS: dict[str, Report] = {
@@ -92,13 +92,13 @@ REPORTS: dict[str, Report] = {
     "act_est_build": lambda s, b, m: _act(m),
     "session_log_ingest": lambda s, b, m: supply.session_log_ingest(read_events(s, b)),
     "session_log_purge": lambda s, b, m: supply.purge_logs(supply.session_log_ingest(read_events(s, b)), P.log_as_of, P.log_days),
-    "forecast_accuracy": lambda s, b, m: supply.forecast_accuracy(_act(m), m.dim_customer, P.fiscal_year),
-    "forecast_accuracy_proc": lambda s, b, m: supply.forecast_accuracy(_act(m), m.dim_customer, P.prev_fiscal_year),
+    "forecast_accuracy": lambda s, b, m: supply.forecast_accuracy(_act(m, P.fiscal_year), m.dim_customer, P.fiscal_year),
+    "forecast_accuracy_proc": lambda s, b, m: supply.forecast_accuracy(_act(m, P.prev_fiscal_year), m.dim_customer, P.prev_fiscal_year),
     "act_est_typed": lambda s, b, m: supply.act_est_typed(_act(m)),
-    "forecast_accuracy_temp": lambda s, b, m: supply.forecast_accuracy_table(_act(m), m.dim_customer, P.fiscal_year),
-    "forecast_accuracy_rounded": lambda s, b, m: supply.forecast_accuracy_table(_act(m), m.dim_customer, P.fiscal_year, round_pct=True),
-    "forecast_accuracy_rounded_prev": lambda s, b, m: supply.forecast_accuracy_table(_act(m), m.dim_customer, P.prev_fiscal_year, round_pct=True),
-    "forecast_accuracy_drop": lambda s, b, m: supply.forecast_accuracy_drop(_act(m), m.dim_customer, P.prev_fiscal_year, P.fiscal_year),
+    "forecast_accuracy_temp": lambda s, b, m: supply.forecast_accuracy_table(_act(m, P.fiscal_year), m.dim_customer, P.fiscal_year),
+    "forecast_accuracy_rounded": lambda s, b, m: supply.forecast_accuracy_table(_act(m, P.fiscal_year), m.dim_customer, P.fiscal_year, round_pct=True),
+    "forecast_accuracy_rounded_prev": lambda s, b, m: supply.forecast_accuracy_table(_act(m, P.prev_fiscal_year), m.dim_customer, P.prev_fiscal_year, round_pct=True),
+    "forecast_accuracy_drop": lambda s, b, m: supply.forecast_accuracy_drop(_act(m, P.prev_fiscal_year, P.fiscal_year), m.dim_customer, P.prev_fiscal_year, P.fiscal_year),
     # E. focus market
     "fm_top_products": lambda s, b, m: market.fm_top_products(m, P.market, 10),
     "fm_top_categories": lambda s, b, m: market.fm_top_categories(m, P.market, 10),

@@ -20,8 +20,13 @@ def fiscal_year_of_date(orders: DataFrame) -> DataFrame:
 
 def _customer_year(m: SalesModel, customer_code: int, fy: int) -> DataFrame:
     s = m.fact_sales_monthly.select("date", "fiscal_year", "product_code", "customer_code", "sold_quantity")
-    # fiscal_year(date) = fy as a date range: pushed into the scan.
-    return s.filter((F.col("customer_code") == customer_code) & in_fiscal_year("date", fy))
+    return s.filter((F.col("customer_code") == customer_code) & _in_year(fy))
+
+
+def _in_year(fy: int) -> F.Column:
+    """``fiscal_year(date) = fy`` as a date range (pushed into the Parquet scan) plus the
+    equal ``fiscal_year`` column test (directory pruning on a stored, partitioned star)."""
+    return in_fiscal_year("date", fy) & (F.col("fiscal_year") == fy)
 
 
 def customer_fy_transactions(m: SalesModel, customer_code: int, fy: int) -> DataFrame:
@@ -72,7 +77,7 @@ def monthly_gross_sales_customers(m: SalesModel, customer_codes: Sequence[int])
 def market_badge(m: SalesModel, fy: int, market: str = "India", threshold: int = 5_000_000) -> DataFrame:
     """Gold when the market's fiscal-year quantity exceeds ``threshold``, else Silver
     (also Silver when the market sold nothing). One row."""
-    s = m.fact_sales_monthly.select("customer_code", "date", "sold_quantity").filter(in_fiscal_year("date", fy))
+    s = m.fact_sales_monthly.select("customer_code", "date", "fiscal_year", "sold_quantity").filter(_in_year(fy))
     c = m.dim_customer.select("customer_code", "market").filter(F.col("market") == (market or "India"))
     qty = s.join(c, "customer_code").agg(F.sum("sold_quantity").alias("total_qty"))
     return qty.select(
@@ -85,7 +90,7 @@ def market_badge(m: SalesModel, fy: int, market: str = "India", threshold: int =
 
 def market_badges(m: SalesModel, fy: int, threshold: int = 5_000_000) -> DataFrame:
     """Badge for every market in one aggregation."""
-    s = m.fact_sales_monthly.select("customer_code", "date", "sold_quantity").filter(in_fiscal_year("date", fy))
+    s = m.fact_sales_monthly.select("customer_code", "date", "fiscal_year", "sold_quantity").filter(_in_year(fy))
     c = m.dim_customer.select("customer_code", "market")
     return s.join(c, "customer_code").groupBy("market").agg(F.sum("sold_quantity").alias("total_qty")).select(
         "market", F.lit(fy).alias("fiscal_year"), "total_qty",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,29 +11,27 @@ from pyspark.sql import functions as F
 from starledger.functions.dates import fiscal_year
 from starledger.functions.money import double_ratio, exact_round_units
 from starledger.sources.logs import session_logs_from_events
-from starledger.sources.star import SalesModel
+from starledger.sources.star import SalesModel, integrate_act_est
 
-ACT_EST_KEYS = ["date", "product_code", "customer_code"]
 ACT_EST_COLS = ["date", "fiscal_year", "product_code", "customer_code", "sold_quantity", "forecast_quantity"]
 
 
-def act_est(m: SalesModel) -> DataFrame:
-    """fact_act_est: every (month, product, customer) with sales and/or forecast, gaps = 0.
+def act_est(m: SalesModel, fiscal_years: Sequence[int] | None = None) -> DataFrame:
+    """fact_act_est, optionally restricted to some fiscal years.
 
-    One full outer join replaces the reference's LEFT JOIN UNION ALL anti-branch
-    (same rows because the keys are never NULL): one shuffle per side instead of
-    two joins.
+    A stored table is read with a partition filter. Otherwise it is derived;
+    the fiscal year is a function of the join key ``date``, so the year filter
+    is applied to both facts *before* the full outer join (Catalyst cannot push
+    a filter on a computed column through a full outer join).
     """
-    s = m.fact_sales_monthly.select(*ACT_EST_KEYS, "sold_quantity")
-    f = m.fact_forecast_monthly.select(*ACT_EST_KEYS, "forecast_quantity")
-    return s.join(f, ACT_EST_KEYS, "full").select(
-        "date",
-        fiscal_year("date").alias("fiscal_year"),
-        "product_code",
-        "customer_code",
-        F.coalesce(F.col("sold_quantity"), F.lit(0)).cast("bigint").alias("sold_quantity"),
-        F.coalesce(F.col("forecast_quantity"), F.lit(0)).cast("bigint").alias("forecast_quantity"),
-    )
+    if m.fact_act_est is not None:
+        act = m.fact_act_est.select(*ACT_EST_COLS)
+        return act if fiscal_years is None else act.filter(F.col("fiscal_year").isin(list(fiscal_years)))
+    s, f = m.fact_sales_monthly, m.fact_forecast_monthly
+    if fiscal_years is not None:
+        s = s.filter(F.col("fiscal_year").isin(list(fiscal_years)))
+        f = f.filter(F.col("fiscal_year").isin(list(fiscal_years)))
+    return integrate_act_est(s, f)
 
 
 def act_est_typed(act: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ STAR_TABLES = (
 )
 
 # Facts partitioned on disk by fiscal year (the reports' most common filter).
-FY_PARTITIONED = ("fact_sales_monthly", "fact_gross_price", "fact_pre_invoice_deductions", "fact_forecast_monthly")
+FY_PARTITIONED = ("fact_sales_monthly", "fact_gross_price", "fact_pre_invoice_deductions", "fact_forecast_monthly", "fact_act_est")
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,8 @@ class SalesModel:
     fact_pre_invoice_deductions: DataFrame
     fact_post_invoice_deductions: DataFrame
     fact_forecast_monthly: DataFrame
+    # Materialised actual-vs-forecast table (None: derived on demand from the facts).
+    fact_act_est: DataFrame | None = None
 
     def replace(self, **tables: DataFrame) -> "SalesModel":
         return dataclasses.replace(self, **tables)
@@ -65,23 +67,36 @@ class SalesModel:
 # --------------------------------------------------------------------------- stored star
 
 
-def load_star(spark: SparkSession, path: str) -> SalesModel:
+def load_star(spark: SparkSession, path: str, with_act_est: bool = True) -> SalesModel:
     """Read a stored star (one Parquet folder per table, as written by ``write_star``)."""
     path = path.rstrip("/")
-    return SalesModel(**{t: spark.read.parquet(f"{path}/{t}") for t in STAR_TABLES})
+    model = SalesModel(**{t: spark.read.parquet(f"{path}/{t}") for t in STAR_TABLES})
+    if with_act_est:
+        try:
+            model = model.replace(fact_act_est=spark.read.parquet(f"{path}/fact_act_est"))
+        except Exception:  # noqa: BLE001 - no materialised act_est in this star
+            pass
+    return model
 
 
 def write_star(model: SalesModel, path: str) -> None:
     """Write every table under ``path``; fiscal-year facts are partitioned by ``fiscal_year``
     and clustered by customer inside each partition (row-group pruning on customer filters)."""
     path = path.rstrip("/")
-    for name, df in model.tables().items():
-        writer_df = df
+    tables = model.tables()
+    tables["fact_act_est"] = model.fact_act_est if model.fact_act_est is not None else integrate_act_est(
+        model.fact_sales_monthly, model.fact_forecast_monthly
+    )
+    for name, df in tables.items():
         if name in FY_PARTITIONED:
-            writer_df = df.repartition("fiscal_year").sortWithinPartitions("customer_code" if "customer_code" in df.columns else "product_code")
-            writer_df.write.mode("overwrite").partitionBy("fiscal_year").parquet(f"{path}/{name}")
+            # Range-partition on (fiscal_year, clustering key): a fiscal year is spread
+            # over many tasks/files (no single writer per year), each file covers a
+            # narrow customer range, so customer filters skip row groups.
+            key = "customer_code" if "customer_code" in df.columns else "product_code"
+            clustered = df.repartitionByRange("fiscal_year", key).sortWithinPartitions("fiscal_year", key)
+            clustered.write.mode("overwrite").partitionBy("fiscal_year").parquet(f"{path}/{name}")
         else:
-            writer_df.write.mode("overwrite").parquet(f"{path}/{name}")
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def materialize_star(spark: SparkSession, model: SalesModel, path: str | None = None) -> SalesModel:
@@ -95,6 +110,29 @@ def materialize_star(spark: SparkSession, model: SalesModel, path: str | None =
     return load_star(spark, target)
 
 
+# --------------------------------------------------------------------------- integration
+
+ACT_EST_KEYS = ["date", "product_code", "customer_code"]
+
+
+def integrate_act_est(fact_sales: DataFrame, fact_forecast: DataFrame) -> DataFrame:
+    """fact_act_est: every (month, product, customer) with sales and/or forecast, gaps = 0.
+
+    One full outer join replaces the LEFT JOIN UNION ALL anti-branch of the
+    reference (same rows, as the keys are never NULL): one shuffle per side.
+    """
+    s = fact_sales.select(*ACT_EST_KEYS, "sold_quantity")
+    f = fact_forecast.select(*ACT_EST_KEYS, "forecast_quantity")
+    return s.join(f, ACT_EST_KEYS, "full").select(
+        "date",
+        fiscal_year("date").alias("fiscal_year"),
+        "product_code",
+        "customer_code",
+        F.coalesce(F.col("sold_quantity"), F.lit(0)).cast("bigint").alias("sold_quantity"),
+        F.coalesce(F.col("forecast_quantity"), F.lit(0)).cast("bigint").alias("forecast_quantity"),
+    )
+
+
 # --------------------------------------------------------------------------- derivation
 
 
