@@ -5,6 +5,6 @@ as composable views, parameterised reports, and incremental maintenance jobs,
 all expressed with the DataFrame API so Catalyst/AQE plan the execution.
 """
 
-from starledger.sources.star import SalesModel, derive_star, load_star, materialize_star
+from starledger.sources.star import SalesModel, build_star, derive_star, load_star, materialize_star
 
-__all__ = ["SalesModel", "derive_star", "load_star", "materialize_star"]
+__all__ = ["SalesModel", "build_star", "derive_star", "load_star", "materialize_star"]

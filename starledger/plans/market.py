@@ -12,6 +12,7 @@ from starledger.functions.money import exact_round_ratio, scaled
 from starledger.operators.ranking import top_n, top_n_per_group
 from starledger.operators.shares import grand_total
 from starledger.plans.views import revenue_star
+from starledger.session import cut_lineage
 from starledger.sources.star import SalesModel
 
 OTHER_MARKETS = "Other Markets"
@@ -93,7 +94,7 @@ def fm_category_frequency(m: SalesModel, market: str, n: int = 15) -> DataFrame:
 
 
 def fm_category_sales_pct(m: SalesModel, market: str, n: int = 15) -> DataFrame:
-    agg = revenue_star(m, market).groupBy("category", "division").agg(_rev_total())
+    agg = cut_lineage(revenue_star(m, market).groupBy("category", "division").agg(_rev_total()))
     total = grand_total(agg, "_rev")
     out = agg.select(
         "category", "division",

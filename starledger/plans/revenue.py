@@ -10,6 +10,7 @@ from starledger.functions.money import double_ratio, gross_line_total, mln_units
 from starledger.operators.ranking import top_n, top_n_per_group
 from starledger.operators.shares import grand_total, with_group_total
 from starledger.plans import views
+from starledger.session import cut_lineage
 from starledger.sources.star import SalesModel
 
 
@@ -130,7 +131,9 @@ def top_n_customers_net_sales(m: SalesModel, market: str, fy: int, n: int) -> Da
 
 def customer_pct_net_sales(m: SalesModel, fy: int) -> DataFrame:
     """Share of each customer in the total of the *rounded* million figures."""
-    agg = _net_sales_by_customer(m, fy)
+    # The aggregate feeds both the rows and the total: store it once (one row per
+    # customer) instead of running the waterfall twice.
+    agg = cut_lineage(_net_sales_by_customer(m, fy))
     total = grand_total(agg, "_u")
     return agg.select(
         "customer",
@@ -140,7 +143,7 @@ def customer_pct_net_sales(m: SalesModel, fy: int) -> DataFrame:
 
 
 def _region_shares(m: SalesModel, fy: int, pct_col: str) -> DataFrame:
-    agg = _net_sales_by_customer(m, fy, with_region=True)
+    agg = cut_lineage(_net_sales_by_customer(m, fy, with_region=True))
     return with_group_total(agg, "_u", ["region"], "_ru").select(
         "customer", "region",
         (F.col("_u").cast("double") / 100.0).alias("net_sales_mln"),

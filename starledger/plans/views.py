@@ -16,13 +16,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starledger.functions.dates import in_fiscal_year
 from starledger.functions.money import gross_line_total, revenue
 from starledger.sources.star import SalesModel
 
 
 def _sales(m: SalesModel, fiscal_year: int | None = None) -> DataFrame:
     s = m.fact_sales_monthly.select("date", "fiscal_year", "product_code", "customer_code", "sold_quantity")
-    return s if fiscal_year is None else s.filter(F.col("fiscal_year") == fiscal_year)
+    if fiscal_year is None:
+        return s
+    # The stored fiscal_year prunes partitions; the equivalent date range is inferred
+    # through the ``date`` join key and prunes the month-partitioned deductions.
+    return s.filter((F.col("fiscal_year") == fiscal_year) & in_fiscal_year("date", fiscal_year))
 
 
 def _price(m: SalesModel) -> DataFrame:

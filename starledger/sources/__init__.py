@@ -1,5 +1,5 @@
 """Sources: the star model (stored, derived or materialised), dirty variants, session logs."""
 
-from starledger.sources.star import SalesModel, derive_star, load_star, materialize_star, write_star
+from starledger.sources.star import SalesModel, build_star, derive_star, load_star, materialize_star, write_star
 
-__all__ = ["SalesModel", "derive_star", "load_star", "materialize_star", "write_star"]
+__all__ = ["SalesModel", "build_star", "derive_star", "load_star", "materialize_star", "write_star"]

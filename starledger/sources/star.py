@@ -95,6 +95,11 @@ def write_star(model: SalesModel, path: str) -> None:
             key = "customer_code" if "customer_code" in df.columns else "product_code"
             clustered = df.repartitionByRange("fiscal_year", key).sortWithinPartitions("fiscal_year", key)
             clustered.write.mode("overwrite").partitionBy("fiscal_year").parquet(f"{path}/{name}")
+        elif name == "fact_post_invoice_deductions":
+            # Same grain as sales, no fiscal_year column: partition by month so a
+            # date range (inferred through the join key) prunes directories.
+            clustered = df.repartitionByRange("date", "customer_code").sortWithinPartitions("date", "customer_code")
+            clustered.write.mode("overwrite").partitionBy("date").parquet(f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -110,6 +115,20 @@ def materialize_star(spark: SparkSession, model: SalesModel, path: str | None =
     return load_star(spark, target)
 
 
+def build_star(spark: SparkSession, base: str, path: str | None = None) -> SalesModel:
+    """ETL: derive the star from the driver tables, store it, return the stored model.
+
+    The monthly sales grain (the one lineitem x orders join) is written first and
+    every fact is derived from the stored grain, so the big join runs once even
+    though each partitioned write samples and scans its input.
+    """
+    target = (path or shared_dir(spark, "star")).rstrip("/")
+    derive_sales_grain(spark, base).write.mode("overwrite").parquet(f"{target}/_sales_grain")
+    model = derive_star(spark, base, grain=spark.read.parquet(f"{target}/_sales_grain"))
+    write_star(model, target)
+    return load_star(spark, target)
+
+
 # --------------------------------------------------------------------------- integration
 
 ACT_EST_KEYS = ["date", "product_code", "customer_code"]
@@ -231,9 +250,12 @@ def gross_price_for_years(spark: SparkSession, base: str, fact_sales: DataFrame)
     )
 
 
-def derive_star(spark: SparkSession, base: str) -> SalesModel:
-    """Build the star from the TPC-H-like tables under ``base`` (lazy)."""
-    grain = derive_sales_grain(spark, base)
+def derive_star(spark: SparkSession, base: str, grain: DataFrame | None = None) -> SalesModel:
+    """Build the star from the TPC-H-like tables under ``base`` (lazy).
+
+    ``grain`` may be a stored copy of ``derive_sales_grain`` (see ``build_star``).
+    """
+    grain = grain if grain is not None else derive_sales_grain(spark, base)
     fact_sales = grain.select(
         "date", fiscal_year("date").alias("fiscal_year"), "product_code", "customer_code", "sold_quantity"
     )
