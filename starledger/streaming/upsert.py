@@ -8,9 +8,10 @@ Structured Streaming design:
 
 * source: a file stream of change rows (``maxFilesPerTrigger`` bounds a batch);
 * ``foreachBatch``: keep the newest change per key (``max_by`` on
-  ``ingest_seq``), read only the touched ``(fiscal_year, date)`` partitions of
-  the target (runtime partition pruning through a semi-join on the touched
-  months, a bounded set), full-outer merge, checkpoint the merged rows to the
+  ``ingest_seq``), read only the touched ``(fiscal_year, date, bucket)``
+  partitions of the target (customer-hash buckets inside a month; runtime
+  partition pruning through a semi-join on the touched set, which is bounded
+  by months x buckets), full-outer merge, checkpoint the merged rows to the
   shared checkpoint folder (so the write does not read the path it replaces),
   then overwrite just those partitions (dynamic partition overwrite);
 * the stream's own checkpoint makes batches exactly-once; re-running a batch
@@ -29,7 +30,14 @@ from starledger.session import cut_lineage, shared_dir
 KEYS = ["date", "product_code", "customer_code"]
 QUANTITIES = ("sold_quantity", "forecast_quantity")
 ACT_EST_COLS = ["date", "fiscal_year", "product_code", "customer_code", "sold_quantity", "forecast_quantity"]
-PARTITION_COLS = ["fiscal_year", "date"]
+PARTITION_COLS = ["fiscal_year", "date", "bucket"]
+# Customer-hash buckets inside a month: a micro-batch rewrites only the touched
+# (month, bucket) directories. Size so one directory holds ~1 GB at scale.
+DEFAULT_BUCKETS = 4
+
+
+def _bucket(buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64("customer_code"), F.lit(buckets)).cast("int")
 
 
 def change_schema(column: str) -> T.StructType:
@@ -69,9 +77,10 @@ def merge_changes(current: DataFrame, changes: DataFrame, column: str) -> DataFr
     ).select(*ACT_EST_COLS)
 
 
-def write_act_est(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_act_est(df: DataFrame, path: str, mode: str = "overwrite", buckets: int = DEFAULT_BUCKETS) -> None:
     (
         df.select(*ACT_EST_COLS)
+        .withColumn("bucket", _bucket(buckets))
         .repartition(*PARTITION_COLS)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
@@ -84,13 +93,14 @@ def read_act_est(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*ACT_EST_COLS)
 
 
-def upsert_batch(spark: SparkSession, target: str, batch: DataFrame, column: str) -> None:
+def upsert_batch(spark: SparkSession, target: str, batch: DataFrame, column: str, buckets: int = DEFAULT_BUCKETS) -> None:
     """Apply one micro-batch of changes to the partitioned table at ``target``."""
-    changes = latest_changes(batch, column).withColumn("fiscal_year", fiscal_year("date"))
-    touched = changes.select(*PARTITION_COLS).distinct()  # months touched: bounded by the calendar
-    current = read_act_est(spark, target).join(F.broadcast(touched), PARTITION_COLS, "left_semi")
-    merged = cut_lineage(merge_changes(current, changes.drop("fiscal_year"), column))
-    write_act_est(merged, target)
+    changes = latest_changes(batch, column).withColumn("fiscal_year", fiscal_year("date")).withColumn("bucket", _bucket(buckets))
+    # Directories touched: at most months x buckets, bounded by calendar and configuration.
+    touched = changes.select(*PARTITION_COLS).distinct()
+    current = spark.read.parquet(target).join(F.broadcast(touched), PARTITION_COLS, "left_semi").select(*ACT_EST_COLS)
+    merged = cut_lineage(merge_changes(current, changes.drop("fiscal_year", "bucket"), column))
+    write_act_est(merged, target, buckets=buckets)
 
 
 def run_upsert_stream(
@@ -100,6 +110,7 @@ def run_upsert_stream(
     column: str,
     checkpoint: str,
     files_per_batch: int = 1,
+    buckets: int = DEFAULT_BUCKETS,
 ) -> None:
     """Drain the change files under ``source_dir`` into ``target`` (availableNow trigger)."""
     stream = (
@@ -108,7 +119,7 @@ def run_upsert_stream(
         .parquet(source_dir)
     )
     query = (
-        stream.writeStream.foreachBatch(lambda df, _batch_id: upsert_batch(spark, target, df, column))
+        stream.writeStream.foreachBatch(lambda df, _batch_id: upsert_batch(spark, target, df, column, buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

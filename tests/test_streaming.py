@@ -29,3 +29,24 @@ def test_last_change_per_key_wins(spark):
     )
     merged = {(r.product_code, r.date): (r.sold_quantity, r.forecast_quantity) for r in merge_changes(current, latest_changes(changes, "sold_quantity"), "sold_quantity").collect()}
     assert merged == {(1, D(2021, 1, 1)): (7, 9), (2, D(2021, 2, 1)): (4, 0), (3, D(2021, 3, 1)): (2, 8)}
+
+
+def test_log_stream_applies_retention(spark, tmp_path):
+    import datetime as dt
+
+    from starledger.sources.logs import session_logs_from_rows
+    from starledger.streaming.purge import read_logs, run_log_stream
+
+    rows = [
+        ("2022-10-04 08:14:07", "898812", "523", "CLICKED | Courses Button"),
+        ("2022-10-14 08:18:35", "898812", "523", "NAVIGATE BACK | Python course page"),
+        ("2022-10-16 12:07:00", "965345", "523", "REVIEW GENERATED | Data analytics"),
+        ("2022-10-22 14:09:22", "188567", "707", "NEW LOGIN | New login"),
+        ("2022-10-22 18:10:06", "188567", "707", "COURSE PURCHASED | Data analytics"),
+    ]
+    src = str(tmp_path / "src")
+    session_logs_from_rows(spark, rows).repartition(2).write.parquet(src)
+    target = str(tmp_path / "logs")
+    run_log_stream(spark, src, target, str(tmp_path / "ckpt"), dt.date(2022, 10, 22), 5)
+    kept = read_logs(spark, target, dt.date(2022, 10, 22), 5).collect()
+    assert sorted(r.log for r in kept) == ["COURSE PURCHASED | Data analytics", "NEW LOGIN | New login"]
