@@ -32,8 +32,16 @@ QUANTITIES = ("sold_quantity", "forecast_quantity")
 ACT_EST_COLS = ["date", "fiscal_year", "product_code", "customer_code", "sold_quantity", "forecast_quantity"]
 PARTITION_COLS = ["fiscal_year", "date", "bucket"]
 # Customer-hash buckets inside a month: a micro-batch rewrites only the touched
-# (month, bucket) directories. Size so one directory holds ~1 GB at scale.
-DEFAULT_BUCKETS = 4
+# (month, bucket) directories. ``buckets_for`` sizes them from the table.
+DEFAULT_BUCKETS = 1
+ROWS_PER_DIRECTORY = 20_000_000
+
+
+def buckets_for(act: DataFrame, rows_per_directory: int = ROWS_PER_DIRECTORY) -> int:
+    """Bucket count so a (month, bucket) directory holds about ``rows_per_directory`` rows."""
+    row = act.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("date").alias("months")).first()
+    per_month = row.n / max(1, row.months)
+    return max(1, int(-(-per_month // rows_per_directory)))
 
 
 def _bucket(buckets: int) -> F.Column:
@@ -141,7 +149,8 @@ def replay_upserts(spark: SparkSession, initial: DataFrame, changes: DataFrame,
     return the final table. Work folders live under the shared checkpoint folder."""
     root = shared_dir(spark, f"upsert-{column}")
     target, source, ckpt = f"{root}/act_est", f"{root}/changes", f"{root}/_stream_checkpoint"
-    write_act_est(initial, target)
+    buckets = buckets_for(initial)
+    write_act_est(initial, target, buckets=buckets)
     stage_changes(changes, column, source, files)
-    run_upsert_stream(spark, source, target, column, ckpt)
+    run_upsert_stream(spark, source, target, column, ckpt, buckets=buckets)
     return read_act_est(spark, target)
