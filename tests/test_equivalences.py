@@ -56,3 +56,24 @@ def test_shares_sum_to_100(tiny_model):
     assert abs(pct - 100.0) < 1e-9
     by_region = revenue.customer_pct_by_region(tiny_model, P.fiscal_year).groupBy("region").agg(F.sum("pct_share_region").alias("t"))
     assert all(abs(r.t - 100.0) < 1e-9 for r in by_region.collect())
+
+
+def test_accuracy_cte_equals_temp_table(tiny_model):
+    act = supply.act_est(tiny_model, [P.fiscal_year])
+    a = supply.forecast_accuracy(act, tiny_model.dim_customer, P.fiscal_year).select(
+        "customer_code", "total_sold_qty", "total_forecast_qty", "net_err", "net_err_pct", "abs_err", "abs_err_pct", "forecast_accuracy"
+    )
+    b = supply.forecast_accuracy_table(act, tiny_model.dim_customer, P.fiscal_year).select(
+        "customer_code", "total_sold_qty", "total_forecast_qty", "net_error", "net_error_pct", "abs_error", "abs_error_pct", "forecast_accuracy"
+    )
+    assert _rows(a) == _rows(b)
+
+
+def test_segments_partition_customers(tiny_model):
+    from starledger.plans import advanced
+
+    seg = advanced.adv_customer_segments(tiny_model, P.market).collect()
+    customers = advanced.customer_stats(tiny_model, P.market).count()
+    assert sum(r.customer_count for r in seg) == customers
+    assert abs(sum(r.revenue_percentage for r in seg) - 100.0) <= 0.01 * len(seg)
+    assert {r.customer_segment for r in seg} <= {"High Value", "Medium Value", "Low Value"}
