@@ -16,6 +16,7 @@ Everything is lazy: building a model runs no Spark job.
 from __future__ import annotations
 
 import dataclasses
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +80,7 @@ def load_star(spark: SparkSession, path: str, with_act_est: bool = True) -> Sale
     return model
 
 
-def write_star(model: SalesModel, path: str) -> None:
+def write_star(model: SalesModel, path: str, parallel: int = 1) -> None:
     """Write every table under ``path``; fiscal-year facts are partitioned by ``fiscal_year``
     and clustered by customer inside each partition (row-group pruning on customer filters)."""
     path = path.rstrip("/")
@@ -87,7 +88,7 @@ def write_star(model: SalesModel, path: str) -> None:
     tables["fact_act_est"] = model.fact_act_est if model.fact_act_est is not None else integrate_act_est(
         model.fact_sales_monthly, model.fact_forecast_monthly
     )
-    for name, df in tables.items():
+    def write_one(name: str, df: DataFrame) -> None:
         if name in FY_PARTITIONED:
             # Range-partition on (fiscal_year, clustering key): a fiscal year is spread
             # over many tasks/files (no single writer per year), each file covers a
@@ -103,6 +104,12 @@ def write_star(model: SalesModel, path: str) -> None:
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
+    # The tables are independent; ``parallel > 1`` submits their jobs concurrently
+    # (useful when many small tables would leave a large cluster idle).
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        for future in [pool.submit(write_one, name, df) for name, df in tables.items()]:
+            future.result()
+
 
 def materialize_star(spark: SparkSession, model: SalesModel, path: str | None = None) -> SalesModel:
     """Write ``model`` to the shared checkpoint folder (or ``path``) and read it back.

@@ -19,6 +19,7 @@ def spark():
         SparkSession.builder.master("local[*]")
         .appName("starledger-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.maxMetadataStringLength", "2000")
