@@ -16,6 +16,8 @@ Everything is lazy: building a model runs no Spark job.
 from __future__ import annotations
 
 import dataclasses
+import os
+import threading
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -68,13 +70,23 @@ class SalesModel:
 # --------------------------------------------------------------------------- stored star
 
 
+def _read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{path}/{name}")
+    # Partition columns are typed explicitly (independent of partition type inference).
+    if name in FY_PARTITIONED:
+        df = df.withColumn("fiscal_year", F.col("fiscal_year").cast("int"))
+    elif name == "fact_post_invoice_deductions":
+        df = df.withColumn("date", F.col("date").cast("date"))
+    return df
+
+
 def load_star(spark: SparkSession, path: str, with_act_est: bool = True) -> SalesModel:
     """Read a stored star (one Parquet folder per table, as written by ``write_star``)."""
     path = path.rstrip("/")
-    model = SalesModel(**{t: spark.read.parquet(f"{path}/{t}") for t in STAR_TABLES})
+    model = SalesModel(**{t: _read_table(spark, path, t) for t in STAR_TABLES})
     if with_act_est:
         try:
-            model = model.replace(fact_act_est=spark.read.parquet(f"{path}/fact_act_est"))
+            model = model.replace(fact_act_est=_read_table(spark, path, "fact_act_est"))
         except Exception:  # noqa: BLE001 - no materialised act_est in this star
             pass
     return model
@@ -136,6 +148,20 @@ def build_star(spark: SparkSession, base: str, path: str | None = None) -> Sales
     return load_star(spark, target)
 
 
+_STARS: dict[tuple[str, str], SalesModel] = {}
+_STARS_LOCK = threading.Lock()
+
+
+def star_for(spark: SparkSession, base: str) -> SalesModel:
+    """The stored star for the driver tables under ``base``, built once per Spark
+    application (``build_star`` into the shared checkpoint folder) and reused."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(base))
+    with _STARS_LOCK:
+        if key not in _STARS:
+            _STARS[key] = build_star(spark, base)
+        return _STARS[key]
+
+
 # --------------------------------------------------------------------------- integration
 
 ACT_EST_KEYS = ["date", "product_code", "customer_code"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starledger.functions.dates import fiscal_year
-from starledger.sources.star import derive_star
+from starledger.sources.star import star_for
 from starledger.streaming.upsert import ACT_EST_COLS, replay_upserts
 
 
@@ -23,14 +23,18 @@ def _only(df: DataFrame, column: str) -> DataFrame:
     ).select(*ACT_EST_COLS)
 
 
+def _model(spark: SparkSession, sf_dir: str):
+    return star_for(spark, sf_dir)
+
+
 def act_est_upsert_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = derive_star(spark, sf_dir)
+    m = _model(spark, sf_dir)
     initial = _only(m.fact_forecast_monthly, "forecast_quantity")
     return replay_upserts(spark, initial, m.fact_sales_monthly, "sold_quantity")
 
 
 def act_est_upsert_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = derive_star(spark, sf_dir)
+    m = _model(spark, sf_dir)
     initial = _only(m.fact_sales_monthly, "sold_quantity")
     return replay_upserts(spark, initial, m.fact_forecast_monthly, "forecast_quantity")
 
