@@ -1,7 +1,6 @@
 import itertools
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

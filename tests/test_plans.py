@@ -2,7 +2,6 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_TINY
 
 from starledger.plans import finance, revenue, supply
