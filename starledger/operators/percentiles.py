@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_BUCKETS = 512
+
 
 def cume_dist_by_value(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
     """Distinct non-null ``value`` with ``cume_dist`` = fraction of rows with value <= it.
@@ -32,7 +34,9 @@ def cume_dist_by_value(df: DataFrame, value: str, buckets: int | None = None) ->
     NULLs sort first in an ascending window, so they count as lower than any value.
     """
     spark = df.sparkSession
-    buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Buckets bound both the per-value boundary scan and the window parallelism;
+    # a few hundred keep each bucket's window small without a long scan per value.
+    buckets = buckets or min(MAX_BUCKETS, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     probs = [i / buckets for i in range(1, buckets)]
     key = F.col(value).cast("double")
     # One scalar subquery: quantile boundaries (bounded sketch), row count, NULL count.
