@@ -79,3 +79,50 @@ def cume_dist_cutoffs(df: DataFrame, value: str, probs: Sequence[float]) -> list
     fields = [F.min(F.when(F.col("cume_dist") >= F.lit(float(p)), F.col(value))).alias(f"p{i}") for i, p in enumerate(probs)]
     packed = cd.agg(F.struct(*fields).alias("cut")).scalar()
     return [packed.getField(f"p{i}") for i in range(len(probs))]
+
+
+def cume_dist_cutoffs_many(df: DataFrame, specs: dict[str, Sequence[float]], as_type: str = "decimal(38,4)") -> dict[str, list[Column]]:
+    """``cume_dist_cutoffs`` for several columns in one pass.
+
+    The columns are stacked as ``(column id, value)`` rows (values cast to the
+    common exact type ``as_type``), so one sketch subquery and one cut-off
+    subquery serve all of them; the per-column work is partitioned by the
+    column id. Returns, per column, the cut-off scalars in ``specs`` order.
+    """
+    cols = list(specs)
+    spark = df.sparkSession
+    buckets = min(MAX_BUCKETS, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    probs = [i / buckets for i in range(1, buckets)]
+    stacked = df.select(
+        F.explode(F.array(*[F.struct(F.lit(i).alias("_k"), F.col(c).cast(as_type).alias("_v")) for i, c in enumerate(cols)])).alias("_s")
+    ).select("_s._k", "_s._v")
+
+    head = stacked.groupBy("_k").agg(
+        F.percentile_approx(F.col("_v").cast("double"), probs, 10_000).alias("bounds"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("_v").isNull()).alias("nulls"),
+    )
+    counts = stacked.filter(F.col("_v").isNotNull()).groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # head has one row per column: broadcast, then bucket each value by its column's bounds.
+    counts = counts.join(F.broadcast(head), "_k").withColumn(
+        "_b", F.size(F.filter(F.col("bounds"), lambda b: b < F.col("_v").cast("double")))
+    )
+    per_bucket = counts.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn"))
+    offsets = per_bucket.select(
+        "_k", "_b",
+        F.coalesce(
+            F.sum("_bn").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_before"),
+    )
+    running = F.sum("_n").over(
+        Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    cd = counts.join(F.broadcast(offsets), ["_k", "_b"]).select(
+        "_k", "_v", ((F.col("_before") + running + F.col("nulls")).cast("double") / F.col("n").cast("double")).alias("_cd")
+    )
+    fields = []
+    for i, c in enumerate(cols):
+        for j, p in enumerate(specs[c]):
+            fields.append(F.min(F.when((F.col("_k") == i) & (F.col("_cd") >= F.lit(float(p))), F.col("_v"))).alias(f"c{i}_{j}"))
+    packed = cd.agg(F.struct(*fields)).scalar()
+    return {c: [packed.getField(f"c{i}_{j}") for j in range(len(specs[c]))] for i, c in enumerate(cols)}

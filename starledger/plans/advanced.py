@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from starledger.functions.money import exact_round_ratio, scaled
 from starledger.operators.pairs import ordered_pair_counts
-from starledger.operators.percentiles import cume_dist_cutoffs
+from starledger.operators.percentiles import cume_dist_cutoffs_many
 from starledger.operators.ranking import top_n
 from starledger.operators.shares import grand_total
 from starledger.plans.views import revenue_star
@@ -89,8 +89,9 @@ def adv_customer_segments(m: SalesModel, market: str) -> DataFrame:
     # The per-customer stats feed five scalar subqueries and the final aggregate:
     # checkpoint them once (small: one row per customer) instead of recomputing.
     st = cut_lineage(customer_stats(m, market).select("customer_code", "customer", "purchase_frequency", "total_spent"))
-    spent_80, spent_50 = cume_dist_cutoffs(st, "total_spent", [0.8, 0.5])
-    freq_80, freq_50 = cume_dist_cutoffs(st, "purchase_frequency", [0.8, 0.5])
+    cut = cume_dist_cutoffs_many(st, {"total_spent": [0.8, 0.5], "purchase_frequency": [0.8, 0.5]})
+    spent_80, spent_50 = cut["total_spent"]
+    freq_80, freq_50 = cut["purchase_frequency"]
     total = grand_total(st, "total_spent")
     segment = (
         F.when((F.col("total_spent") >= spent_80) & (F.col("purchase_frequency") >= freq_80), F.lit("High Value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from starledger.operators import (
     cume_dist_by_value,
     cume_dist_cutoffs,
+    cume_dist_cutoffs_many,
     duplicate_keys,
     fill_missing,
     null_rows,
@@ -86,3 +87,15 @@ def test_group_total_shares_sum_to_100(spark):
     df = spark.createDataFrame([("r1", 1), ("r1", 3), ("r2", 5)], "g string, v long")
     out = with_group_total(df, "v", ["g"], "t").select("g", (F.col("v") * 100.0 / F.col("t")).alias("pct")).toPandas()
     assert out.groupby("g").pct.sum().round(9).tolist() == [100.0, 100.0]
+
+
+def test_cutoffs_many_equal_single(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.randint(1, 30), rnd.choice([1, 1, 2, 3, 5, 8])) for _ in range(250)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    many = cume_dist_cutoffs_many(df, {"a": [0.8, 0.5], "b": [0.8, 0.5, 0.1]})
+    single_a = cume_dist_cutoffs(df, "a", [0.8, 0.5])
+    single_b = cume_dist_cutoffs(df, "b", [0.8, 0.5, 0.1])
+    got = df.limit(1).select(*[c.alias(f"m{i}") for i, c in enumerate(many["a"] + many["b"])],
+                             *[c.alias(f"s{i}") for i, c in enumerate(single_a + single_b)]).first()
+    assert [float(got[f"m{i}"]) for i in range(5)] == [float(got[f"s{i}"]) for i in range(5)]
