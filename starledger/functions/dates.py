@@ -13,8 +13,9 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the fiscal year is the calendar year of the date shifted by 4 months.
-FISCAL_SHIFT_MONTHS = 4
+from starledger.constants import FISCAL_YEAR_SHIFT_MONTHS
+
+FISCAL_SHIFT_MONTHS = FISCAL_YEAR_SHIFT_MONTHS
 
 
 def fiscal_year(date_col: Column | str, shift_months: int = FISCAL_SHIFT_MONTHS) -> Column:

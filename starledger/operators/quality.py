@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starledger.constants import MISSING_LABEL
+
 
 def null_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows with a NULL in any of ``cols`` (all columns by default): one filter, no shuffle."""
@@ -16,7 +18,7 @@ def null_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.filter(functools.reduce(operator.or_, [F.col(c).isNull() for c in cols]))
 
 
-def fill_missing(df: DataFrame, cols: Sequence[str], value: str = "N/A") -> DataFrame:
+def fill_missing(df: DataFrame, cols: Sequence[str], value: str = MISSING_LABEL) -> DataFrame:
     """``COALESCE(col, value)`` for ``cols``; other columns unchanged."""
     return df.fillna(value, subset=list(cols))
 

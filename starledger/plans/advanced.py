@@ -7,6 +7,17 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starledger.constants import (
+    AT_RISK_MONTHS,
+    CHURN_LOOKBACK_MONTHS,
+    CLV_YEARS,
+    DAYS_PER_YEAR,
+    SEGMENT_HIGH,
+    SEGMENT_LOW,
+    SEGMENT_MEDIUM,
+    SEGMENT_PERCENTILES,
+)
+
 from starledger.functions.money import exact_round_ratio, scaled
 from starledger.operators.pairs import ordered_pair_counts
 from starledger.operators.percentiles import cume_dist_cutoffs_many
@@ -39,7 +50,7 @@ def adv_clv(m: SalesModel, market: str, n: int = 20) -> DataFrame:
         "purchase_frequency",
         spent.alias("total_spent"),
         (spent / F.col("_n")).alias("avg_order_value"),
-        F.when(days > 0, spent / days * 365 * 3).otherwise(spent * 3).alias("projected_3year_clv"),
+        F.when(days > 0, spent / days * DAYS_PER_YEAR * CLV_YEARS).otherwise(spent * CLV_YEARS).alias("projected_3year_clv"),
         F.col("total_spent").alias("_exact"),
     )
     return top_n(out, [F.col("_exact").desc(), "customer_code"], n).drop("_exact")
@@ -49,7 +60,7 @@ def adv_churn_rate(m: SalesModel, market: str) -> DataFrame:
     """% of the market's customers with no purchase, or none in the year before the
     latest purchase month of the whole sales table."""
     sales = m.fact_sales_monthly.select("customer_code", "date")
-    cutoff = sales.agg(F.add_months(F.max("date"), -12)).scalar()
+    cutoff = sales.agg(F.add_months(F.max("date"), -CHURN_LOOKBACK_MONTHS)).scalar()
     cust = m.dim_customer.filter(F.col("market") == market).select("customer_code", "customer")
     last = cust.join(sales, "customer_code", "left").groupBy("customer_code", "customer").agg(F.max("date").alias("_last"))
     churned = last.agg(F.count_if(F.col("_last").isNull() | (F.col("_last") < cutoff)).alias("_churned"))
@@ -59,7 +70,7 @@ def adv_churn_rate(m: SalesModel, market: str) -> DataFrame:
     )
 
 
-def adv_at_risk_customers(m: SalesModel, market: str, as_of: _dt.date, n: int = 20, months: int = 6) -> DataFrame:
+def adv_at_risk_customers(m: SalesModel, market: str, as_of: _dt.date, n: int = 20, months: int = AT_RISK_MONTHS) -> DataFrame:
     sales = m.fact_sales_monthly.select("customer_code", "date")
     cust = m.dim_customer.filter(F.col("market") == market).select("customer_code", "customer")
     recent = cust.join(sales.filter(F.col("date") >= F.add_months(F.lit(as_of), -months)), "customer_code").select("customer_code")
@@ -89,14 +100,14 @@ def adv_customer_segments(m: SalesModel, market: str) -> DataFrame:
     # The per-customer stats feed five scalar subqueries and the final aggregate:
     # checkpoint them once (small: one row per customer) instead of recomputing.
     st = cut_lineage(customer_stats(m, market).select("customer_code", "customer", "purchase_frequency", "total_spent"))
-    cut = cume_dist_cutoffs_many(st, {"total_spent": [0.8, 0.5], "purchase_frequency": [0.8, 0.5]})
+    cut = cume_dist_cutoffs_many(st, {"total_spent": SEGMENT_PERCENTILES, "purchase_frequency": SEGMENT_PERCENTILES})
     spent_80, spent_50 = cut["total_spent"]
     freq_80, freq_50 = cut["purchase_frequency"]
     total = grand_total(st, "total_spent")
     segment = (
-        F.when((F.col("total_spent") >= spent_80) & (F.col("purchase_frequency") >= freq_80), F.lit("High Value"))
-        .when((F.col("total_spent") >= spent_50) & (F.col("purchase_frequency") >= freq_50), F.lit("Medium Value"))
-        .otherwise(F.lit("Low Value"))
+        F.when((F.col("total_spent") >= spent_80) & (F.col("purchase_frequency") >= freq_80), F.lit(SEGMENT_HIGH))
+        .when((F.col("total_spent") >= spent_50) & (F.col("purchase_frequency") >= freq_50), F.lit(SEGMENT_MEDIUM))
+        .otherwise(F.lit(SEGMENT_LOW))
     )
     agg = st.groupBy(segment.alias("customer_segment")).agg(
         F.count(F.lit(1)).alias("customer_count"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starledger.constants import BADGE_GOLD, BADGE_SILVER, DEFAULT_BADGE_THRESHOLD, DEFAULT_MARKET
+
 from starledger.functions.dates import fiscal_year, in_fiscal_year
 from starledger.functions.money import gross_line_total
 from starledger.sources.star import SalesModel
@@ -78,27 +80,28 @@ def monthly_gross_sales_customers(m: SalesModel, customer_codes: Sequence[int] |
     )
 
 
-def market_badge(m: SalesModel, fy: int, market: str = "India", threshold: int = 5_000_000) -> DataFrame:
+def market_badge(m: SalesModel, fy: int, market: str = DEFAULT_MARKET, threshold: int = DEFAULT_BADGE_THRESHOLD) -> DataFrame:
     """Gold when the market's fiscal-year quantity exceeds ``threshold``, else Silver
     (also Silver when the market sold nothing). One row."""
     s = m.fact_sales_monthly.select("customer_code", "date", "fiscal_year", "sold_quantity").filter(_in_year(fy))
-    c = m.dim_customer.select("customer_code", "market").filter(F.col("market") == (market or "India"))
+    market = market or DEFAULT_MARKET  # an empty market means the default one
+    c = m.dim_customer.select("customer_code", "market").filter(F.col("market") == market)
     qty = s.join(c, "customer_code").agg(F.sum("sold_quantity").alias("total_qty"))
     return qty.select(
-        F.lit(market or "India").alias("market"),
+        F.lit(market).alias("market"),
         F.lit(fy).alias("fiscal_year"),
         "total_qty",
-        F.when(F.col("total_qty") > threshold, F.lit("Gold")).otherwise(F.lit("Silver")).alias("badge"),
+        F.when(F.col("total_qty") > threshold, F.lit(BADGE_GOLD)).otherwise(F.lit(BADGE_SILVER)).alias("badge"),
     )
 
 
-def market_badges(m: SalesModel, fy: int, threshold: int = 5_000_000) -> DataFrame:
+def market_badges(m: SalesModel, fy: int, threshold: int = DEFAULT_BADGE_THRESHOLD) -> DataFrame:
     """Badge for every market in one aggregation."""
     s = m.fact_sales_monthly.select("customer_code", "date", "fiscal_year", "sold_quantity").filter(_in_year(fy))
     c = m.dim_customer.select("customer_code", "market")
     return s.join(c, "customer_code").groupBy("market").agg(F.sum("sold_quantity").alias("total_qty")).select(
         "market", F.lit(fy).alias("fiscal_year"), "total_qty",
-        F.when(F.col("total_qty") > threshold, F.lit("Gold")).otherwise(F.lit("Silver")).alias("badge"),
+        F.when(F.col("total_qty") > threshold, F.lit(BADGE_GOLD)).otherwise(F.lit(BADGE_SILVER)).alias("badge"),
     )
 
 

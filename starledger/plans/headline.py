@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starledger.constants import HIGH_VALUE_REVENUE, MEDIUM_VALUE_REVENUE, SEGMENT_HIGH, SEGMENT_LOW, SEGMENT_MEDIUM
+
 from starledger.functions.money import exact_round_ratio, mln_units
 from starledger.operators.ranking import top_n
 from starledger.plans.views import revenue_star
@@ -23,13 +25,13 @@ def gross_revenue_top_markets(m: SalesModel, n: int = 10) -> DataFrame:
     return top_n(agg, [F.col("_u").desc(), "market"], n).select("market", _units_to_mln().alias("gross_revenue_mln"))
 
 
-def customer_value_segments(m: SalesModel, high: int = 100_000_000, medium: int = 50_000_000) -> DataFrame:
+def customer_value_segments(m: SalesModel, high: int = HIGH_VALUE_REVENUE, medium: int = MEDIUM_VALUE_REVENUE) -> DataFrame:
     agg = revenue_star(m, with_product=False).groupBy("customer_code", "customer").agg(F.sum("rev").alias("_rev"))
     rev = F.col("_rev")
     segment = (
-        F.when(rev >= high, F.lit("High Value"))
-        .when(rev.between(medium, high), F.lit("Medium Value"))
-        .otherwise(F.lit("Low Value"))
+        F.when(rev >= high, F.lit(SEGMENT_HIGH))
+        .when(rev.between(medium, high), F.lit(SEGMENT_MEDIUM))
+        .otherwise(F.lit(SEGMENT_LOW))
     )
     return agg.select("customer", rev.cast("double").alias("total_revenue"), segment.alias("customer_segment"), "customer_code").orderBy(
         F.col("total_revenue").desc(), "customer_code"

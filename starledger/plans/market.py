@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starledger.constants import OTHER_MARKETS
+
 from starledger.functions.money import exact_round_ratio, scaled
 from starledger.operators.ranking import top_n, top_n_per_group
 from starledger.operators.shares import grand_total
@@ -15,8 +17,6 @@ from starledger.plans.views import revenue_star
 from starledger.session import cut_lineage
 from starledger.sources.star import SalesModel
 
-OTHER_MARKETS = "Other Markets"
-
 
 def _rev_total() -> Column:
     return F.sum("rev").alias("_rev")

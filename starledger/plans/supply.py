@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starledger.constants import FULL_ACCURACY_PCT
+
 from starledger.functions.dates import fiscal_year
 from starledger.functions.money import double_ratio, exact_round_units
 from starledger.sources.logs import session_logs_from_events
@@ -54,7 +56,7 @@ def _error_sums(act: DataFrame, fy: int) -> DataFrame:
 
 def _accuracy(pct: F.Column) -> F.Column:
     # IF(pct > 100, 0, 100 - pct); NULL pct (no forecast) stays NULL.
-    return F.when(pct > 100, F.lit(0.0)).otherwise(F.lit(100.0) - pct)
+    return F.when(pct > FULL_ACCURACY_PCT, F.lit(0.0)).otherwise(F.lit(float(FULL_ACCURACY_PCT)) - pct)
 
 
 def forecast_accuracy(act: DataFrame, dim_customer: DataFrame, fy: int) -> DataFrame:

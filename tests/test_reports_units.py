@@ -54,13 +54,13 @@ def test_accuracy_clamp_and_zero_forecast(spark):
 
 
 def test_purge_keeps_recent_logs(spark):
-    # The reference's five log rows; purge as of 2022-10-22 keeping 5 days.
+    # Five log rows with the reference's timestamps and ids; purge as of 2022-10-22 keeping 5 days.
     rows = [
-        ("2022-10-04 08:14:07", "898812", "523", "CLICKED | Courses Button"),
-        ("2022-10-14 08:18:35", "898812", "523", "NAVIGATE BACK | Python course page , codebasics.io"),
-        ("2022-10-16 12:07:00", "965345", "523", "REVIEW GENERATED | Data analytics in power bi"),
-        ("2022-10-22 14:09:22", "188567", "707", "NEW LOGIN | New login, user name: tasty@jalebi.com"),
-        ("2022-10-22 18:10:06", "188567", "707", "COURSE PURCHASED | Data analytics in power bi, user name: tasty@jalebi.com"),
+        ("2022-10-04 08:14:07", "898812", "523", "CLICKED | button"),
+        ("2022-10-14 08:18:35", "898812", "523", "NAVIGATE BACK | page"),
+        ("2022-10-16 12:07:00", "965345", "523", "REVIEW GENERATED | review"),
+        ("2022-10-22 14:09:22", "188567", "707", "NEW LOGIN | user"),
+        ("2022-10-22 18:10:06", "188567", "707", "PURCHASE | user"),
     ]
     logs = session_logs_from_rows(spark, rows)
     assert [f.dataType.simpleString() for f in logs.schema.fields] == ["timestamp_ntz", "bigint", "bigint", "string"]
