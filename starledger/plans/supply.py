@@ -44,9 +44,12 @@ def act_est_typed(act: DataFrame) -> DataFrame:
     return act.select("date", "fiscal_year", "product_code", "customer_code", not_null("sold_quantity"), not_null("forecast_quantity"))
 
 
-def _error_sums(act: DataFrame, fy: int) -> DataFrame:
+def _error_sums(act: DataFrame, fy: int | Sequence[int]) -> DataFrame:
+    """Per customer (and fiscal year, when several are given): quantity and error sums."""
     err = F.col("forecast_quantity") - F.col("sold_quantity")
-    return act.filter(F.col("fiscal_year") == fy).groupBy("customer_code").agg(
+    years = [fy] if isinstance(fy, int) else list(fy)
+    keys = ["customer_code"] if isinstance(fy, int) else ["customer_code", "fiscal_year"]
+    return act.filter(F.col("fiscal_year").isin(years)).groupBy(*keys).agg(
         F.sum("sold_quantity").alias("total_sold_qty"),
         F.sum("forecast_quantity").alias("total_forecast_qty"),
         F.sum(err).alias("net_err"),
@@ -74,11 +77,15 @@ def forecast_accuracy(act: DataFrame, dim_customer: DataFrame, fy: int) -> DataF
     )
 
 
-def forecast_accuracy_table(act: DataFrame, dim_customer: DataFrame, fy: int, round_pct: bool = False) -> DataFrame:
+def forecast_accuracy_table(
+    act: DataFrame, dim_customer: DataFrame, fy: int | Sequence[int], round_pct: bool = False
+) -> DataFrame:
     """The temp-table variant: customer attributes first, then the error columns.
 
     With ``round_pct`` the net error % is rounded to 1 and the absolute error %
     to 2 decimals (exactly), and the accuracy is computed from the rounded value.
+    With several fiscal years the rows are per (customer, fiscal_year) and carry
+    a ``fiscal_year`` column — one aggregation for all years.
     """
     e = _error_sums(act, fy)
     c = dim_customer.select("customer_code", F.col("customer").alias("customer_name"), "market")
@@ -98,8 +105,9 @@ def forecast_accuracy_table(act: DataFrame, dim_customer: DataFrame, fy: int, ro
             double_ratio("net_err", "total_forecast_qty", 100).alias("net_error_pct"),
             abs_pct.alias("abs_error_pct"),
         ]
+    by_year = [] if isinstance(fy, int) else ["fiscal_year"]
     return j.select(
-        "customer_code", "customer_name", "market", "total_sold_qty", "total_forecast_qty",
+        "customer_code", *by_year, "customer_name", "market", "total_sold_qty", "total_forecast_qty",
         F.col("net_err").alias("net_error"), pct_cols[0],
         F.col("abs_err").alias("abs_error"), pct_cols[1],
         accuracy.alias("forecast_accuracy"),
@@ -107,11 +115,16 @@ def forecast_accuracy_table(act: DataFrame, dim_customer: DataFrame, fy: int, ro
 
 
 def forecast_accuracy_drop(act: DataFrame, dim_customer: DataFrame, fy_prev: int, fy_curr: int) -> DataFrame:
-    """Customers whose (rounded) accuracy fell from ``fy_prev`` to ``fy_curr``."""
-    prev = forecast_accuracy_table(act, dim_customer, fy_prev, round_pct=True).select(
+    """Customers whose (rounded) accuracy fell from ``fy_prev`` to ``fy_curr``.
+
+    Both years come from one scan and one aggregation by (customer, fiscal_year);
+    the two year slices of that result are joined on the customer.
+    """
+    both = forecast_accuracy_table(act, dim_customer, [fy_prev, fy_curr], round_pct=True)
+    prev = both.filter(F.col("fiscal_year") == fy_prev).select(
         "customer_code", "customer_name", "market", F.col("forecast_accuracy").alias("forecast_acc_prev")
     )
-    curr = forecast_accuracy_table(act, dim_customer, fy_curr, round_pct=True).select(
+    curr = both.filter(F.col("fiscal_year") == fy_curr).select(
         "customer_code", F.col("forecast_accuracy").alias("forecast_acc_curr")
     )
     return (
