@@ -65,6 +65,7 @@ REPORTS: dict[str, Report] = {
     "monthly_gross_sales_customer": lambda s, b, m: finance.monthly_gross_sales_customer(m, P.customer_code),
     "monthly_gross_sales_customers": lambda s, b, m: finance.monthly_gross_sales_customers(m, P.customer_codes),
     "market_badge": lambda s, b, m: finance.market_badge(m, P.fiscal_year, P.market, P.badge_threshold),
+    "market_badges": lambda s, b, m: finance.market_badges(m, P.fiscal_year, P.badge_threshold),
     "yearly_gross_sales_customer": lambda s, b, m: finance.yearly_gross_sales_customer(m, P.customer_code),
     # C. revenue waterfall, customer & product
     "preinv_detail_customer": lambda s, b, m: revenue.preinv_detail_customer(m, P.customer_code, P.fiscal_year),
@@ -133,5 +134,8 @@ REPORTS: dict[str, Report] = {
     "top_products_quantity": lambda s, b, m: headline.top_products_quantity(m, 10),
     "fm_top_customers_platform": lambda s, b, m: headline.fm_top_customers_platform(m, P.market, 10),
     "forecast_to_sales_ratio": lambda s, b, m: headline.forecast_to_sales_ratio(m, 10),
+    "forecast_to_sales_ratio_keyed": lambda s, b, m: headline.forecast_to_sales_ratio(
+        m, 10, keys=("product_code", "fiscal_year", "date", "customer_code")
+    ),
     "revenue_trend_market_vs_rest": lambda s, b, m: headline.revenue_trend_market_vs_rest(m, P.market),
 }

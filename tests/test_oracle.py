@@ -22,7 +22,7 @@ def duck():
 
 def test_every_query_has_oracle_sql():
     assert set(E.oracle_sql()) == set(E.queries())
-    assert len(E.queries()) == 80
+    assert len(E.queries()) == 82
 
 
 def test_entry_runs(spark):
