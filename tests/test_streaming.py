@@ -50,3 +50,28 @@ def test_log_stream_applies_retention(spark, tmp_path):
     run_log_stream(spark, src, target, str(tmp_path / "ckpt"), dt.date(2022, 10, 22), 5)
     kept = read_logs(spark, target, dt.date(2022, 10, 22), 5).collect()
     assert sorted(r.log for r in kept) == ["COURSE PURCHASED | Data analytics", "NEW LOGIN | New login"]
+
+
+def test_replayed_batch_is_idempotent(spark, tmp_path):
+    from starledger.streaming.upsert import read_act_est, upsert_batch, write_act_est
+
+    target = str(tmp_path / "act")
+    initial = spark.createDataFrame(
+        [(D(2021, 1, 1), 2021, 1, 1, 0, 9), (D(2021, 3, 1), 2021, 3, 1, 2, 8)],
+        "date date, fiscal_year int, product_code long, customer_code long, sold_quantity long, forecast_quantity long",
+    )
+    write_act_est(initial, target)
+    batch = spark.createDataFrame(
+        [(D(2021, 1, 1), 1, 1, 5, 1), (D(2021, 2, 1), 2, 1, 4, 2)],
+        "date date, product_code long, customer_code long, sold_quantity long, ingest_seq long",
+    )
+    upsert_batch(spark, target, batch, "sold_quantity")
+    once = sorted(tuple(r) for r in read_act_est(spark, target).collect())
+    upsert_batch(spark, target, batch, "sold_quantity")  # a re-run after a failure
+    twice = sorted(tuple(r) for r in read_act_est(spark, target).collect())
+    assert once == twice
+    assert once == [
+        (D(2021, 1, 1), 2021, 1, 1, 5, 9),
+        (D(2021, 2, 1), 2021, 2, 1, 4, 0),
+        (D(2021, 3, 1), 2021, 3, 1, 2, 8),
+    ]
