@@ -11,7 +11,9 @@ rows. For a row ``y`` with value ``B`` and a partner value ``A``, the number of
 pairs ``(x, y)`` with ``x`` in ``A`` and ``x.order < y.order`` is a running
 count over the rows of values ``{A, B}`` of the basket, ordered by the order
 key (RANGE frame ending one unit before ``y``, so equal keys never pair — the
-reference's strict ``<``). Work per basket is O(K x size), linear in its size.
+reference's strict ``<``). Work per basket is O(K x size), linear in its size,
+and one basket is spread over up to K(K-1)/2 window partitions (one per value
+pair), so a hot basket does not land in a single task.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ def ordered_pair_counts(
     partners = base.select(*group, F.col(attr).alias("_partner")).distinct()
     expanded = base.join(partners, list(group)).filter(F.col(attr) != F.col("_partner"))
     expanded = expanded.withColumn("_lo", F.least(attr, "_partner")).withColumn("_hi", F.greatest(attr, "_partner"))
+    # Spread each basket over its value pairs: without this the window would reuse the
+    # join's (group) partitioning and a hot basket would stay in one task (and AQE could
+    # not split the skewed join without breaking that clustering).
+    expanded = expanded.repartition(*group, "_lo", "_hi")
     w = (
         Window.partitionBy(*group, "_lo", "_hi")
         .orderBy(F.col(order_key))
