@@ -34,13 +34,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     The folder comes from ``spark.checkpoint.dir``; only when the session has none
     (as in unit tests) a scratch folder is created and registered on the session.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="starledger-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     base = base.rstrip("/")
     if base.startswith("file:"):
         base = base[len("file:"):]
