@@ -34,7 +34,8 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", os.environ.get("BENCH_CLEAN", "true"))
-        .config("spark.sql.shuffle.partitions", str(max(8, 2 * int(cpus) if cpus.isdigit() else 16)))
+        # One shuffle partition per core at this data size (AQE coalesces further).
+        .config("spark.sql.shuffle.partitions", os.environ.get("BENCH_SHUFFLE", cpus if cpus.isdigit() else "8"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
