@@ -6,7 +6,9 @@ then one timed build whose tables the reports read);
 then each report runs over the stored star, one warm-up then the median of
 ``$BENCH_REPEAT`` (default 3) wall times, executed with the ``noop`` sink
 (full execution, nothing collected). The two streaming upsert jobs run once,
-from the raw tables. Prints ONE JSON line.
+over the same stored star. Prints ONE JSON line. Optional environment:
+BENCH_KEYS (comma list), BENCH_REPEAT, BENCH_SHUFFLE, BENCH_EVENT_LOG (folder for
+Spark's event log, to read stage and task times afterwards).
 """
 
 from __future__ import annotations
@@ -28,8 +30,13 @@ def main() -> None:
 
     from pyspark.sql import SparkSession
 
+    builder = SparkSession.builder
+    event_log = os.environ.get("BENCH_EVENT_LOG")  # optional: stage/task times for later analysis
+    if event_log:
+        os.makedirs(event_log, exist_ok=True)
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName("starledger-bench")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
