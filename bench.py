@@ -34,7 +34,11 @@ def main() -> None:
     event_log = os.environ.get("BENCH_EVENT_LOG")  # optional: stage/task times for later analysis
     if event_log:
         os.makedirs(event_log, exist_ok=True)
-        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log)
+        builder = (
+            builder.config("spark.eventLog.enabled", "true")
+            .config("spark.eventLog.dir", event_log)
+            .config("spark.eventLog.compress", "false")
+        )
     spark = (
         builder.master(f"local[{cpus}]")
         .appName("starledger-bench")

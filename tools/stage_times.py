@@ -11,17 +11,29 @@ import os
 import sys
 
 
+def _lines(path: str):
+    if path.endswith(".zstd"):
+        import io
+
+        import zstandard
+
+        with open(path, "rb") as fh:
+            yield from io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(fh), encoding="utf-8")
+    else:
+        with open(path, encoding="utf-8") as fh:
+            yield from fh
+
+
 def stages(folder: str) -> list[tuple[float, int, str]]:
     files = [f for f in glob.glob(os.path.join(folder, "**", "*"), recursive=True) if os.path.isfile(f)]
     out = []
     for path in sorted(files):
-        with open(path) as fh:
-            for line in fh:
-                if '"SparkListenerStageCompleted"' not in line:
-                    continue
-                info = json.loads(line)["Stage Info"]
-                ms = info.get("Completion Time", 0) - info.get("Submission Time", 0)
-                out.append((ms / 1000.0, info["Number of Tasks"], info["Stage Name"].split("\n")[0][:80]))
+        for line in _lines(path):
+            if '"SparkListenerStageCompleted"' not in line:
+                continue
+            info = json.loads(line)["Stage Info"]
+            ms = info.get("Completion Time", 0) - info.get("Submission Time", 0)
+            out.append((ms / 1000.0, info["Number of Tasks"], info["Stage Name"].split("\n")[0][:80]))
     return out
 
 
