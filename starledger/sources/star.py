@@ -70,8 +70,11 @@ class SalesModel:
 # --------------------------------------------------------------------------- stored star
 
 
-def _read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{path}/{name}")
+def _read_table(spark: SparkSession, path: str, name: str, schemas: dict | None = None) -> DataFrame:
+    reader = spark.read
+    if schemas and name in schemas:
+        reader = reader.schema(schemas[name])  # known schema: no inference job
+    df = reader.parquet(f"{path}/{name}")
     # Partition columns are typed explicitly (independent of partition type inference).
     if name in FY_PARTITIONED:
         df = df.withColumn("fiscal_year", F.col("fiscal_year").cast("int"))
@@ -80,21 +83,23 @@ def _read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return df
 
 
-def load_star(spark: SparkSession, path: str, with_act_est: bool = True) -> SalesModel:
-    """Read a stored star (one Parquet folder per table, as written by ``write_star``)."""
+def load_star(spark: SparkSession, path: str, with_act_est: bool = True, schemas: dict | None = None) -> SalesModel:
+    """Read a stored star (one Parquet folder per table, as written by ``write_star``);
+    ``schemas`` (as returned by ``write_star``) skips schema inference."""
     path = path.rstrip("/")
-    model = SalesModel(**{t: _read_table(spark, path, t) for t in STAR_TABLES})
+    model = SalesModel(**{t: _read_table(spark, path, t, schemas) for t in STAR_TABLES})
     if with_act_est:
         try:
-            model = model.replace(fact_act_est=_read_table(spark, path, "fact_act_est"))
+            model = model.replace(fact_act_est=_read_table(spark, path, "fact_act_est", schemas))
         except Exception:  # noqa: BLE001 - no materialised act_est in this star
             pass
     return model
 
 
-def write_star(model: SalesModel, path: str, parallel: int = 1) -> None:
+def write_star(model: SalesModel, path: str, parallel: int = 1) -> dict:
     """Write every table under ``path``; fiscal-year facts are partitioned by ``fiscal_year``
-    and clustered by customer inside each partition (row-group pruning on customer filters)."""
+    and clustered by customer inside each partition (row-group pruning on customer filters).
+    Returns the written schemas."""
     path = path.rstrip("/")
     tables = model.tables()
     tables["fact_act_est"] = model.fact_act_est if model.fact_act_est is not None else integrate_act_est(
@@ -121,6 +126,7 @@ def write_star(model: SalesModel, path: str, parallel: int = 1) -> None:
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         for future in [pool.submit(write_one, name, df) for name, df in tables.items()]:
             future.result()
+    return {name: df.schema for name, df in tables.items()}
 
 
 def materialize_star(spark: SparkSession, model: SalesModel, path: str | None = None) -> SalesModel:
@@ -130,8 +136,8 @@ def materialize_star(spark: SparkSession, model: SalesModel, path: str | None =
     partitioned Parquet instead of re-running the lineitem x orders join.
     """
     target = path or shared_dir(spark, "star")
-    write_star(model, target)
-    return load_star(spark, target)
+    schemas = write_star(model, target)
+    return load_star(spark, target, schemas=schemas)
 
 
 def build_star(spark: SparkSession, base: str, path: str | None = None) -> SalesModel:
@@ -144,8 +150,8 @@ def build_star(spark: SparkSession, base: str, path: str | None = None) -> Sales
     target = (path or shared_dir(spark, "star")).rstrip("/")
     derive_sales_grain(spark, base).write.mode("overwrite").parquet(f"{target}/_sales_grain")
     model = derive_star(spark, base, grain=spark.read.parquet(f"{target}/_sales_grain"))
-    write_star(model, target)
-    return load_star(spark, target)
+    schemas = write_star(model, target)
+    return load_star(spark, target, schemas=schemas)
 
 
 _STARS: dict[tuple[str, str], SalesModel] = {}
