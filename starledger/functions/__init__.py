@@ -2,6 +2,7 @@
 
 from starledger.functions.dates import fiscal_year, fiscal_year_bounds, in_fiscal_year
 from starledger.functions.money import (
+    distinct_count,
     double_ratio,
     exact_round_ratio,
     exact_round_units,
@@ -23,6 +24,7 @@ __all__ = [
     "mln",
     "mln_units",
     "scaled",
+    "distinct_count",
     "exact_round_ratio",
     "exact_round_units",
     "double_ratio",

@@ -78,3 +78,9 @@ def double_ratio(num: Column | str, den: Column | str, times: int = 1) -> Column
 
 def to_double(x: Column | str) -> Column:
     return _c(x).cast("double")
+
+
+def distinct_count(col: Column | str, exact: bool = True, rsd: float = 0.01) -> Column:
+    """COUNT(DISTINCT col); with ``exact=False`` a HyperLogLog++ estimate (bounded memory
+    per group, mergeable partial aggregates) with relative standard deviation ``rsd``."""
+    return F.count_distinct(_c(col)) if exact else F.approx_count_distinct(_c(col), rsd)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from starledger.constants import OTHER_MARKETS
 
-from starledger.functions.money import exact_round_ratio, scaled
+from starledger.functions.money import distinct_count, exact_round_ratio, scaled
 from starledger.operators.ranking import top_n, top_n_per_group
 from starledger.operators.shares import grand_total
 from starledger.plans.views import revenue_star
@@ -75,9 +75,9 @@ def fm_top_customers_revenue(m: SalesModel, market: str, n: int = 5) -> DataFram
     )
 
 
-def fm_purchase_frequency(m: SalesModel, market: str, n: int = 15) -> DataFrame:
+def fm_purchase_frequency(m: SalesModel, market: str, n: int = 15, exact_distinct: bool = True) -> DataFrame:
     star = revenue_star(m, market, with_product=False, with_price=False)
-    agg = star.groupBy("customer_code", "customer").agg(F.count_distinct("date").alias("purchase_frequency"))
+    agg = star.groupBy("customer_code", "customer").agg(distinct_count("date", exact_distinct).alias("purchase_frequency"))
     return top_n(agg, [F.col("purchase_frequency").desc(), "customer_code"], n)
 
 
@@ -105,9 +105,9 @@ def fm_category_sales_pct(m: SalesModel, market: str, n: int = 15) -> DataFrame:
     return top_n(out, [F.col("_rev").desc(), "category", "division"], n).drop("_rev")
 
 
-def _performance(star: DataFrame, keys: list[str]) -> DataFrame:
+def _performance(star: DataFrame, keys: list[str], exact_distinct: bool = True) -> DataFrame:
     agg = star.groupBy(*keys).agg(
-        F.count_distinct("customer_code").alias("customer_count"),
+        distinct_count("customer_code", exact_distinct).alias("customer_count"),
         F.sum("sold_quantity").alias("total_quantity_sold"),
         _rev_total(),
         F.count("rev").alias("_n"),
@@ -119,8 +119,8 @@ def _performance(star: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def fm_subzone_performance(m: SalesModel, market: str) -> DataFrame:
-    return _performance(revenue_star(m, market), ["sub_zone"]).orderBy(F.col("total_revenue").desc(), "sub_zone")
+def fm_subzone_performance(m: SalesModel, market: str, exact_distinct: bool = True) -> DataFrame:
+    return _performance(revenue_star(m, market), ["sub_zone"], exact_distinct).orderBy(F.col("total_revenue").desc(), "sub_zone")
 
 
 def fm_category_by_subzone(m: SalesModel, market: str) -> DataFrame:
@@ -139,8 +139,8 @@ def _market_group(market: str) -> Column:
     return F.when(F.col("market") == market, F.lit(market)).otherwise(F.lit(OTHER_MARKETS)).alias("market_group")
 
 
-def _per_customer(star: DataFrame, keys: list[Column | str]) -> DataFrame:
-    agg = star.groupBy(*keys).agg(_rev_total(), F.count_distinct("customer_code").alias("customer_count"))
+def _per_customer(star: DataFrame, keys: list[Column | str], exact_distinct: bool = True) -> DataFrame:
+    agg = star.groupBy(*keys).agg(_rev_total(), distinct_count("customer_code", exact_distinct).alias("customer_count"))
     names = [k if isinstance(k, str) else "market_group" for k in keys]
     return agg.select(
         *names,
@@ -150,8 +150,8 @@ def _per_customer(star: DataFrame, keys: list[Column | str]) -> DataFrame:
     )
 
 
-def cmp_market_vs_rest(m: SalesModel, market: str) -> DataFrame:
-    return _per_customer(revenue_star(m), [_market_group(market)]).orderBy(F.col("total_revenue").desc())
+def cmp_market_vs_rest(m: SalesModel, market: str, exact_distinct: bool = True) -> DataFrame:
+    return _per_customer(revenue_star(m), [_market_group(market)], exact_distinct).orderBy(F.col("total_revenue").desc())
 
 
 def cmp_category_preferences(m: SalesModel, market: str) -> DataFrame:
@@ -163,8 +163,8 @@ def cmp_category_preferences(m: SalesModel, market: str) -> DataFrame:
     ).orderBy("category", F.col("total_revenue").desc())
 
 
-def cmp_regions(m: SalesModel) -> DataFrame:
-    return _performance(revenue_star(m), ["region"]).orderBy(F.col("total_revenue").desc(), "region")
+def cmp_regions(m: SalesModel, exact_distinct: bool = True) -> DataFrame:
+    return _performance(revenue_star(m), ["region"], exact_distinct).orderBy(F.col("total_revenue").desc(), "region")
 
 
 def cmp_top_markets_by_region(m: SalesModel, n: int = 3) -> DataFrame:
@@ -175,9 +175,9 @@ def cmp_top_markets_by_region(m: SalesModel, n: int = 3) -> DataFrame:
     )
 
 
-def cmp_channel_effectiveness(m: SalesModel) -> DataFrame:
-    return _per_customer(revenue_star(m), ["market", "channel"]).orderBy("market", F.col("total_revenue").desc())
+def cmp_channel_effectiveness(m: SalesModel, exact_distinct: bool = True) -> DataFrame:
+    return _per_customer(revenue_star(m), ["market", "channel"], exact_distinct).orderBy("market", F.col("total_revenue").desc())
 
 
-def cmp_platform_effectiveness(m: SalesModel) -> DataFrame:
-    return _per_customer(revenue_star(m), ["market", "platform"]).orderBy("market", F.col("total_revenue").desc())
+def cmp_platform_effectiveness(m: SalesModel, exact_distinct: bool = True) -> DataFrame:
+    return _per_customer(revenue_star(m), ["market", "platform"], exact_distinct).orderBy("market", F.col("total_revenue").desc())

@@ -99,3 +99,12 @@ def test_cutoffs_many_equal_single(spark):
     got = df.limit(1).select(*[c.alias(f"m{i}") for i, c in enumerate(many["a"] + many["b"])],
                              *[c.alias(f"s{i}") for i, c in enumerate(single_a + single_b)]).first()
     assert [float(got[f"m{i}"]) for i in range(5)] == [float(got[f"s{i}"]) for i in range(5)]
+
+
+def test_approximate_distinct_is_close(spark, tiny_model):
+    from starledger.plans import market
+
+    exact = {r.region: r.customer_count for r in market.cmp_regions(tiny_model).collect()}
+    approx = {r.region: r.customer_count for r in market.cmp_regions(tiny_model, exact_distinct=False).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
