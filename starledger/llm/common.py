@@ -45,7 +45,7 @@ def short_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of whole texts in rows and bytes (session settings; smaller ones stay)."""
     for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        if not 0 < int(spark.conf.get(key)) <= most:
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
             spark.conf.set(key, str(most))
 
 
@@ -77,3 +77,12 @@ def prefix_sums(sums: DataFrame, within: list[str], order: str, value: str, out:
 
 def fields(*pairs: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in pairs])
+
+
+#: Rows of a table of ids that may be broadcast (16 MB of longs); larger ones are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def bounded_broadcast(ids: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """``ids`` (a staged table of a few numbers a row), marked for broadcast if it is small enough."""
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
