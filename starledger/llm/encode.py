@@ -10,17 +10,19 @@ from __future__ import annotations
 import re
 from array import array
 
+import numpy as np
+
 #: Words kept per worker (about 150 bytes each); a full memo is emptied.
 MEMO_WORDS = 1_000_000
 #: Longer "words" are encoded each time they occur.
 MEMO_CHARS = 64
 #: Characters of text handled at once inside a worker.
 SLICE_CHARS = 4_000_000
+#: New words given to the tokenizer at once.
+JOINED_WORDS = 1000
 
-#: White space other than the two characters that texts are cut at.
+#: White space other than blanks and line feeds (never printable).
 _ODD_SPACE = re.compile(r"[^\S \n]")
-_WORD = re.compile(r"[^ \n]+")
-_WORD_WITH_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
 class TextEncoder:
@@ -28,8 +30,8 @@ class TextEncoder:
 
     ``keeps_space`` says whether white space takes part in the ids. If it doesn't, words are
     independent of what surrounds them. If it does (byte-level vocabularies), a word carries the
-    spaces before it: the pre-tokenizer never matches across the end of a word, and a text with
-    white space other than blanks and line feeds is encoded in one piece.
+    blank or line feed before it, as the pre-tokenizer never matches across the end of a word; texts
+    with other white space, runs of it or some at an end are encoded in one piece.
     """
 
     def __init__(self, path: str, keeps_space: bool):
@@ -39,31 +41,57 @@ class TextEncoder:
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._keeps_space = keeps_space
         self._memo: dict[str, bytes] = {}
+        # A mark between words is a token of its own: a null character between blanks where spaces
+        # are dropped, else a tab before the word's own space.
+        self._mark = "\t" if keeps_space else "\0"
+        (self._mark_id,) = self._tokenizer.encode(self._mark, add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _learn(self, words: list[str]) -> None:
+        """Put the ids of words into the memo, many words to a call."""
+        for i in range(0, len(words), JOINED_WORDS):
+            part = words[i : i + JOINED_WORDS]
+            if self._keeps_space:
+                text = "".join(f"{w}\t" if w[0] == "\n" else f" {w}\t" for w in part)
+            else:
+                text = " \0 ".join([*part, ""])
+            ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == self._mark_id)).tolist()
+            raw = ids.tobytes()
+            self._memo.update(zip(part, [raw[a + 4 : b] for a, b in zip([-4, *ends], ends, strict=False)], strict=True))
+
     def _words(self, text: str) -> list[str] | None:
+        """The text's words as they are in the memo; None if it is to be encoded in one piece."""
         if not self._keeps_space:
-            return _WORD.findall(text)
-        return None if _ODD_SPACE.search(text) else _WORD_WITH_SPACE.findall(text)
+            return None if "\0" in text else text.replace("\n", " ").split(" ")
+        flat = text.replace("\n", " ")
+        if not text or flat[0] == " " or flat[-1] == " " or "  " in flat or (not flat.isprintable() and _ODD_SPACE.search(text)):
+            return None
+        return text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, in order; an empty text has none."""
-        memo = self._memo
         cut = [self._words(t) for t in texts]
-        new = set().union(*(w for w in cut if w)) - memo.keys()
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = set().union(*(w for w in cut if w))
-        new = list(new)
-        memo.update(zip(new, self._encode(new), strict=True))
-        out = [b"".join(map(memo.__getitem__, w)) if w is not None else None for w in cut]
         whole = [i for i, w in enumerate(cut) if w is None]
-        if whole:
-            for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-                out[i] = ids
+        heads = [i for i, w in enumerate(cut) if w is not None] if self._keeps_space else []
+        first = [cut[i].pop(0) for i in heads]  # the first word has no blank before it
+        words = [w for w in cut if w is not None]
+        new = set().union(*words) - self._memo.keys()
+        if len(self._memo) + len(new) > MEMO_WORDS:
+            self._memo.clear()
+            new = set().union(*words)
+        if not self._keeps_space:
+            self._memo[""] = b""
+            new.discard("")
+        self._learn(list(new))
+        memo = self._memo
+        out = [b"".join(map(memo.__getitem__, w)) if w is not None else b"" for w in cut]
+        alone = self._encode([*(texts[i] for i in whole), *first])
+        for i, ids in zip([*whole, *heads], alone, strict=True):
+            out[i] = ids + out[i]
         for w in new:
             if len(w) > MEMO_CHARS:
                 del memo[w]
