@@ -5,13 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from starledger.llm import packing, tokenfile
+from starledger.llm import decontamination, htmltext, langid, minhash, packing, sharding, tokenfile, urls
 from starledger.llm.common import read_table
 
 #: Parameters of the registered queries.
 SEQUENCE_TOKENS = 2048
 PACK_END_ID = 0
 FILE_END_ID = 2
+SHARDS = 24
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +21,47 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer, PACK_END_ID, SEQUENCE_TOKENS)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"), SHARDS)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     return tokenfile.store_tokens(read_table(spark, sf_dir, "documents"), tokenizer, FILE_END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_token_orc)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op3_language_id,
+        op4_kd_sharding,
+        op5_url_filter,
+        op6_html_extraction,
+        op7_token_orc,
+        op8_decontamination,
+        op9_minhash_near_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -13,7 +13,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents in a learned language; those without a letter (or text) go."""
     from starledger.llm import langid
 
-    return langid.keep_known(docs)
+    return langid.keep_known(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
