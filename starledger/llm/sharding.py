@@ -66,43 +66,38 @@ def _narrow(cuts: list[_Cut], rows: DataFrame, tolerance: float) -> None:
         step = F.floor((F.col(c.key[-1]).cast("decimal(20,0)") - F.lit(c.low).cast("decimal(20,0)")) / F.lit(c.width()).cast("decimal(20,0)"))
         inside = c.tied() & F.col(c.key[-1]).between(c.low, c.high)
         node, bucket = F.when(inside, c.node).otherwise(node), F.when(inside, step.cast("long")).otherwise(bucket)
-    sums = rows.select(node.alias("at"), bucket.alias("bucket"), "size").where("at is not null").groupBy("at", "bucket").agg(F.sum("size").alias("bytes"))
-    found: dict[int, dict[int, int]] = {}
+    sums = rows.select(node.alias("at"), bucket.alias("bucket"), "size").where("at is not null").groupBy("at", "bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    found: dict[int, dict[int, tuple[int, int]]] = {}
     for r in sums.collect():  # at most open cuts x BUCKETS rows
-        found.setdefault(r["at"], {})[r["bucket"]] = r["bytes"]
+        found.setdefault(r["at"], {})[r["bucket"]] = (r["bytes"], r["rows"])
     for c in at:
         steps, width = found.get(c.node, {}), c.width()
         inside = None
         for b in sorted(steps):
-            if c.below + steps[b] > c.target:
+            if c.below + steps[b][0] > c.target:
                 inside = b
                 break
-            c.below += steps[b]
+            c.below += steps[b][0]
         if inside is None:  # everything in the interval goes left
             c.low, c.done = c.high + 1, True
             continue
         c.low, c.high = c.low + inside * width, min(c.high, c.low + (inside + 1) * width - 1)
-        if steps[inside] <= tolerance:
-            if c.target - c.below > steps[inside] / 2:
-                c.below += steps[inside]
+        size, n = steps[inside]
+        if size <= tolerance or n == 1:  # the rest goes to the side that it fits better
+            if c.target - c.below > size / 2:
                 c.low = c.high + 1
             c.done = True
         elif c.low == c.high:
-            if c.key[-1] == "row":  # one row is larger than the tolerance
-                if c.target - c.below > steps[inside] / 2:
-                    c.low += 1
-                c.done = True
-            else:
-                c.fixed.append(c.low)
-                c.key.append({c.column: "tie", "tie": "row"}[c.key[-1]])
-                c.low, c.high = -(1 << 63), (1 << 63) - 1
+            c.fixed.append(c.low)
+            c.key.append({c.column: "tie", "tie": "row"}[c.key[-1]])
+            c.low, c.high = -(1 << 63), (1 << 63) - 1
 
 
 def kd_split(rows: DataFrame, dims: list[str], shards: int, total: int) -> DataFrame:
     """``rows`` (dims as long, tie, row, size; staged) with ``shard``, the leaf's number from the left.
 
     ``total``: the bytes of all rows, more than 0. A level takes one pass for its nodes' ranges and a
-    few that narrow its cuts; rows aren't moved or written between levels.
+    few that narrow its cuts; rows are written with their node, but never shuffled or sorted.
     """
     leaves, first = {1: shards}, {1: 0}  # node -> shards below it, the first of them; node n has children 2n and 2n + 1
     level, extent = rows.withColumn("node", F.lit(1)), None
@@ -120,7 +115,8 @@ def kd_split(rows: DataFrame, dims: list[str], shards: int, total: int) -> DataF
         child = F.col("node")
         for c in cuts:
             child = F.when(F.col("node") == c.node, F.when(c.left(), 2 * c.node).otherwise(2 * c.node + 1)).otherwise(child)
-        level = level.withColumn("node", child)
+        # Written, so that the next level's expressions don't nest this one's.
+        level = staged(level.withColumn("node", child), "level")
         below: dict[int, int] = {}
         for n, k in leaves.items():
             if k == 1 or n not in nodes:
