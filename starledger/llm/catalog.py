@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from starledger.llm import decontamination, htmltext, langid, minhash, packing, sharding, tokenfile, urls
+from starledger.llm import chat, decontamination, embedding, htmltext, langid, minhash, packing, sharding, tokenfile, urls
 from starledger.llm.common import read_table
 
 #: Parameters of the registered queries.
@@ -21,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer, PACK_END_ID, SEQUENCE_TOKENS)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model")))
@@ -51,10 +55,15 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_chat_formatting,
         op3_language_id,
         op4_kd_sharding,
         op5_url_filter,
@@ -62,6 +71,7 @@ QUERIES = {
         op7_token_orc,
         op8_decontamination,
         op9_minhash_near_dedup,
+        op10_embedding_near_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {}

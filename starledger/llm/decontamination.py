@@ -32,16 +32,23 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _with_seeds(rows: DataFrame) -> DataFrame:
-    """``rows`` (with ``words``) with ``seeds``: for each mask, the hash at each position where it fits."""
-    hashed = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    places = F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - SPAN)).otherwise(F.array().cast("array<int>"))
-    seeds = [_seeds(k, mask) for k, mask in enumerate(MASKS)]
-    return hashed.withColumn("places", places).withColumn("seeds", F.concat(*seeds)).drop("h", "places")
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _seeds(number: int, mask: tuple[int, ...]) -> Column:
-    return F.transform("places", lambda i: F.xxhash64(F.lit(number), *(F.get("h", i + o) for o in mask)))
+def seeds_of(words: Column) -> Column:
+    """For each mask in turn, the hash of the words it reads at each position where a span fits."""
+
+    def hashed(h: Column) -> Column:
+        places = F.when(F.size(h) >= SPAN, F.sequence(F.lit(0), F.size(h) - SPAN)).otherwise(F.array().cast("array<int>"))
+        return _let(places, lambda p: F.concat(*(_masked(p, h, k, mask) for k, mask in enumerate(MASKS))))
+
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), hashed)
+
+
+def _masked(places: Column, h: Column, number: int, mask: tuple[int, ...]) -> Column:
+    return F.transform(places, lambda i: F.xxhash64(F.lit(number), *(F.get(h, i + o) for o in mask)))
 
 
 def _position(at: Column, words: Column) -> Column:
@@ -58,29 +65,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
     without an id; rows that repeat an id are one document (item).
     """
     items = exact_columns(benchmark, [("item_id", "long"), ("text", "string")]).where("item_id is not null")
-    items = _with_seeds(items.select("item_id", words_of(F.col("text")).alias("words"))).where("size(seeds) > 0")
-    items = staged(items.withColumnRenamed("words", "item"), "benchmark")
-    seeds = items.select("item_id", "item", F.posexplode("seeds").alias("at", "seed"))
+    items = items.select("item_id", words_of(F.col("text")).alias("item")).where(F.size("item") >= SPAN)
+    seeds = items.select("item_id", "item", F.posexplode_outer(seeds_of(F.col("item"))).alias("at", "seed"))
     seeds = staged(seeds.select("item_id", _position(F.col("at"), F.col("item")).alias("q"), "seed", "item"), "seeds")
     blocks = max(1, math.ceil(seeds.count() / SEEDS))
     texts = exact_columns(docs, [("doc_id", "long"), ("text", "string")]).where("doc_id is not null and text is not null")
-    texts = _with_seeds(texts.select("doc_id", words_of(F.col("text")).alias("words")))
-    places = texts.select("doc_id", "words", F.posexplode("seeds").alias("at", "seed"))
+    texts = texts.select("doc_id", words_of(F.col("text")).alias("words"))
+    texts = texts.withColumn("seeds", seeds_of(F.col("words")))
+    # The outer form: else a filter on the seeds' number is inferred and computes them twice. Seeds
+    # are exploded and joined in one generated loop, in which a document's words are passed by reference.
+    places = texts.select("doc_id", "words", F.posexplode_outer("seeds").alias("at", "seed"))
     found = None
     for block in range(blocks):
-        part = F.broadcast(seeds.where(F.pmod("seed", F.lit(blocks)) == block))
-        hits = _overlaps(places.join(part, "seed"), percent)
+        part = F.broadcast(seeds.where(F.pmod("seed", F.lit(blocks)) == block) if blocks > 1 else seeds)
+        hits = _compared(places.join(part, "seed"))
         found = hits if found is None else found.union(hits)
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "compared")).alias("m")).select("doc_id", "item_id", "m.*")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "compared")).alias("m")).select("doc_id", "item_id", "m.*")
+    return best.where(F.col("matched") * 100 >= F.col("compared") * percent)  # after the aggregate: within the join it would break that loop
 
 
-def _overlaps(hits: DataFrame, percent: int) -> DataFrame:
+def _compared(hits: DataFrame) -> DataFrame:
+    """(doc_id, item_id, matched, compared) of each hit: the equal words in its window."""
     p = _position(F.col("at"), F.col("words"))
     start = F.greatest(F.lit(0), F.least(F.col("q") - (WINDOW - SPAN) // 2, F.size("item") - WINDOW))
     hits = hits.select("doc_id", "item_id", "words", "item", (p - F.col("q")).alias("shift"), start.alias("start"), F.least(F.lit(WINDOW), F.size("item")).alias("compared"))
     equal = F.filter(F.sequence(F.col("start"), F.col("start") + F.col("compared") - 1), lambda i: F.get("item", i) == F.get("words", i + F.col("shift")))
-    hits = hits.withColumn("matched", F.size(equal)).select("doc_id", "item_id", "matched", "compared")
-    return hits.where(F.col("matched") * 100 >= F.col("compared") * percent)
+    return hits.select("doc_id", "item_id", F.size(equal).alias("matched"), "compared")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:

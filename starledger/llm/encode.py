@@ -19,7 +19,7 @@ MEMO_CHARS = 64
 #: Characters of text handled at once inside a worker.
 SLICE_CHARS = 4_000_000
 #: New words given to the tokenizer at once.
-JOINED_WORDS = 1000
+JOINED_WORDS = 100
 
 #: White space other than blanks and line feeds (never printable).
 _ODD_SPACE = re.compile(r"[^\S \n]")
@@ -78,17 +78,20 @@ class TextEncoder:
         whole = [i for i, w in enumerate(cut) if w is None]
         heads = [i for i, w in enumerate(cut) if w is not None] if self._keeps_space else []
         first = [cut[i].pop(0) for i in heads]  # the first word has no blank before it
-        words = [w for w in cut if w is not None]
-        new = set().union(*words) - self._memo.keys()
-        if len(self._memo) + len(new) > MEMO_WORDS:
-            self._memo.clear()
-            new = set().union(*words)
+        memo = self._memo
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
         if not self._keeps_space:
-            self._memo[""] = b""
-            new.discard("")
+            memo[""] = b""
+        found = [list(map(memo.get, w)) if w else [] for w in cut]
+        gaps = [[k for k, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
+        new = {w[k] for w, g in zip(cut, gaps, strict=True) for k in g}
         self._learn(list(new))
-        memo = self._memo
-        out = [b"".join(map(memo.__getitem__, w)) if w is not None else b"" for w in cut]
+        out = []
+        for w, f, g in zip(cut, found, gaps, strict=True):
+            for k in g:
+                f[k] = memo[w[k]]
+            out.append(b"".join(f))
         alone = self._encode([*(texts[i] for i in whole), *first])
         for i, ids in zip([*whole, *heads], alone, strict=True):
             out[i] = ids + out[i]

@@ -20,7 +20,7 @@ from starledger.llm.encode import encoder, slices
 
 ROWS = "doc_id long, chunk int, chunk_start long, n_tokens long, ids array<int>"
 ORC_OPTIONS = {
-    "compression": "zstd",
+    "compression": "lz4",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true",
