@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from starledger.llm import chat, decontamination, embedding, htmltext, langid, minhash, packing, sharding, tokenfile, urls
+from starledger.llm import chat, decontamination, embedding, htmltext, langid, minhash, oracle, packing, sharding, tokenfile, urls
 from starledger.llm.common import read_table
 
 #: Parameters of the registered queries.
@@ -74,4 +74,9 @@ QUERIES = {
         op10_embedding_near_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Tokenizers, trained models, minimum cuts, k-d cuts and spaced seeds are held against brute force in tests/llm.
+ORACLE_SQL = {
+    "op2_chat_formatting": oracle.CHAT,
+    "op9_minhash_near_dedup": oracle.NEAR_DEDUP,
+    "op10_embedding_near_dedup": oracle.EMBEDDINGS,
+}

@@ -72,15 +72,16 @@ def _runs(words: np.ndarray, begins: np.ndarray, width: int) -> list[np.ndarray]
     """Shingle hashes of each text, with repeats, in text order."""
     n = len(words)
     total = np.zeros(max(0, n - width + 1), np.uint64)
+    factors = _BASE * np.arange(3, 2 * width + 3, 2, dtype=np.uint64)
     for i in range(width):
-        total += words[i : i + len(total)] * (_BASE * np.uint64(2 * i + 3))
+        total += words[i : i + len(total)] * factors[i]
     total = mix(total)
     out = []
     for a, b in zip(begins[:-1], begins[1:], strict=True):
         if b - a >= width:
             out.append(total[a : b - width + 1])
         elif b > a:
-            part = words[a:b] * (_BASE * np.arange(3, 2 * (b - a) + 3, 2, dtype=np.uint64))
+            part = words[a:b] * factors[: b - a]
             out.append(mix(part.sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
         else:
             out.append(words[:0])
