@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 
 from starledger.llm.common import exact_columns, short_batches
 
+#: Quoted values that hold ">" are read up to a length, so that broken quotes can't make a page's time quadratic.
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]{0,2000}+\"|'[^']{0,2000}+'){0,100}+)>"
     r"|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*+)(?P<attrs2>[^>]*+)>",
     re.S,
 )
