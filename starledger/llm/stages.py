@@ -6,28 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starledger.llm import packing
+from starledger.llm import decontamination, langid, minhash, packing
+from starledger.llm.common import read_table
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a letter (or text) go."""
-    from starledger.llm import langid
-
     return langid.keep_known(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group of near-duplicates."""
-    from starledger.llm import minhash
-
     return minhash.keep_first(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    from starledger.llm import decontamination
-    from starledger.llm.common import read_table
-
     return decontamination.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
