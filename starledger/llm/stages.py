@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from starledger.llm import decontamination, langid, minhash, packing
 from starledger.llm.common import read_table
