@@ -69,7 +69,7 @@ def monthly_gross_sales_customer(m: SalesModel, customer_code: int) -> DataFrame
 
 def monthly_gross_sales_customers(m: SalesModel, customer_codes: Sequence[int] | str) -> DataFrame:
     """Monthly gross sales for several customers; ``customer_codes`` may also be the
-    procedure's comma-separated text (``"90002002,90002008"``)."""
+    procedure's comma-separated text (``"101,102"``)."""
     if isinstance(customer_codes, str):
         customer_codes = [int(c) for c in customer_codes.split(",") if c.strip()]
     return (
