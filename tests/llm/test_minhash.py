@@ -130,10 +130,27 @@ def test_pairs_within_a_large_group_are_not_made(spark):
     stars = minhash.star_pairs(lists)
     assert stars.count() <= 600
     joined = components(minhash.confirmed(stars, docs, 5, 75))
-    assert minhash.open_pairs(lists, joined, 75).count() <= 2 * 600
+    unsettled = minhash.open_classes(lists, joined).cache()
+    assert minhash.open_pairs(minhash.full_sets(docs, unsettled, 5), unsettled, 75).count() <= 2 * 600
     assert {r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {0}
 
 
+def test_a_cloud_of_texts_below_the_similarity_gives_few_pairs(spark):
+    """Copies with too many changes share much with each other and are linked with nothing."""
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(150), 7):
+            copy[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = docs.selectExpr("doc_id", "doc_id as component")
+    sets = minhash.full_sets(docs, ids, 5).cache()
+    assert minhash.open_pairs(sets, ids, 75).count() < 300
+    assert all(r["kept"] for r in minhash.near_duplicates(docs).collect())
+
+
 def test_odd_rows(spark):
     long_text = " ".join(f"t{i}" for i in range(40000))
     rows = [(5, "one two three"), (3, "ONE  two\tthree"), (4, "one two three four"), (1, None), (2, ""), (7, " \n "), (None, "one two three"), (9, long_text), (8, long_text + " end"), (3, "ONE  two\tthree"), (11, "a b c d e"), (12, "a b c d e")]
