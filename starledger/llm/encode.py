@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from contextlib import suppress
 
 import numpy as np
 
@@ -45,13 +46,23 @@ class TextEncoder:
         # are dropped, else a tab before the word's own space.
         self._mark = "\t" if keeps_space else "\0"
         (self._mark_id,) = self._tokenizer.encode(self._mark, add_special_tokens=False).ids
+        self._tails = dict(zip(",.;:!?", self._encode(list(",.;:!?")), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of words into the memo, many words to a call."""
+    def _learn(self, new: set[str]) -> None:
+        """Put the ids of words into the memo. A mark after a letter is a token by itself, so a word
+        that ends in one has the ids of the word without it, and the mark's. (The dotted capital I
+        alone ends in a non-letter when it is lower-cased.)"""
+        memo, tails, ended, words = self._memo, self._tails, [], []
+        for w in new:
+            if w[-1] in tails and w[-2:-1].isalpha() and w[-2] != "\u0130" and len(w) <= MEMO_CHARS:
+                ended.append(w)
+            else:
+                words.append(w)
+        words += {w[:-1] for w in ended} - memo.keys() - new
         for i in range(0, len(words), JOINED_WORDS):
             part = words[i : i + JOINED_WORDS]
             if self._keeps_space:
@@ -61,7 +72,9 @@ class TextEncoder:
             ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * np.flatnonzero(ids == self._mark_id)).tolist()
             raw = ids.tobytes()
-            self._memo.update(zip(part, [raw[a + 4 : b] for a, b in zip([-4, *ends], ends, strict=False)], strict=True))
+            memo.update(zip(part, [raw[a + 4 : b] for a, b in zip([-4, *ends], ends, strict=False)], strict=True))
+        for w in ended:
+            memo[w] = memo[w[:-1]] + tails[w[-1]]
 
     def _words(self, text: str) -> list[str] | None:
         """The text's words as they are in the memo; None if it is to be encoded in one piece."""
@@ -84,9 +97,9 @@ class TextEncoder:
         if not self._keeps_space:
             memo[""] = b""
         found = [list(map(memo.get, w)) if w else [] for w in cut]
-        gaps = [[k for k, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
+        gaps = [list(_places(f)) for f in found]
         new = {w[k] for w, g in zip(cut, gaps, strict=True) for k in g}
-        self._learn(list(new))
+        self._learn(new)
         out = []
         for w, f, g in zip(cut, found, gaps, strict=True):
             for k in g:
@@ -101,6 +114,15 @@ class TextEncoder:
         return out
 
 
+def _places(found: list[bytes | None]):
+    """Where a list has None."""
+    at = -1
+    with suppress(ValueError):
+        while True:
+            at = found.index(None, at + 1)
+            yield at
+
+
 _ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 
