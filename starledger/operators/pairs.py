@@ -5,15 +5,12 @@ pairs ``(r1, r2)`` with ``r1.product < r2.product`` and different attribute
 values, grouped by ``(attr(r1), attr(r2))``. A self-join emits every pair of a
 basket, quadratic in its size.
 
-Here each row is paired only with the *attribute values* present in its
-basket (at most K per row, K = distinct attribute values), never with other
-rows. For a row ``y`` with value ``B`` and a partner value ``A``, the number of
-pairs ``(x, y)`` with ``x`` in ``A`` and ``x.order < y.order`` is a running
-count over the rows of values ``{A, B}`` of the basket, ordered by the order
-key (RANGE frame ending one unit before ``y``, so equal keys never pair — the
-reference's strict ``<``). Work per basket is O(K x size), linear in its size,
-and one basket is spread over up to K(K-1)/2 window partitions (one per value
-pair), so a hot basket does not land in a single task.
+Here a basket is cut into ranges of ``width`` order keys. Pairs of different ranges need only counts:
+for each range, the rows of a value times the rows of another value in all lower ranges (a running
+sum over the counts per range). Pairs within a range are counted by a running count over the rows of two values,
+ordered by the key (RANGE frame ending one unit before the row, so equal keys never pair — the
+reference's strict ``<``). A window holds the rows of one range only, so neither a large basket nor
+two values that hold most of one gather in a task.
 """
 
 from __future__ import annotations
@@ -24,6 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Order keys in one range of a basket.
+WIDTH = 1024
+
+
 def ordered_pair_counts(
     rows: DataFrame,
     group: Sequence[str],
@@ -32,32 +33,29 @@ def ordered_pair_counts(
     out_first: str,
     out_second: str,
     out_count: str = "frequency",
+    width: int = WIDTH,
 ) -> DataFrame:
-    base = rows.select(*group, order_key, attr)
-    partners = base.select(*group, F.col(attr).alias("_partner")).distinct()
-    expanded = base.join(partners, list(group)).filter(F.col(attr) != F.col("_partner"))
+    base = rows.select(*group, F.col(order_key).alias("_at"), attr, F.floor(F.col(order_key) / width).alias("_range"))
+    ranges = base.groupBy(*group, F.col("_range").alias("_at"), attr).agg(F.count(F.lit(1)).alias("_rows"))
+    across = _earlier_partners(ranges, group, attr)
+    within = _earlier_partners(base.withColumn("_rows", F.lit(1)), [*group, "_range"], attr)
+    counts = across.union(within).groupBy(F.col("_first").alias(out_first), F.col("_second").alias(out_second)).agg(F.sum("_n").alias(out_count))
+    return counts.filter(F.col(out_count) > 0)
+
+
+def _earlier_partners(rows: DataFrame, group: Sequence[str], attr: str) -> DataFrame:
+    """(_first, _second, _n): for each row, its ``_rows`` times those of lower ``_at`` in its group that
+    have the partner's value, for each other value of the group."""
+    partners = rows.select(*group, F.col(attr).alias("_partner")).distinct()
+    expanded = rows.join(partners, list(group)).filter(F.col(attr) != F.col("_partner"))
     expanded = expanded.withColumn("_lo", F.least(attr, "_partner")).withColumn("_hi", F.greatest(attr, "_partner"))
-    # Spread each basket over its value pairs: without this the window would reuse the
-    # join's (group) partitioning and a hot basket would stay in one task (and AQE could
-    # not split the skewed join without breaking that clustering).
+    # Spread each group over its value pairs: without this the window would reuse the join's
+    # partitioning and a large group would stay in one task.
     expanded = expanded.repartition(*group, "_lo", "_hi")
-    w = (
-        Window.partitionBy(*group, "_lo", "_hi")
-        .orderBy(F.col(order_key))
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    # Frame rows share the partition's (_lo, _hi); count each side separately and
+    earlier = Window.partitionBy(*group, "_lo", "_hi").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    # Frame rows share the partition's (_lo, _hi); add up each side separately and
     # take the side that is the current row's partner.
-    earlier_lo = F.count(F.when(F.col(attr) == F.col("_lo"), F.lit(1))).over(w)
-    earlier_hi = F.count(F.when(F.col(attr) == F.col("_hi"), F.lit(1))).over(w)
-    earlier_partner = F.when(F.col(attr) == F.col("_hi"), earlier_lo).otherwise(earlier_hi)
-    contrib = expanded.select(
-        F.col("_partner").alias(out_first),
-        F.col(attr).alias(out_second),
-        earlier_partner.alias("_n"),
-    )
-    return (
-        contrib.groupBy(out_first, out_second)
-        .agg(F.sum("_n").alias(out_count))
-        .filter(F.col(out_count) > 0)
-    )
+    earlier_lo = F.sum(F.when(F.col(attr) == F.col("_lo"), F.col("_rows"))).over(earlier)
+    earlier_hi = F.sum(F.when(F.col(attr) == F.col("_hi"), F.col("_rows"))).over(earlier)
+    partner = F.when(F.col(attr) == F.col("_hi"), earlier_lo).otherwise(earlier_hi)
+    return expanded.select(F.col("_partner").alias("_first"), F.col(attr).alias("_second"), (F.col("_rows") * F.coalesce(partner, F.lit(0))).alias("_n"))

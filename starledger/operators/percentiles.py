@@ -6,16 +6,17 @@ percentile aggregate keeps every distinct value in one buffer. Here:
 
 1. rows are counted per distinct value (map-side partial aggregation, so a
    value held by a third of the rows collapses to one row before the shuffle);
-2. each distinct value gets a bucket from approximate quantile boundaries
-   (a sketch of bounded size); the bucket is a monotone function of the value,
-   so buckets are ordered ranges;
-3. per-bucket counts (one row per bucket) give, through a tiny window over
-   buckets, the number of rows in all lower buckets;
+2. the distinct values are range-partitioned, as for a distributed sort; each partition is a
+   bucket, and buckets are ordered ranges. The bucketed values are checkpointed, so every later
+   step sees the same buckets;
+3. per-bucket counts (one row per partition) give, through a window over buckets, the number of
+   rows in all lower buckets;
 4. inside each bucket a running sum over the ordered distinct values gives
    ``#rows <= x``; ``cume = (rows in lower buckets + running) / N`` — exact;
 5. the cut-off is ``MIN(x) WHERE cume >= p``, a global aggregate.
 
-Nothing is collected; the only driver-visible values are one-row scalars.
+Nothing is collected; the only driver-visible values are one-row scalars. There are as many buckets
+as the session has shuffle partitions.
 """
 
 from __future__ import annotations
@@ -25,51 +26,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 512
+from starledger.session import cut_lineage
 
 
-def cume_dist_by_value(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
-    """Distinct non-null ``value`` with ``cume_dist`` = fraction of rows with value <= it.
+
+def _bucketed(stacked: DataFrame) -> DataFrame:
+    """(_k, _v) rows counted per distinct value, with the range bucket ``_b``; nulls form rows of their own."""
+    counts = stacked.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return cut_lineage(counts.repartitionByRange("_k", "_v").withColumn("_b", F.spark_partition_id()))
+
+
+def _cume(stacked: DataFrame) -> DataFrame:
+    """Distinct non-null ``_v`` of each ``_k`` with ``_cd``, the share of its rows that aren't greater.
 
     NULLs sort first in an ascending window, so they count as lower than any value.
     """
-    spark = df.sparkSession
-    # Buckets bound both the per-value boundary scan and the window parallelism;
-    # a few hundred keep each bucket's window small without a long scan per value.
-    buckets = buckets or min(MAX_BUCKETS, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    probs = [i / buckets for i in range(1, buckets)]
-    key = F.col(value).cast("double")
-    # One scalar subquery: quantile boundaries (bounded sketch), row count, NULL count.
-    head = df.agg(
-        F.struct(
-            F.percentile_approx(key, probs, 10_000).alias("bounds"),
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col(value).isNull()).alias("nulls"),
-        )
-    ).scalar()
-    bounds, n_total, n_null = head.getField("bounds"), head.getField("n"), head.getField("nulls")
-
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    # Bind the boundary array to a column first: subqueries may not appear inside
-    # a higher-order function, attributes may.
-    counts = counts.withColumn("_bounds", bounds).withColumn(
-        "_b", F.size(F.filter(F.col("_bounds"), lambda b: b < F.col(value).cast("double")))
-    ).drop("_bounds")
-    per_bucket = counts.groupBy("_b").agg(F.sum("_n").alias("_bn"))
-    # One row per bucket: a window over a bounded, tiny table.
-    offsets = per_bucket.select(
-        "_b",
-        F.coalesce(F.sum("_bn").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-    )
-    running = F.sum("_n").over(
-        Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return counts.join(F.broadcast(offsets), "_b").select(
-        value,
-        ((F.col("_before") + running + n_null).cast("double") / n_total.cast("double")).alias("cume_dist"),
+    counts = _bucketed(stacked)
+    per_bucket = counts.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn"))
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select("_k", "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_before"))
+    totals = per_bucket.groupBy("_k").agg(F.sum("_bn").alias("_total"))
+    upto = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = counts.withColumn("_run", F.sum("_n").over(upto))
+    return (
+        running.join(offsets, ["_k", "_b"])
+        .join(totals, "_k")
+        .filter(F.col("_v").isNotNull())
+        .select("_k", "_v", ((F.col("_before") + F.col("_run")).cast("double") / F.col("_total").cast("double")).alias("_cd"))
     )
 
 
+def cume_dist_by_value(df: DataFrame, value: str) -> DataFrame:
+    """Distinct non-null ``value`` with ``cume_dist`` = fraction of rows with value <= it."""
+    return _cume(df.select(F.lit(0).alias("_k"), F.col(value).alias("_v"))).select(F.col("_v").alias(value), F.col("_cd").alias("cume_dist"))
+
+
 def cume_dist_cutoffs(df: DataFrame, value: str, probs: Sequence[float]) -> list[Column]:
     """Scalar columns ``MIN(value) WHERE CUME_DIST() OVER (ORDER BY value) >= p`` per ``p``.
 
@@ -84,42 +75,15 @@ def cume_dist_cutoffs(df: DataFrame, value: str, probs: Sequence[float]) -> list
 def cume_dist_cutoffs_many(df: DataFrame, specs: dict[str, Sequence[float]], as_type: str = "decimal(38,4)") -> dict[str, list[Column]]:
     """``cume_dist_cutoffs`` for several columns in one pass.
 
-    The columns are stacked as ``(column id, value)`` rows (values cast to the
-    common exact type ``as_type``), so one sketch subquery and one cut-off
-    subquery serve all of them; the per-column work is partitioned by the
-    column id. Returns, per column, the cut-off scalars in ``specs`` order.
+    The columns are stacked as ``(column id, value)`` rows (values cast to the common exact type
+    ``as_type``), so one pass serves all of them. Returns, per column, the cut-off scalars in
+    ``specs`` order.
     """
     cols = list(specs)
-    spark = df.sparkSession
-    buckets = min(MAX_BUCKETS, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    probs = [i / buckets for i in range(1, buckets)]
     stacked = df.select(
         F.explode(F.array(*[F.struct(F.lit(i).alias("_k"), F.col(c).cast(as_type).alias("_v")) for i, c in enumerate(cols)])).alias("_s")
     ).select("_s._k", "_s._v")
-
-    head = stacked.groupBy("_k").agg(
-        F.percentile_approx(F.col("_v").cast("double"), probs, 10_000).alias("bounds"),
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("_v").isNull()).alias("nulls"),
-    )
-    counts = stacked.filter(F.col("_v").isNotNull()).groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    # head has one row per column: broadcast, then bucket each value by its column's bounds.
-    counts = counts.join(F.broadcast(head), "_k").withColumn(
-        "_b", F.size(F.filter(F.col("bounds"), lambda b: b < F.col("_v").cast("double")))
-    )
-    per_bucket = counts.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn"))
-    offsets = per_bucket.select(
-        "_k", "_b",
-        F.coalesce(
-            F.sum("_bn").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-    )
-    running = F.sum("_n").over(
-        Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    cd = counts.join(F.broadcast(offsets), ["_k", "_b"]).select(
-        "_k", "_v", ((F.col("_before") + running + F.col("nulls")).cast("double") / F.col("n").cast("double")).alias("_cd")
-    )
+    cd = _cume(stacked)
     fields = []
     for i, c in enumerate(cols):
         for j, p in enumerate(specs[c]):

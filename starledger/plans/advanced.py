@@ -56,29 +56,30 @@ def adv_clv(m: SalesModel, market: str, n: int = 20) -> DataFrame:
     return top_n(out, [F.col("_exact").desc(), "customer_code"], n).drop("_exact")
 
 
+def _last_months(m: SalesModel, market: str) -> DataFrame:
+    """Customers of the market with their latest sales month (null without sales).
+
+    Sales are reduced to a row per customer on the map side before they are joined, so a customer
+    with many sales is no burden and the join is between two customer-sized tables.
+    """
+    last = m.fact_sales_monthly.groupBy("customer_code").agg(F.max("date").alias("last_purchase_date"))
+    customers = m.dim_customer.filter(F.col("market") == market).select("customer_code", "customer")
+    return customers.join(last, "customer_code", "left")
+
+
 def adv_churn_rate(m: SalesModel, market: str) -> DataFrame:
     """% of the market's customers with no purchase, or none in the year before the
     latest purchase month of the whole sales table."""
-    sales = m.fact_sales_monthly.select("customer_code", "date")
-    cutoff = sales.agg(F.add_months(F.max("date"), -CHURN_LOOKBACK_MONTHS)).scalar()
-    cust = m.dim_customer.filter(F.col("market") == market).select("customer_code", "customer")
-    last = cust.join(sales, "customer_code", "left").groupBy("customer_code", "customer").agg(F.max("date").alias("_last"))
-    churned = last.agg(F.count_if(F.col("_last").isNull() | (F.col("_last") < cutoff)).alias("_churned"))
-    all_customers = cust.agg(F.count(F.lit(1))).scalar()
-    return churned.select(
-        (F.try_divide(F.col("_churned").cast("double"), all_customers.cast("double")) * F.lit(100)).alias("churn_rate")
-    )
+    cutoff = m.fact_sales_monthly.agg(F.add_months(F.max("date"), -CHURN_LOOKBACK_MONTHS)).scalar()
+    last = F.col("last_purchase_date")
+    counts = _last_months(m, market).agg(F.count_if(last.isNull() | (last < cutoff)).alias("churned"), F.count(F.lit(1)).alias("all"))
+    return counts.select((F.try_divide(F.col("churned").cast("double"), F.col("all").cast("double")) * F.lit(100)).alias("churn_rate"))
 
 
 def adv_at_risk_customers(m: SalesModel, market: str, as_of: _dt.date, n: int = 20, months: int = AT_RISK_MONTHS) -> DataFrame:
-    sales = m.fact_sales_monthly.select("customer_code", "date")
-    cust = m.dim_customer.filter(F.col("market") == market).select("customer_code", "customer")
-    recent = cust.join(sales.filter(F.col("date") >= F.add_months(F.lit(as_of), -months)), "customer_code").select("customer_code")
-    quiet = cust.join(recent, "customer_code", "left_anti")
-    last = quiet.join(sales, "customer_code", "left").groupBy("customer_code", "customer").agg(
-        F.max("date").alias("last_purchase_date")
-    )
-    return top_n(last, [F.col("last_purchase_date").desc_nulls_last(), "customer_code"], n)
+    last = F.col("last_purchase_date")
+    quiet = _last_months(m, market).filter(last.isNull() | (last < F.add_months(F.lit(as_of), -months)))
+    return top_n(quiet, [last.desc_nulls_last(), "customer_code"], n)
 
 
 def _basket_pairs(m: SalesModel, market: str, attr: str, first: str, second: str, n: int) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from starledger.plans import advanced, finance, headline, market, quality, revenue, supply
+from starledger.sources.act_est import integrate_act_est
 from starledger.sources.dirty import dirty_dim_customer, dirty_dim_product, dirty_fact_sales
 from starledger.sources.logs import read_events
 from starledger.sources.star import SalesModel
@@ -90,9 +91,9 @@ REPORTS: dict[str, Report] = {
     "region_net_sales_breakdown": lambda s, b, m: revenue.region_net_sales_breakdown(m, P.fiscal_year),
     "top2_markets_per_region_gross": lambda s, b, m: revenue.top_n_markets_per_region_gross(m, P.fiscal_year, 2),
     # D. supply chain
-    "act_est_build": lambda s, b, m: _act(m),
+    "act_est_build": lambda s, b, m: integrate_act_est(m.fact_sales_monthly, m.fact_forecast_monthly),
     "session_log_ingest": lambda s, b, m: supply.session_log_ingest(read_events(s, b)),
-    "session_log_purge": lambda s, b, m: supply.purge_logs(supply.session_log_ingest(read_events(s, b)), P.log_as_of, P.log_days),
+    "session_log_purge": lambda s, b, m: supply.session_log_purge(read_events(s, b), P.log_as_of, P.log_days),
     "forecast_accuracy": lambda s, b, m: supply.forecast_accuracy(_act(m, P.fiscal_year), m.dim_customer, P.fiscal_year),
     "forecast_accuracy_proc": lambda s, b, m: supply.forecast_accuracy(_act(m, P.prev_fiscal_year), m.dim_customer, P.prev_fiscal_year),
     "act_est_typed": lambda s, b, m: supply.act_est_typed(_act(m)),

@@ -151,7 +151,7 @@ def _per_customer(star: DataFrame, keys: list[Column | str], exact_distinct: boo
 
 
 def cmp_market_vs_rest(m: SalesModel, market: str, exact_distinct: bool = True) -> DataFrame:
-    return _per_customer(revenue_star(m), [_market_group(market)], exact_distinct).orderBy(F.col("total_revenue").desc())
+    return _per_customer(revenue_star(m), [_market_group(market)], exact_distinct).orderBy(F.col("total_revenue").desc(), "market_group")
 
 
 def cmp_category_preferences(m: SalesModel, market: str) -> DataFrame:
@@ -160,7 +160,7 @@ def cmp_category_preferences(m: SalesModel, market: str) -> DataFrame:
     )
     return agg.select(
         "category", "market_group", "quantity_sold", F.col("_rev").cast("double").alias("total_revenue")
-    ).orderBy("category", F.col("total_revenue").desc())
+    ).orderBy("category", F.col("total_revenue").desc(), "market_group")
 
 
 def cmp_regions(m: SalesModel, exact_distinct: bool = True) -> DataFrame:
@@ -176,8 +176,8 @@ def cmp_top_markets_by_region(m: SalesModel, n: int = 3) -> DataFrame:
 
 
 def cmp_channel_effectiveness(m: SalesModel, exact_distinct: bool = True) -> DataFrame:
-    return _per_customer(revenue_star(m), ["market", "channel"], exact_distinct).orderBy("market", F.col("total_revenue").desc())
+    return _per_customer(revenue_star(m), ["market", "channel"], exact_distinct).orderBy("market", F.col("total_revenue").desc(), "channel")
 
 
 def cmp_platform_effectiveness(m: SalesModel, exact_distinct: bool = True) -> DataFrame:
-    return _per_customer(revenue_star(m), ["market", "platform"], exact_distinct).orderBy("market", F.col("total_revenue").desc())
+    return _per_customer(revenue_star(m), ["market", "platform"], exact_distinct).orderBy("market", F.col("total_revenue").desc(), "platform")

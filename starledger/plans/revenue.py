@@ -115,12 +115,11 @@ def top_n_markets_net_sales(m: SalesModel, fy: int, n: int) -> DataFrame:
 
 
 def _net_sales_by_customer(m: SalesModel, fy: int, market: str | None = None, with_region: bool = False) -> DataFrame:
-    ns = views.net_sales(m, fy).select("customer_code", "market", "net_sales")
+    keys = ["customer", "region"] if with_region else ["customer"]
+    ns = views.net_sales(m, fy, *keys)
     if market is not None:
         ns = ns.filter(F.col("market") == market)
-    c = m.dim_customer.select("customer_code", "customer", "region")
-    keys = ["customer", "region"] if with_region else ["customer"]
-    return ns.join(c, "customer_code").groupBy(*keys).agg(mln_units(F.sum("net_sales")).alias("_u"))
+    return ns.groupBy(*keys).agg(mln_units(F.sum("net_sales")).alias("_u"))
 
 
 def top_n_customers_net_sales(m: SalesModel, market: str, fy: int, n: int) -> DataFrame:
@@ -178,9 +177,7 @@ def top_n_products_net_sales(m: SalesModel, fy: int, n: int) -> DataFrame:
 
 
 def top_n_markets_per_region_gross(m: SalesModel, fy: int, n: int) -> DataFrame:
-    gs = views.gross_sales(m, fy).select("customer_code", "gross_price_total")
-    c = m.dim_customer.select("customer_code", "market", "region")
-    agg = gs.join(c, "customer_code").groupBy("market", "region").agg(mln_units(F.sum("gross_price_total")).alias("_u"))
+    agg = views.gross_sales(m, fy, "region").groupBy("market", "region").agg(mln_units(F.sum("gross_price_total")).alias("_u"))
     ranked = top_n_per_group(agg, ["region"], [F.col("_u").desc()], n, rank_col="drnk")
     return ranked.select("market", "region", (F.col("_u").cast("double") / 100.0).alias("gross_sales_mln"), "drnk")
 

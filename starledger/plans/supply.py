@@ -12,8 +12,11 @@ from starledger.constants import FULL_ACCURACY_PCT
 
 from starledger.functions.dates import fiscal_year
 from starledger.functions.money import double_ratio, exact_round_units
-from starledger.sources.logs import session_logs_from_events
-from starledger.sources.star import SalesModel, integrate_act_est
+from starledger.session import shared_dir
+from starledger.sources.act_est import integrate_act_est
+from starledger.sources.logs import raw_logs_from_events
+from starledger.sources.star import SalesModel
+from starledger.streaming.purge import append_logs, purge_logs, read_logs
 
 ACT_EST_COLS = ["date", "fiscal_year", "product_code", "customer_code", "sold_quantity", "forecast_quantity"]
 
@@ -111,7 +114,7 @@ def forecast_accuracy_table(
         F.col("net_err").alias("net_error"), pct_cols[0],
         F.col("abs_err").alias("abs_error"), pct_cols[1],
         accuracy.alias("forecast_accuracy"),
-    )
+    ).orderBy(F.col("forecast_accuracy").desc_nulls_last(), "customer_code", *by_year)
 
 
 def forecast_accuracy_drop(act: DataFrame, dim_customer: DataFrame, fy_prev: int, fy_curr: int) -> DataFrame:
@@ -135,10 +138,15 @@ def forecast_accuracy_drop(act: DataFrame, dim_customer: DataFrame, fy_prev: int
 
 
 def session_log_ingest(events: DataFrame) -> DataFrame:
-    """Typed session-log rows (the events stand-in)."""
-    return session_logs_from_events(events)
-
-
-def purge_logs(logs: DataFrame, as_of: _dt.date, days: int) -> DataFrame:
-    """Keep rows whose day is not older than ``as_of - days`` (the purge's survivors)."""
-    return logs.filter(F.to_date(F.col("ts")) >= F.date_sub(F.lit(as_of), days))
+    """Raw log rows (the events stand-in) typed and appended to a session-log table; the table."""
+    target = shared_dir(events.sparkSession, "logs")
+    append_logs(raw_logs_from_events(events), target, 0)
+    return read_logs(events.sparkSession, target)
+
+
+def session_log_purge(events: DataFrame, as_of: _dt.date, days: int) -> DataFrame:
+    """The session-log table after a purge of the days older than ``as_of`` - ``days``."""
+    target = shared_dir(events.sparkSession, "logs")
+    append_logs(raw_logs_from_events(events), target, 0)
+    purge_logs(events.sparkSession, target, as_of, days)
+    return read_logs(events.sparkSession, target)

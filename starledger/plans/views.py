@@ -34,55 +34,65 @@ def _price(m: SalesModel) -> DataFrame:
     return m.fact_gross_price.select("product_code", "fiscal_year", "gross_price")
 
 
-def gross_sales(m: SalesModel, fiscal_year: int | None = None) -> DataFrame:
-    s = _sales(m, fiscal_year)
-    p = m.dim_product.select("product_code", "product", "variant")
-    c = m.dim_customer.select("customer_code", "customer", "market")
+def _products(m: SalesModel) -> DataFrame:
+    """Price list with product names, per (product, fiscal year)."""
+    return _price(m).join(m.dim_product.select("product_code", "product", "variant"), "product_code")
+
+
+def _discounts(m: SalesModel, *columns: str) -> DataFrame:
+    """Pre-invoice discounts with customer columns, per (customer, fiscal year)."""
+    pre = m.fact_pre_invoice_deductions.select("customer_code", "fiscal_year", "pre_invoice_discount_pct")
+    return pre.join(m.dim_customer.select("customer_code", "market", *columns), "customer_code")
+
+
+def gross_sales(m: SalesModel, fiscal_year: int | None = None, *columns: str) -> DataFrame:
+    """``columns``: further customer columns to carry."""
+    c = m.dim_customer.select("customer_code", "customer", "market", *columns)
     return (
-        s.join(p, "product_code")
+        _sales(m, fiscal_year)
+        .join(_products(m), ["product_code", "fiscal_year"])
         .join(c, "customer_code")
-        .join(_price(m), ["product_code", "fiscal_year"])
         .select(
             "date", "fiscal_year", "customer_code", "customer", "market", "product_code", "product", "variant",
             "sold_quantity",
             F.col("gross_price").alias("gross_price_per_item"),
             gross_line_total("sold_quantity", "gross_price").alias("gross_price_total"),
+            *columns,
         )
     )
 
 
-def sales_preinv_discount(m: SalesModel, fiscal_year: int | None = None) -> DataFrame:
-    s = _sales(m, fiscal_year)
-    c = m.dim_customer.select("customer_code", "market")
-    p = m.dim_product.select("product_code", "product", "variant")
-    pre = m.fact_pre_invoice_deductions.select("customer_code", "fiscal_year", "pre_invoice_discount_pct")
+def sales_preinv_discount(m: SalesModel, fiscal_year: int | None = None, *columns: str) -> DataFrame:
+    """``columns``: further customer columns to carry. The small sides are joined with each other
+    first (customers with discounts, products with prices), so the fact meets two tables, not four."""
     return (
-        s.join(c, "customer_code")
-        .join(p, "product_code")
-        .join(_price(m), ["product_code", "fiscal_year"])
-        .join(pre, ["customer_code", "fiscal_year"])
+        _sales(m, fiscal_year)
+        .join(_products(m), ["product_code", "fiscal_year"])
+        .join(_discounts(m, *columns), ["customer_code", "fiscal_year"])
         .select(
             "date", "fiscal_year", "customer_code", "market", "product_code", "product", "variant", "sold_quantity",
             F.col("gross_price").alias("gross_price_per_item"),
             gross_line_total("sold_quantity", "gross_price").alias("gross_price_total"),
             "pre_invoice_discount_pct",
+            *columns,
         )
     )
 
 
-def sales_postinv_discount(m: SalesModel, fiscal_year: int | None = None) -> DataFrame:
-    s = sales_preinv_discount(m, fiscal_year)
+def sales_postinv_discount(m: SalesModel, fiscal_year: int | None = None, *columns: str) -> DataFrame:
+    s = sales_preinv_discount(m, fiscal_year, *columns)
     po = m.fact_post_invoice_deductions.select("customer_code", "product_code", "date", "discounts_pct", "other_deductions_pct")
     return s.join(po, ["customer_code", "product_code", "date"]).select(
         "date", "fiscal_year", "customer_code", "market", "product_code", "product", "variant",
         "sold_quantity", "gross_price_total", "pre_invoice_discount_pct",
         ((F.lit(1) - F.col("pre_invoice_discount_pct")) * F.col("gross_price_total")).alias("net_invoice_sales"),
         (F.col("discounts_pct") + F.col("other_deductions_pct")).alias("post_invoice_discount_pct"),
+        *columns,
     )
 
 
-def net_sales(m: SalesModel, fiscal_year: int | None = None) -> DataFrame:
-    s = sales_postinv_discount(m, fiscal_year)
+def net_sales(m: SalesModel, fiscal_year: int | None = None, *columns: str) -> DataFrame:
+    s = sales_postinv_discount(m, fiscal_year, *columns)
     return s.select("*", (F.col("net_invoice_sales") * (F.lit(1) - F.col("post_invoice_discount_pct"))).alias("net_sales"))
 
 
@@ -104,12 +114,3 @@ def revenue_star(m: SalesModel, market: str | None = None, with_product: bool =
     if with_price:
         star = star.join(_price(m), ["product_code", "fiscal_year"]).withColumn("rev", revenue("sold_quantity", "gross_price"))
     return star
-
-
-def register_views(m: SalesModel) -> None:
-    """Register the model tables and the four views as temp views for SQL users."""
-    m.register_views()
-    gross_sales(m).createOrReplaceTempView("gross_sales")
-    sales_preinv_discount(m).createOrReplaceTempView("sales_preinv_discount")
-    sales_postinv_discount(m).createOrReplaceTempView("sales_postinv_discount")
-    net_sales(m).createOrReplaceTempView("net_sales")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,32 +29,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the cluster's shared checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``; only when the session has none
-    (as in unit tests) a scratch folder is created and registered on the session.
-    """
+    """A new path in the folder that ``spark.checkpoint.dir`` names, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    base = base.rstrip("/")
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = f"{base}/starledger/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
-    return path
+    return f"{base.rstrip('/')}/starledger/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's reliable checkpoint folder (``spark.checkpoint.dir``); a scratch
-    folder is registered only when the session has none (local tests)."""
+    """The session's reliable checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a local session (one machine, as in tests) may lack the setting and gets a folder of its
+    own; on a cluster a machine's own folder would hold incomplete tables, so that is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="starledger-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     sc.setCheckpointDir(base)

@@ -19,7 +19,7 @@ SESSION_LOG_SCHEMA = T.StructType(
     ]
 )
 
-_RAW = T.StructType([T.StructField(f.name, T.StringType(), True) for f in SESSION_LOG_SCHEMA.fields])
+RAW_LOG_SCHEMA = T.StructType([T.StructField(f.name, T.StringType(), True) for f in SESSION_LOG_SCHEMA.fields])
 
 
 def coerce_session_logs(raw: DataFrame) -> DataFrame:
@@ -34,17 +34,13 @@ def coerce_session_logs(raw: DataFrame) -> DataFrame:
 
 def session_logs_from_rows(spark: SparkSession, rows: Iterable[tuple[str, str, str, str]]) -> DataFrame:
     """Typed session logs from literal (ts, session_id, user_id, log) string rows."""
-    return coerce_session_logs(spark.createDataFrame(list(rows), schema=_RAW))
+    return coerce_session_logs(spark.createDataFrame(list(rows), schema=RAW_LOG_SCHEMA))
 
 
-def session_logs_from_events(events: DataFrame) -> DataFrame:
-    """The events table mapped onto the session-log schema."""
-    return events.select(
-        F.col("ts").cast("timestamp_ntz").alias("ts"),
-        F.col("event_id").cast("bigint").alias("session_id"),
-        F.col("user_id").cast("bigint").alias("user_id"),
-        F.concat(F.upper(F.col("event_type")), F.lit(" | "), F.col("props")).alias("log"),
-    )
+def raw_logs_from_events(events: DataFrame) -> DataFrame:
+    """The events table as raw (all-string) log rows."""
+    log = F.concat(F.upper(F.col("event_type")), F.lit(" | "), F.col("props"))
+    return events.select(F.col("ts").cast("string").alias("ts"), F.col("event_id").cast("string").alias("session_id"), F.col("user_id").cast("string").alias("user_id"), log.alias("log"))
 
 
 def read_events(spark: SparkSession, base: str) -> DataFrame:

@@ -16,7 +16,6 @@ Everything is lazy: building a model runs no Spark job.
 from __future__ import annotations
 
 import dataclasses
-import os
 import threading
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -26,6 +25,8 @@ from pyspark.sql import functions as F
 
 from starledger.functions.dates import fiscal_year
 from starledger.session import shared_dir
+from starledger.sources.act_est import integrate_act_est  # noqa: F401 - part of the model's interface
+from starledger.streaming.upsert import ActEstTable
 
 STAR_TABLES = (
     "dim_customer",
@@ -39,7 +40,7 @@ STAR_TABLES = (
 )
 
 # Facts partitioned on disk by fiscal year (the reports' most common filter).
-FY_PARTITIONED = ("fact_sales_monthly", "fact_gross_price", "fact_pre_invoice_deductions", "fact_forecast_monthly", "fact_act_est")
+FY_PARTITIONED = ("fact_sales_monthly", "fact_gross_price", "fact_pre_invoice_deductions", "fact_forecast_monthly")
 
 
 @dataclass(frozen=True)
@@ -89,34 +90,37 @@ def load_star(spark: SparkSession, path: str, with_act_est: bool = True, schemas
     path = path.rstrip("/")
     model = SalesModel(**{t: _read_table(spark, path, t, schemas) for t in STAR_TABLES})
     if with_act_est:
-        try:
-            model = model.replace(fact_act_est=_read_table(spark, path, "fact_act_est", schemas))
-        except Exception:  # noqa: BLE001 - no materialised act_est in this star
-            pass
+        table = ActEstTable(spark, f"{path}/fact_act_est")
+        if table.exists():  # else the reports derive it from the facts
+            model = model.replace(fact_act_est=table.read())
     return model
 
 
+def act_est_facts(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """The stored facts that ``fact_act_est`` is rebuilt from."""
+    return [_read_table(spark, path, t, {t: tables[t].schema}) for t in ("fact_sales_monthly", "fact_forecast_monthly")]
+
+
 def write_star(model: SalesModel, path: str, parallel: int = 1) -> dict:
     """Write every table under ``path``; fiscal-year facts are partitioned by ``fiscal_year``
     and clustered by customer inside each partition (row-group pruning on customer filters).
     Returns the written schemas."""
     path = path.rstrip("/")
     tables = model.tables()
-    tables["fact_act_est"] = model.fact_act_est if model.fact_act_est is not None else integrate_act_est(
-        model.fact_sales_monthly, model.fact_forecast_monthly
-    )
+
     def write_one(name: str, df: DataFrame) -> None:
         if name in FY_PARTITIONED:
-            # Range-partition on (fiscal_year, clustering key): a fiscal year is spread
-            # over many tasks/files (no single writer per year), each file covers a
-            # narrow customer range, so customer filters skip row groups.
-            key = "customer_code" if "customer_code" in df.columns else "product_code"
-            clustered = df.repartitionByRange("fiscal_year", key).sortWithinPartitions("fiscal_year", key)
+            # Range-partition on (fiscal_year, clustering keys): a fiscal year is spread over many
+            # tasks, each file covers a narrow customer range, so customer filters skip row groups.
+            # The further keys split a customer that holds much of a year.
+            keys = [c for c in ("customer_code", "product_code", "date") if c in df.columns]
+            clustered = df.repartitionByRange("fiscal_year", *keys).sortWithinPartitions("fiscal_year", *keys)
             clustered.write.mode("overwrite").partitionBy("fiscal_year").parquet(f"{path}/{name}")
         elif name == "fact_post_invoice_deductions":
             # Same grain as sales, no fiscal_year column: partition by month so a
             # date range (inferred through the join key) prunes directories.
-            clustered = df.repartitionByRange("date", "customer_code").sortWithinPartitions("date", "customer_code")
+            keys = ["date", "customer_code", "product_code"]
+            clustered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
             clustered.write.mode("overwrite").partitionBy("date").parquet(f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -126,6 +130,8 @@ def write_star(model: SalesModel, path: str, parallel: int = 1) -> dict:
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         for future in [pool.submit(write_one, name, df) for name, df in tables.items()]:
             future.result()
+    spark = model.fact_sales_monthly.sparkSession
+    ActEstTable(spark, f"{path}/fact_act_est").rebuild(*act_est_facts(spark, path, tables))
     return {name: df.schema for name, df in tables.items()}
 
 
@@ -154,43 +160,27 @@ def build_star(spark: SparkSession, base: str, path: str | None = None) -> Sales
     return load_star(spark, target, schemas=schemas)
 
 
-_STARS: dict[tuple[str, str], SalesModel] = {}
+_STARS: dict[tuple, SalesModel] = {}
 _STARS_LOCK = threading.Lock()
 
 
+def _fingerprint(spark: SparkSession, base: str) -> tuple:
+    """Names, sizes and times of the driver tables' files: a star of changed tables is built anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path(base))))
+
+
 def star_for(spark: SparkSession, base: str) -> SalesModel:
     """The stored star for the driver tables under ``base``, built once per Spark
     application (``build_star`` into the shared checkpoint folder) and reused."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(base))
+    key = (spark.sparkContext.applicationId, base.rstrip("/"), _fingerprint(spark, base))
     with _STARS_LOCK:
         if key not in _STARS:
             _STARS[key] = build_star(spark, base)
         return _STARS[key]
 
 
-# --------------------------------------------------------------------------- integration
-
-ACT_EST_KEYS = ["date", "product_code", "customer_code"]
-
-
-def integrate_act_est(fact_sales: DataFrame, fact_forecast: DataFrame) -> DataFrame:
-    """fact_act_est: every (month, product, customer) with sales and/or forecast, gaps = 0.
-
-    One full outer join replaces the LEFT JOIN UNION ALL anti-branch of the
-    reference (same rows, as the keys are never NULL): one shuffle per side.
-    """
-    s = fact_sales.select(*ACT_EST_KEYS, "sold_quantity")
-    f = fact_forecast.select(*ACT_EST_KEYS, "forecast_quantity")
-    return s.join(f, ACT_EST_KEYS, "full").select(
-        "date",
-        fiscal_year("date").alias("fiscal_year"),
-        "product_code",
-        "customer_code",
-        F.coalesce(F.col("sold_quantity"), F.lit(0)).cast("bigint").alias("sold_quantity"),
-        F.coalesce(F.col("forecast_quantity"), F.lit(0)).cast("bigint").alias("forecast_quantity"),
-    )
-
-
 # --------------------------------------------------------------------------- derivation
 
 

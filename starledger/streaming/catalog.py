@@ -1,42 +1,22 @@
-"""Registry entries for the streaming jobs.
-
-``act_est_upsert_actuals``: start from the forecast-only table, stream every
-sales row through the upsert job; ``act_est_upsert_forecast``: the mirror
-image. Both final states must equal the batch rebuild ``act_est_build``.
-"""
+"""Registry entries for the streaming jobs: each streams both facts, as change feeds, into an empty
+table, one in either order. Both final states equal the batch rebuild ``act_est_build``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from starledger.functions.dates import fiscal_year
 from starledger.sources.star import star_for
-from starledger.streaming.upsert import ACT_EST_COLS, replay_upserts
-
-
-def _only(df: DataFrame, column: str) -> DataFrame:
-    other = "forecast_quantity" if column == "sold_quantity" else "sold_quantity"
-    return df.select(
-        "date", fiscal_year("date").alias("fiscal_year"), "product_code", "customer_code",
-        F.col(column).cast("bigint").alias(column), F.lit(0).cast("bigint").alias(other),
-    ).select(*ACT_EST_COLS)
-
-
-def _model(spark: SparkSession, sf_dir: str):
-    return star_for(spark, sf_dir)
+from starledger.streaming.upsert import replay
 
 
 def act_est_upsert_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _model(spark, sf_dir)
-    initial = _only(m.fact_forecast_monthly, "forecast_quantity")
-    return replay_upserts(spark, initial, m.fact_sales_monthly, "sold_quantity")
+    m = star_for(spark, sf_dir)
+    return replay(spark, [(m.fact_forecast_monthly, "forecast_quantity"), (m.fact_sales_monthly, "sold_quantity")])
 
 
 def act_est_upsert_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _model(spark, sf_dir)
-    initial = _only(m.fact_sales_monthly, "sold_quantity")
-    return replay_upserts(spark, initial, m.fact_forecast_monthly, "forecast_quantity")
+    m = star_for(spark, sf_dir)
+    return replay(spark, [(m.fact_sales_monthly, "sold_quantity"), (m.fact_forecast_monthly, "forecast_quantity")])
 
 
 STREAM_REPORTS = {

@@ -1,53 +1,53 @@
-"""Session-log retention on a stream (the reference's scheduled purge).
+"""The session-log table: typed appends, idempotent per batch, and a purge that deletes whole days.
 
-Logs are appended per micro-batch into a table partitioned by ``log_date``;
-rows older than the retention window are dropped on the way in, and readers
-see only the days inside the window (a partition filter, so expired days are
-never scanned and can be removed as whole directories by the storage layer's
-retention). ``purge_logs`` (plans/supply.py) is the batch form of the rule.
+Rows lie under ``batch_id=B/log_date=D``. A batch replaces its own folder, so a batch that is run
+twice gives the same rows; a purge drops the folders of expired days. Rows without a day (a
+timestamp that can't be read) have no age and stay.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from starledger.sources.logs import SESSION_LOG_SCHEMA
+from starledger.sources.logs import RAW_LOG_SCHEMA, SESSION_LOG_SCHEMA, coerce_session_logs
 
+STORED = T.StructType([*SESSION_LOG_SCHEMA.fields, T.StructField("batch_id", T.StringType()), T.StructField("log_date", T.DateType())])
 
-def retained(logs: DataFrame, as_of: _dt.date | F.Column, days: int) -> DataFrame:
-    """Rows whose day is not older than ``as_of - days``."""
-    day0 = F.date_sub(F.lit(as_of) if isinstance(as_of, _dt.date) else as_of, days)
-    return logs.filter(F.to_date("ts") >= day0)
 
+def append_logs(raw: DataFrame, target: str, batch_id: str | int) -> None:
+    """Type ``raw`` (all strings) and store it as batch ``batch_id``, in place of an earlier run of it."""
+    logs = coerce_session_logs(raw).withColumn("log_date", F.to_date("ts"))
+    logs.write.mode("overwrite").partitionBy("log_date").parquet(f"{target}/batch_id={batch_id}")
 
-def append_retained(batch: DataFrame, target: str, as_of: _dt.date, days: int) -> None:
-    """foreachBatch body: keep the batch's rows inside the window and append them,
-    partitioned by day (old days can then be dropped as whole directories)."""
-    (
-        retained(batch, as_of, days)
-        .withColumn("log_date", F.to_date("ts"))
-        .write.mode("append")
-        .partitionBy("log_date")
-        .parquet(target)
-    )
 
+def read_logs(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.schema(STORED).parquet(target).select(*SESSION_LOG_SCHEMA.fieldNames())
 
-def run_log_stream(spark: SparkSession, source_dir: str, target: str, checkpoint: str, as_of: _dt.date, days: int) -> None:
-    """Drain log files under ``source_dir`` into ``target`` with the retention rule applied."""
-    stream = spark.readStream.schema(SESSION_LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source_dir)
-    query = (
-        stream.writeStream.foreachBatch(lambda df, _id: append_retained(df, target, as_of, days))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
 
+def purge_logs(spark: SparkSession, target: str, as_of: _dt.date, days: int) -> int:
+    """Delete the days older than ``as_of`` - ``days``; the number of folders that went."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    first = (as_of - _dt.timedelta(days=days)).isoformat()
+    gone = 0
+    for found in fs.globStatus(path(f"{target}/batch_id=*/log_date=*")) or []:
+        day = found.getPath().getName().removeprefix("log_date=")
+        if day[:1].isdigit() and day < first:
+            gone += bool(fs.delete(found.getPath(), True))
+    return gone
 
-def read_logs(spark: SparkSession, target: str, as_of: _dt.date, days: int) -> DataFrame:
-    """The retained logs; the day filter prunes the ``log_date`` partitions."""
-    day0 = F.date_sub(F.lit(as_of), days)
-    return spark.read.parquet(target).filter(F.col("log_date") >= day0).select(*SESSION_LOG_SCHEMA.fieldNames())
+
+def run_log_stream(spark: SparkSession, source_dir: str, target: str, checkpoint: str, days: int, as_of: Callable[[], _dt.date] = _dt.date.today) -> None:
+    """Drain files of raw logs into ``target``; after each batch, purge as of the day it then is."""
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        append_logs(rows, target, batch_id)
+        purge_logs(spark, target, as_of(), days)
+
+    stream = spark.readStream.schema(RAW_LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -1,51 +1,48 @@
-"""Keep ``fact_act_est`` current from change streams (the reference's row triggers).
-
-A change row ``(date, product_code, customer_code, <quantity>, ingest_seq)``
-means "insert the key, or overwrite this quantity for the key"; the other
-quantity of a new key is 0 and ``fiscal_year`` is derived from the date.
-
-Structured Streaming design:
-
-* source: a file stream of change rows (``maxFilesPerTrigger`` bounds a batch);
-* ``foreachBatch``: keep the newest change per key (``max_by`` on
-  ``ingest_seq``), read only the touched ``(fiscal_year, date, bucket)``
-  partitions of the target (customer-hash buckets inside a month; runtime
-  partition pruning through a semi-join on the touched set, which is bounded
-  by months x buckets), full-outer merge, checkpoint the merged rows to the
-  shared checkpoint folder (so the write does not read the path it replaces),
-  then overwrite just those partitions (dynamic partition overwrite);
-* the stream's own checkpoint makes batches exactly-once; re-running a batch
-  after a failure is harmless because an upsert by key is idempotent.
+"""One maintained ``fact_act_est``: rebuilt as a batch, kept current by two change streams.
+
+A change row ``(date, product_code, customer_code, <quantity>, ingest_seq)`` means "insert the key,
+or set this quantity of the key". A null quantity counts as 0, like the gaps of the rebuild. The
+table keeps the ``ingest_seq`` of each quantity, so an older change that arrives late loses.
+
+Layout under the table's root:
+
+* ``data/version=V/fiscal_year=Y/date=D/bucket=B``: a version is written once and never changed.
+  The bucket hashes product and customer; their number is fixed when the table is created.
+* ``manifest/N.json``: which version of each partition is current, the number of buckets, and the
+  last batch applied of each stream. Readers use the newest manifest.
+
+A batch reads the partitions it touches (named in full: no other directory is listed), writes their
+new version and publishes a manifest. If it dies before that, nothing has changed; a batch that was
+already published is skipped. Two writers at once: the second to publish fails.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starledger.functions.dates import fiscal_year
-from starledger.session import cut_lineage, shared_dir
+from starledger.session import shared_dir
+from starledger.sources.act_est import integrate_act_est
 
 KEYS = ["date", "product_code", "customer_code"]
-QUANTITIES = ("sold_quantity", "forecast_quantity")
+SEQS = {"sold_quantity": "sold_seq", "forecast_quantity": "forecast_seq"}
 ACT_EST_COLS = ["date", "fiscal_year", "product_code", "customer_code", "sold_quantity", "forecast_quantity"]
 PARTITION_COLS = ["fiscal_year", "date", "bucket"]
-# Customer-hash buckets inside a month: a micro-batch rewrites only the touched
-# (month, bucket) directories. ``buckets_for`` sizes them from the table.
-DEFAULT_BUCKETS = 1
-ROWS_PER_DIRECTORY = 20_000_000
-
-
-def buckets_for(act: DataFrame, rows_per_directory: int = ROWS_PER_DIRECTORY) -> int:
-    """Bucket count so a (month, bucket) directory holds about ``rows_per_directory`` rows."""
-    row = act.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("date").alias("months")).first()
-    per_month = row.n / max(1, row.months)
-    return max(1, int(-(-per_month // rows_per_directory)))
-
-
-def _bucket(buckets: int) -> F.Column:
-    return F.pmod(F.xxhash64("customer_code"), F.lit(buckets)).cast("int")
+STORED = T.StructType(
+    [T.StructField("product_code", T.LongType()), T.StructField("customer_code", T.LongType())]
+    + [T.StructField(c, T.LongType()) for pair in SEQS.items() for c in pair]
+    + [T.StructField("version", T.StringType()), T.StructField("fiscal_year", T.IntegerType()), T.StructField("date", T.DateType()), T.StructField("bucket", T.IntegerType())]
+)
+#: Buckets of a new table in each month, unless its creator says otherwise (a large table wants a
+#: directory to hold some hundred MB); the table then keeps its number.
+BUCKETS = 2
+#: Partitions that one batch may touch (months x buckets); a feed that touches more is to be cut smaller.
+MAX_TOUCHED = 100_000
 
 
 def change_schema(column: str) -> T.StructType:
@@ -62,72 +59,114 @@ def change_schema(column: str) -> T.StructType:
 
 def latest_changes(changes: DataFrame, column: str) -> DataFrame:
     """Newest change per key (highest ``ingest_seq``): a map-side combinable aggregate."""
-    return changes.groupBy(*KEYS).agg(F.max_by(F.col(column).cast("bigint"), F.col("ingest_seq")).alias(column))
+    newest = F.max(F.struct("ingest_seq", F.coalesce(F.col(column).cast("bigint"), F.lit(0)).alias("q")))
+    return changes.groupBy(*KEYS).agg(newest.alias("c")).select(*KEYS, F.col("c.q").alias(column), F.col("c.ingest_seq").alias(SEQS[column]))
 
 
 def merge_changes(current: DataFrame, changes: DataFrame, column: str) -> DataFrame:
-    """Upsert ``changes`` (one row per key) into ``current`` act-est rows."""
-    if column not in QUANTITIES:
-        raise ValueError(f"column must be one of {QUANTITIES}")
-    other = QUANTITIES[1] if column == QUANTITIES[0] else QUANTITIES[0]
-    cur = current.select(*KEYS, F.col(column).alias("_old"), F.col(other).alias("_other"))
-    merged = cur.join(changes.select(*KEYS, F.col(column).alias("_new")), KEYS, "full")
-    return merged.select(
-        "date",
-        fiscal_year("date").alias("fiscal_year"),
-        "product_code",
-        "customer_code",
-        *(
-            [F.coalesce("_new", "_old", F.lit(0)).cast("bigint").alias(column), F.coalesce("_other", F.lit(0)).cast("bigint").alias(other)]
-            if column == "sold_quantity"
-            else [F.coalesce("_other", F.lit(0)).cast("bigint").alias(other), F.coalesce("_new", "_old", F.lit(0)).cast("bigint").alias(column)]
-        ),
-    ).select(*ACT_EST_COLS)
-
-
-def write_act_est(df: DataFrame, path: str, mode: str = "overwrite", buckets: int = DEFAULT_BUCKETS) -> None:
-    (
-        df.select(*ACT_EST_COLS)
-        .withColumn("bucket", _bucket(buckets))
-        .repartition(*PARTITION_COLS)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITION_COLS)
-        .parquet(path)
-    )
-
-
-def read_act_est(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*ACT_EST_COLS)
-
-
-def upsert_batch(spark: SparkSession, target: str, batch: DataFrame, column: str, buckets: int = DEFAULT_BUCKETS) -> None:
-    """Apply one micro-batch of changes to the partitioned table at ``target``."""
-    changes = latest_changes(batch, column).withColumn("fiscal_year", fiscal_year("date")).withColumn("bucket", _bucket(buckets))
-    # Directories touched: at most months x buckets, bounded by calendar and configuration.
-    touched = changes.select(*PARTITION_COLS).distinct()
-    current = spark.read.parquet(target).join(F.broadcast(touched), PARTITION_COLS, "left_semi").select(*ACT_EST_COLS)
-    merged = cut_lineage(merge_changes(current, changes.drop("fiscal_year", "bucket"), column))
-    write_act_est(merged, target, buckets=buckets)
-
-
-def run_upsert_stream(
-    spark: SparkSession,
-    source_dir: str,
-    target: str,
-    column: str,
-    checkpoint: str,
-    files_per_batch: int = 1,
-    buckets: int = DEFAULT_BUCKETS,
-) -> None:
-    """Drain the change files under ``source_dir`` into ``target`` (availableNow trigger)."""
-    stream = (
-        spark.readStream.schema(change_schema(column))
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(source_dir)
-    )
+    """``current`` rows with ``changes`` (one row per key) applied to ``column``, by sequence number."""
+    if column not in SEQS:
+        raise ValueError(f"column must be one of {tuple(SEQS)}")
+    seq = SEQS[column]
+    new = changes.select(*KEYS, F.col(column).alias("_new"), F.col(seq).alias("_seq"))
+    both = current.select(*KEYS, *(c for pair in SEQS.items() for c in pair)).join(new, KEYS, "full")
+    wins = F.col("_seq") >= F.coalesce(F.col(seq), F.lit(-1))
+    values = {column: F.when(wins, F.col("_new")).otherwise(F.col(column)), seq: F.when(wins, F.col("_seq")).otherwise(F.col(seq))}
+    out = [F.coalesce(values.get(c, F.col(c)), F.lit(gap)).cast("bigint").alias(c) for q, s in SEQS.items() for c, gap in ((q, 0), (s, -1))]
+    return both.select("date", fiscal_year("date").alias("fiscal_year"), "product_code", "customer_code", *out)
+
+
+class ActEstTable:
+    """The maintained table at ``root`` (a path on storage that all executors share)."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def manifest(self) -> dict | None:
+        """The newest manifest; None if the table was never published."""
+        folder = self._path(f"{self.root}/manifest")
+        if not self._fs.exists(folder):
+            return None
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith(".")]
+        if not numbers:
+            return None
+        stream = self._fs.open(self._path(f"{self.root}/manifest/{max(numbers):08d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def exists(self) -> bool:
+        return self.manifest() is not None
+
+    def _publish(self, manifest: dict) -> None:
+        final = self._path(f"{self.root}/manifest/{manifest['number']:08d}.json")
+        draft = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(draft, False)
+            raise RuntimeError(f"another writer published {final}")
+
+    def _stored(self, parts: dict[str, str]) -> DataFrame:
+        """The named partitions of their current versions."""
+        if not parts:
+            return self.spark.createDataFrame([], STORED)
+        paths = [f"{self.root}/data/version={v}/{p}" for p, v in sorted(parts.items())]
+        return self.spark.read.schema(STORED).option("basePath", f"{self.root}/data").parquet(*paths)
+
+    def read(self) -> DataFrame:
+        """The table as of now; filters on fiscal_year and date prune directories."""
+        return self._stored((self.manifest() or {"parts": {}})["parts"]).select(*ACT_EST_COLS)
+
+    def _write(self, rows: DataFrame, buckets: int) -> str:
+        version = uuid.uuid4().hex
+        bucket = F.pmod(F.xxhash64("product_code", "customer_code"), F.lit(buckets)).cast("int")
+        cut = rows.withColumn("bucket", bucket).repartition(*PARTITION_COLS).sortWithinPartitions(*PARTITION_COLS, "customer_code")
+        cut.write.partitionBy(*PARTITION_COLS).parquet(f"{self.root}/data/version={version}")
+        return version
+
+    def _name(self, row) -> str:
+        return "/".join(f"{c}={row[c]}" for c in PARTITION_COLS)
+
+    def rebuild(self, fact_sales: DataFrame, fact_forecast: DataFrame, buckets: int = BUCKETS) -> None:
+        """Replace the contents by the full outer join of the facts. A table keeps its bucket count."""
+        old = self.manifest() or {"number": 0, "buckets": buckets, "applied": {}}
+        rows = integrate_act_est(fact_sales, fact_forecast)
+        rows = rows.withColumns({seq: F.lit(-1).cast("bigint") for seq in SEQS.values()})
+        version = self._write(rows, old["buckets"])
+        written = self.spark.read.schema(STORED).option("basePath", f"{self.root}/data").parquet(f"{self.root}/data/version={version}")
+        parts = {self._name(r): version for r in written.select(*PARTITION_COLS).distinct().collect()}  # months x buckets
+        self._publish(old | {"number": old["number"] + 1, "parts": parts})
+
+    def upsert(self, batch: DataFrame, column: str, stream: str, batch_id: int, buckets: int = BUCKETS) -> None:
+        """Apply one batch of changes; a batch of ``stream`` that was published before is skipped."""
+        old = self.manifest() or {"number": 0, "buckets": buckets, "applied": {}, "parts": {}}
+        if old["applied"].get(stream, -1) >= batch_id:
+            return
+        changes = latest_changes(batch, column)
+        bucket = F.pmod(F.xxhash64("product_code", "customer_code"), F.lit(old["buckets"])).cast("int")
+        touched = changes.select(fiscal_year("date").alias("fiscal_year"), "date", bucket.alias("bucket")).distinct().limit(MAX_TOUCHED + 1).collect()
+        if len(touched) > MAX_TOUCHED:
+            raise ValueError(f"a batch touches more than {MAX_TOUCHED} partitions: give fewer files to a batch")
+        names = [self._name(r) for r in touched]
+        parts = dict(old["parts"])
+        if names:
+            current = self._stored({n: parts[n] for n in names if n in parts})
+            version = self._write(merge_changes(current, changes, column), old["buckets"])
+            parts |= dict.fromkeys(names, version)
+        self._publish(old | {"number": old["number"] + 1, "parts": parts, "applied": old["applied"] | {stream: batch_id}})
+
+
+def run_upsert_stream(table: ActEstTable, source_dir: str, column: str, stream: str, checkpoint: str, files_per_batch: int = 64) -> None:
+    """Drain the change files under ``source_dir`` into ``table`` (availableNow trigger)."""
+    changes = table.spark.readStream.schema(change_schema(column)).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
     query = (
-        stream.writeStream.foreachBatch(lambda df, _batch_id: upsert_batch(spark, target, df, column, buckets))
+        changes.writeStream.foreachBatch(lambda df, batch_id: table.upsert(df, column, stream, batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -135,22 +174,17 @@ def run_upsert_stream(
     query.awaitTermination()
 
 
-def stage_changes(changes: DataFrame, column: str, path: str, files: int = 4) -> None:
-    """Write change rows as ``files`` Parquet files in date order, like a change feed
-    (each file is one micro-batch with files_per_batch=1 and touches few months)."""
-    staged = changes.select(
-        *KEYS, F.col(column).cast("bigint").alias(column), F.monotonically_increasing_id().alias("ingest_seq")
-    )
-    staged.repartitionByRange(files, "date").write.mode("overwrite").parquet(path)
-
-
-def replay_upserts(spark: SparkSession, initial: DataFrame, changes: DataFrame, column: str, files: int = 4) -> DataFrame:
-    """Start from ``initial`` act-est rows, stream ``changes`` through the upsert job,
-    return the final table. Work folders live under the shared checkpoint folder."""
-    root = shared_dir(spark, f"upsert-{column}")
-    target, source, ckpt = f"{root}/act_est", f"{root}/changes", f"{root}/_stream_checkpoint"
-    buckets = buckets_for(initial)
-    write_act_est(initial, target, buckets=buckets)
-    stage_changes(changes, column, source, files)
-    run_upsert_stream(spark, source, target, column, ckpt, buckets=buckets)
-    return read_act_est(spark, target)
+def stage_changes(changes: DataFrame, column: str, path: str) -> None:
+    """Write change rows in date order, like a change feed: a file touches few months."""
+    feed = changes.select(*KEYS, F.col(column).cast("bigint").alias(column), F.monotonically_increasing_id().alias("ingest_seq"))
+    feed.repartitionByRange("date").write.mode("overwrite").parquet(path)
+
+
+def replay(spark: SparkSession, feeds: list[tuple[DataFrame, str]], files_per_batch: int = 64) -> DataFrame:
+    """An empty table after the change ``feeds`` (rows, column) were streamed into it in turn."""
+    root = shared_dir(spark, "act-est")
+    table = ActEstTable(spark, f"{root}/table")
+    for k, (rows, column) in enumerate(feeds):
+        stage_changes(rows, column, f"{root}/feed-{k}")
+        run_upsert_stream(table, f"{root}/feed-{k}", column, f"{column}-{k}", f"{root}/checkpoint-{k}", files_per_batch)
+    return table.read()

@@ -56,3 +56,29 @@ def test_top_n_per_group_with_hot_group(spark):
     out = top_n_per_group(df, ["c"], [F.col("q").desc()], 1, rank_col="r").filter(F.col("c") == 0).collect()
     best = max(q for c, _, _, _, q in rows if c == 0)
     assert {r.q for r in out} == {best} and len(out) == sum(1 for c, *_, q in rows if c == 0 and q == best)
+
+
+def test_two_values_that_hold_most_of_one_basket_share_no_window(spark, monkeypatch):
+    """A basket with most rows in two values: windows hold a range of it, not the basket."""
+    from starledger.operators import pairs
+
+    rows = spark.range(4000).selectExpr("1 as c", "id as p", "CASE WHEN id % 50 = 0 THEN 'x' WHEN id % 2 = 0 THEN 'a' ELSE 'b' END as v")
+    sizes = []
+    real = pairs._earlier_partners
+
+    def watched(part, group, attr):
+        expanded = part.join(part.select(*group, attr).distinct().withColumnRenamed(attr, "_partner"), group).filter(f"{attr} <> _partner")
+        sizes.append(expanded.groupBy(*group, F.least(attr, "_partner"), F.greatest(attr, "_partner")).count().agg({"count": "max"}).first()[0])
+        return real(part, group, attr)
+
+    monkeypatch.setattr(pairs, "_earlier_partners", watched)
+    got = {(r.a, r.b): r.frequency for r in pairs.ordered_pair_counts(rows, ["c"], "p", "v", "a", "b", width=256).collect()}
+    assert max(sizes) <= 256
+    value = ["x" if i % 50 == 0 else "a" if i % 2 == 0 else "b" for i in range(4000)]
+    want, seen = {}, {}
+    for v in value:
+        for other, n in seen.items():
+            if other != v:
+                want[other, v] = want.get((other, v), 0) + n
+        seen[v] = seen.get(v, 0) + 1
+    assert got == want

@@ -1,8 +1,15 @@
-"""The streaming upserts replay to the same table as the batch rebuild."""
+"""The maintained act-est table and the session-log table."""
+
+import datetime as dt
+
+import pytest
 
 from starledger.plans import supply
+from starledger.sources.logs import RAW_LOG_SCHEMA
+from starledger.sources.star import load_star, write_star
+from starledger.streaming import purge
 from starledger.streaming.catalog import act_est_upsert_actuals, act_est_upsert_forecast
-from starledger.streaming.upsert import latest_changes, merge_changes
+from starledger.streaming.upsert import ActEstTable, replay
 
 from conftest import SF_TINY
 from helpers import D
@@ -12,66 +19,123 @@ def _rows(df):
     return sorted(tuple(r) for r in df.select(*supply.ACT_EST_COLS).collect())
 
 
+def _changes(spark, rows, column="sold_quantity"):
+    return spark.createDataFrame(rows, f"date date, product_code long, customer_code long, {column} long, ingest_seq long")
+
+
+def _files(path):
+    return sorted(p for p in path.rglob("*.parquet"))
+
+
 def test_replay_of_both_streams_equals_rebuild(spark, tiny_model):
-    expect = _rows(supply.act_est(tiny_model))
+    expect = _rows(supply.integrate_act_est(tiny_model.fact_sales_monthly, tiny_model.fact_forecast_monthly))
     assert _rows(act_est_upsert_actuals(spark, SF_TINY)) == expect
     assert _rows(act_est_upsert_forecast(spark, SF_TINY)) == expect
 
 
-def test_last_change_per_key_wins(spark):
-    changes = spark.createDataFrame(
-        [(D(2021, 1, 1), 1, 1, 5, 1), (D(2021, 1, 1), 1, 1, 7, 3), (D(2021, 1, 1), 1, 1, 6, 2), (D(2021, 2, 1), 2, 1, 4, 4)],
-        "date date, product_code long, customer_code long, sold_quantity long, ingest_seq long",
-    )
-    current = spark.createDataFrame(
-        [(D(2021, 1, 1), 2021, 1, 1, 1, 9), (D(2021, 3, 1), 2021, 3, 1, 2, 8)],
-        "date date, fiscal_year int, product_code long, customer_code long, sold_quantity long, forecast_quantity long",
-    )
-    merged = {(r.product_code, r.date): (r.sold_quantity, r.forecast_quantity) for r in merge_changes(current, latest_changes(changes, "sold_quantity"), "sold_quantity").collect()}
-    assert merged == {(1, D(2021, 1, 1)): (7, 9), (2, D(2021, 2, 1)): (4, 0), (3, D(2021, 3, 1)): (2, 8)}
-
-
-def test_log_stream_applies_retention(spark, tmp_path):
-    import datetime as dt
-
-    from starledger.sources.logs import session_logs_from_rows
-    from starledger.streaming.purge import read_logs, run_log_stream
-
-    rows = [
-        ("2022-10-04 08:14:07", "898812", "523", "CLICKED | Courses Button"),
-        ("2022-10-14 08:18:35", "898812", "523", "NAVIGATE BACK | Python course page"),
-        ("2022-10-16 12:07:00", "965345", "523", "REVIEW GENERATED | Data analytics"),
-        ("2022-10-22 14:09:22", "188567", "707", "NEW LOGIN | New login"),
-        ("2022-10-22 18:10:06", "188567", "707", "COURSE PURCHASED | Data analytics"),
-    ]
-    src = str(tmp_path / "src")
-    session_logs_from_rows(spark, rows).repartition(2).write.parquet(src)
+def test_interleaved_small_batches_equal_rebuild(spark, tiny_model):
+    sales = tiny_model.fact_sales_monthly.filter("customer_code % 7 = 1")
+    plan = tiny_model.fact_forecast_monthly.filter("customer_code % 7 = 1")
+    feeds = [(sales.filter("product_code % 2 = 0"), "sold_quantity"), (plan, "forecast_quantity"), (sales.filter("product_code % 2 = 1"), "sold_quantity")]
+    assert _rows(replay(spark, feeds, files_per_batch=1)) == _rows(supply.integrate_act_est(sales, plan))
+
+
+def test_sequence_numbers_decide_between_changes(spark, tmp_path):
+    table = ActEstTable(spark, str(tmp_path / "t"))
+    jan = D(2021, 1, 1)
+    table.upsert(_changes(spark, [(jan, 1, 1, 5, 1), (jan, 1, 1, 7, 10), (jan, 1, 1, 6, 2), (jan, 2, 1, 4, 4)]), "sold_quantity", "s", 0, buckets=4)
+    table.upsert(_changes(spark, [(jan, 1, 1, 3, 2), (jan, 2, 1, None, 5)]), "sold_quantity", "s", 1)  # late; null counts as 0
+    table.upsert(_changes(spark, [(jan, 1, 1, 9, 0)], "forecast_quantity"), "forecast_quantity", "f", 0)
+    assert _rows(table.read()) == [(jan, 2021, 1, 1, 7, 9), (jan, 2021, 2, 1, 0, 0)]
+
+
+def test_bucket_number_is_the_tables(spark, tmp_path):
+    """A caller with another number of buckets can't make duplicates."""
+    table = ActEstTable(spark, str(tmp_path / "t"))
+    rows = [(D(2021, m, 1), p, c, 1, 0) for m in (1, 2) for p in range(5) for c in range(5)]
+    table.upsert(_changes(spark, rows), "sold_quantity", "s", 0, buckets=4)
+    again = ActEstTable(spark, str(tmp_path / "t"))
+    again.upsert(_changes(spark, [(*r[:3], 2, 1) for r in rows]), "sold_quantity", "s", 1, buckets=1)
+    out = _rows(again.read())
+    assert len(out) == 50 and {r[4] for r in out} == {2} and again.manifest()["buckets"] == 4
+
+
+def test_a_published_batch_is_skipped_and_a_crash_before_publishing_changes_nothing(spark, tmp_path, monkeypatch):
+    table = ActEstTable(spark, str(tmp_path / "t"))
+    jan, feb = D(2021, 1, 1), D(2021, 2, 1)
+    first = _changes(spark, [(jan, 1, 1, 5, 1), (feb, 2, 1, 4, 2)])
+    table.upsert(first, "sold_quantity", "s", 0, buckets=4)
+    once, number = _rows(table.read()), table.manifest()["number"]
+    table.upsert(first, "sold_quantity", "s", 0)
+    assert _rows(table.read()) == once and table.manifest()["number"] == number
+    second = _changes(spark, [(jan, 1, 1, 8, 3)])
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(ActEstTable, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        table.upsert(second, "sold_quantity", "s", 1)
+    assert _rows(table.read()) == once
+    table.upsert(second, "sold_quantity", "s", 1)
+    assert (jan, 2021, 1, 1, 8, 0) in _rows(table.read())
+
+
+def test_the_second_of_two_writers_fails(spark, tmp_path):
+    table = ActEstTable(spark, str(tmp_path / "t"))
+    table.upsert(_changes(spark, [(D(2021, 1, 1), 1, 1, 5, 1)]), "sold_quantity", "s", 0)
+    old = table.manifest()
+    table._publish(old | {"number": old["number"] + 1})
+    with pytest.raises(RuntimeError):
+        table._publish(old | {"number": old["number"] + 1})
+
+
+def test_a_batch_of_one_month_reads_that_month_only(spark, tmp_path):
+    table = ActEstTable(spark, str(tmp_path / "t"))
+    table.upsert(_changes(spark, [(D(2021, m, 1), p, 1, 1, 0) for m in range(1, 13) for p in range(20)]), "sold_quantity", "s", 0, buckets=4)
+    before = table.manifest()["parts"]
+    read = {n: v for n, v in before.items() if "date=2021-03-01" in n}
+    assert {f.split("date=")[1][:10] for f in table._stored(read).inputFiles()} == {"2021-03-01"}
+    table.upsert(_changes(spark, [(D(2021, 3, 1), p, 1, 2, 1) for p in range(20)]), "sold_quantity", "s", 1)
+    after = table.manifest()["parts"]
+    assert {n for n in after if after[n] != before[n]} == set(read)
+
+
+def test_reports_see_an_upsert(spark, tiny_model, tmp_path):
+    path = str(tmp_path / "star")
+    write_star(tiny_model, path)
+    model = load_star(spark, path)
+    row = model.fact_act_est.filter("fiscal_year = 1997 and forecast_quantity > 0").orderBy("customer_code", "product_code", "date").first()
+
+    def sold(m):
+        r = supply.forecast_accuracy(supply.act_est(m, [1997]), m.dim_customer, 1997).filter(f"customer_code = {row.customer_code}").first()
+        return r.total_sold_qty
+
+    before = sold(model)
+    change = _changes(spark, [(row.date, row.product_code, row.customer_code, row.sold_quantity + 1000, 1)])
+    ActEstTable(spark, f"{path}/fact_act_est").upsert(change, "sold_quantity", "s", 0)
+    assert sold(load_star(spark, path)) == before + 1000
+
+
+def test_log_table(spark, tmp_path):
+    rows = [(f"2022-10-{d:02d} 08:14:07", str(d), "5", f"EVENT {d}") for d in (4, 14, 16, 22)] + [("2022-10-22 18:10:06", "x", None, "EVENT 22"), ("not a time", "1", "1", "EVENT ?")]
+    raw = spark.createDataFrame(rows, RAW_LOG_SCHEMA)
     target = str(tmp_path / "logs")
-    run_log_stream(spark, src, target, str(tmp_path / "ckpt"), dt.date(2022, 10, 22), 5)
-    kept = read_logs(spark, target, dt.date(2022, 10, 22), 5).collect()
-    assert sorted(r.log for r in kept) == ["COURSE PURCHASED | Data analytics", "NEW LOGIN | New login"]
-
-
-def test_replayed_batch_is_idempotent(spark, tmp_path):
-    from starledger.streaming.upsert import read_act_est, upsert_batch, write_act_est
-
-    target = str(tmp_path / "act")
-    initial = spark.createDataFrame(
-        [(D(2021, 1, 1), 2021, 1, 1, 0, 9), (D(2021, 3, 1), 2021, 3, 1, 2, 8)],
-        "date date, fiscal_year int, product_code long, customer_code long, sold_quantity long, forecast_quantity long",
-    )
-    write_act_est(initial, target)
-    batch = spark.createDataFrame(
-        [(D(2021, 1, 1), 1, 1, 5, 1), (D(2021, 2, 1), 2, 1, 4, 2)],
-        "date date, product_code long, customer_code long, sold_quantity long, ingest_seq long",
-    )
-    upsert_batch(spark, target, batch, "sold_quantity")
-    once = sorted(tuple(r) for r in read_act_est(spark, target).collect())
-    upsert_batch(spark, target, batch, "sold_quantity")  # a re-run after a failure
-    twice = sorted(tuple(r) for r in read_act_est(spark, target).collect())
-    assert once == twice
-    assert once == [
-        (D(2021, 1, 1), 2021, 1, 1, 5, 9),
-        (D(2021, 2, 1), 2021, 2, 1, 4, 0),
-        (D(2021, 3, 1), 2021, 3, 1, 2, 8),
-    ]
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        purge.append_logs(raw, target, 0)
+        purge.append_logs(raw, target, 0)  # the same batch again
+        purge.append_logs(raw.limit(1), target, 1)
+        assert purge.read_logs(spark, target).count() == 7
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    assert purge.purge_logs(spark, target, dt.date(2022, 10, 22), 6) == 3
+    assert sorted(r.log for r in purge.read_logs(spark, target).collect()) == ["EVENT 16", "EVENT 22", "EVENT 22", "EVENT ?"]
+
+
+def test_log_stream_purges_as_of_each_batch(spark, tmp_path):
+    rows = [(f"2022-10-{d:02d} 08:14:07", str(d), "5", f"EVENT {d}") for d in (4, 14, 16, 22)]
+    src, target, days = str(tmp_path / "src"), str(tmp_path / "logs"), iter([dt.date(2022, 10, 10), dt.date(2022, 10, 22)])
+    frame = spark.createDataFrame(rows, RAW_LOG_SCHEMA)
+    frame.limit(2).coalesce(1).write.parquet(src)
+    purge.run_log_stream(spark, src, target, str(tmp_path / "ckpt"), 7, lambda: next(days))
+    assert sorted(r.log for r in purge.read_logs(spark, target).collect()) == ["EVENT 14", "EVENT 4"]
+    frame.filter("session_id > 14").coalesce(1).write.mode("append").parquet(src)
+    purge.run_log_stream(spark, src, target, str(tmp_path / "ckpt"), 7, lambda: next(days))
+    assert sorted(r.log for r in purge.read_logs(spark, target).collect()) == ["EVENT 16", "EVENT 22"]
