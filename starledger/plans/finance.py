@@ -11,6 +11,7 @@ from starledger.constants import BADGE_GOLD, BADGE_SILVER, DEFAULT_BADGE_THRESHO
 
 from starledger.functions.dates import fiscal_year, in_fiscal_year
 from starledger.functions.money import gross_line_total
+from starledger.functions.text import same_text
 from starledger.sources.star import SalesModel
 
 
@@ -80,12 +81,12 @@ def monthly_gross_sales_customers(m: SalesModel, customer_codes: Sequence[int] |
     )
 
 
-def market_badge(m: SalesModel, fy: int, market: str = DEFAULT_MARKET, threshold: int = DEFAULT_BADGE_THRESHOLD) -> DataFrame:
+def market_badge(m: SalesModel, fy: int, market: str = DEFAULT_MARKET, threshold: int = DEFAULT_BADGE_THRESHOLD, ignore_case: bool = False) -> DataFrame:
     """Gold when the market's fiscal-year quantity exceeds ``threshold``, else Silver
     (also Silver when the market sold nothing). One row."""
     s = m.fact_sales_monthly.select("customer_code", "date", "fiscal_year", "sold_quantity").filter(_in_year(fy))
     market = market or DEFAULT_MARKET  # an empty market means the default one
-    c = m.dim_customer.select("customer_code", "market").filter(F.col("market") == market)
+    c = m.dim_customer.select("customer_code", "market").filter(same_text("market", market, ignore_case))
     qty = s.join(c, "customer_code").agg(F.sum("sold_quantity").alias("total_qty"))
     return qty.select(
         F.lit(market).alias("market"),

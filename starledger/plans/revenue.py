@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starledger.functions.money import double_ratio, gross_line_total, mln_units
+from starledger.functions.text import same_text
 from starledger.operators.ranking import top_n, top_n_per_group
 from starledger.operators.shares import grand_total, with_group_total
 from starledger.plans import views
@@ -114,16 +115,16 @@ def top_n_markets_net_sales(m: SalesModel, fy: int, n: int) -> DataFrame:
     return top_n(out, [F.col("_u").desc(), F.col("market")], n).drop("_u")
 
 
-def _net_sales_by_customer(m: SalesModel, fy: int, market: str | None = None, with_region: bool = False) -> DataFrame:
+def _net_sales_by_customer(m: SalesModel, fy: int, market: str | None = None, with_region: bool = False, ignore_case: bool = False) -> DataFrame:
     keys = ["customer", "region"] if with_region else ["customer"]
     ns = views.net_sales(m, fy, *keys)
     if market is not None:
-        ns = ns.filter(F.col("market") == market)
+        ns = ns.filter(same_text("market", market, ignore_case))
     return ns.groupBy(*keys).agg(mln_units(F.sum("net_sales")).alias("_u"))
 
 
-def top_n_customers_net_sales(m: SalesModel, market: str, fy: int, n: int) -> DataFrame:
-    agg = _net_sales_by_customer(m, fy, market)
+def top_n_customers_net_sales(m: SalesModel, market: str, fy: int, n: int, ignore_case: bool = False) -> DataFrame:
+    agg = _net_sales_by_customer(m, fy, market, ignore_case=ignore_case)
     out = agg.select("customer", (F.col("_u").cast("double") / 100.0).alias("net_sales_mln"), "_u")
     return top_n(out, [F.col("_u").desc(), F.col("customer")], n).drop("_u")
 

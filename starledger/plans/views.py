@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from starledger.functions.dates import in_fiscal_year
 from starledger.functions.money import gross_line_total, revenue
+from starledger.functions.text import same_text
 from starledger.sources.star import SalesModel
 
 
@@ -96,7 +97,7 @@ def net_sales(m: SalesModel, fiscal_year: int | None = None, *columns: str) -> D
     return s.select("*", (F.col("net_invoice_sales") * (F.lit(1) - F.col("post_invoice_discount_pct"))).alias("net_sales"))
 
 
-def revenue_star(m: SalesModel, market: str | None = None, with_product: bool = True, with_price: bool = True) -> DataFrame:
+def revenue_star(m: SalesModel, market: str | None = None, with_product: bool = True, with_price: bool = True, ignore_case: bool = False) -> DataFrame:
     """Sales x customer (x product) (x price): the input of the market reports.
 
     ``rev`` is the exact unrounded ``sold_quantity * gross_price``. The product
@@ -107,7 +108,7 @@ def revenue_star(m: SalesModel, market: str | None = None, with_product: bool =
     s = _sales(m)
     c = m.dim_customer
     if market is not None:
-        c = c.filter(F.col("market") == market)
+        c = c.filter(same_text("market", market, ignore_case))
     star = s.join(c, "customer_code")
     if with_product:
         star = star.join(m.dim_product, "product_code")

@@ -66,3 +66,14 @@ def test_act_est_typed_rejects_nulls(spark):
     with pytest.raises(Exception) as err:
         supply.act_est_typed(df).collect()
     assert "sold_quantity must not be NULL" in str(err.value)
+
+
+def test_market_names_may_be_compared_without_case(spark, tiny_model):
+    from starledger.plans import finance, revenue
+    from starledger.plans.catalog import P
+
+    upper, lower = P.market.upper(), P.market.lower()
+    badge = lambda name, **kw: finance.market_badge(tiny_model, P.fiscal_year, name, **kw).first().total_qty
+    assert badge(lower) is None and badge(lower, ignore_case=True) == badge(upper) == badge(P.market)
+    top = lambda name, **kw: revenue.top_n_customers_net_sales(tiny_model, name, P.fiscal_year, 5, **kw).collect()
+    assert top(lower) == [] and top(lower, ignore_case=True) == top(P.market)
