@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from starledger.session import shared_dir
 
 #: Rows in one Arrow batch sent to Python: texts can be long, so batches are kept short.
 ARROW_ROWS = 1000
@@ -20,17 +19,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names, which all executors share.
-
-    Only a local session (one machine, as in tests) without the setting gets a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the folder that ``spark.checkpoint.dir`` names, which all executors share."""
+    return shared_dir(spark, f"llm-{name}")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +44,20 @@ def exact_columns(df: DataFrame, columns: Iterable[tuple[str, str]]) -> DataFram
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in columns))
 
 
+_REMEMBERS: list = []
+
+
+def remember_alone(owner=None) -> None:
+    """In a Python worker, which serves one operator after the other: let other owners of a memo
+    forget theirs, so that what is kept from finished stages doesn't add up."""
+    for other in _REMEMBERS[:]:
+        if other is not owner:
+            other.forget()
+            _REMEMBERS.remove(other)
+    if owner is not None and not _REMEMBERS:
+        _REMEMBERS.append(owner)
+
+
 def utf8_bytes(text: Column) -> Column:
     """UTF-8 length of a text; null has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
@@ -75,10 +79,6 @@ def prefix_sums(sums: DataFrame, within: list[str], order: str, value: str, out:
     return sums.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
 
 
-def fields(*pairs: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in pairs])
-
-
 #: Rows of a table of ids that may be broadcast (16 MB of longs); larger ones are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 

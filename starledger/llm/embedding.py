@@ -201,6 +201,8 @@ def _group_links(classes: DataFrame, groups: DataFrame, threshold: float) -> Dat
     members = staged(classes.join(groups, classes["rep"] == groups["node"]).select("component", "rep", "copies", "v"), "members")
     sizes = members.groupBy("component").agg(F.count("*").alias("n"))
     dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
+    # Dealt by block: a join by component alone would leave a large group in one task.
+    dealt = dealt.repartition("component", "block")
     blocks = staged(dealt.groupBy("component", "block").agg(F.collect_list(F.struct("rep", "copies", "v")).alias("members")), "blocks")
     left = blocks.select("component", F.col("block").alias("i"), F.col("members").alias("x"))
     right = blocks.select("component", F.col("block").alias("j"), F.col("members").alias("y"))

@@ -13,8 +13,10 @@ from contextlib import suppress
 
 import numpy as np
 
+from starledger.llm.common import remember_alone
+
 #: Words kept per worker (about 150 bytes each); a full memo is emptied.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 800_000
 #: Longer "words" are encoded each time they occur.
 MEMO_CHARS = 64
 #: Characters of text handled at once inside a worker.
@@ -76,6 +78,9 @@ class TextEncoder:
         for w in ended:
             memo[w] = memo[w[:-1]] + tails[w[-1]]
 
+    def forget(self) -> None:
+        self._memo.clear()
+
     def _words(self, text: str) -> list[str] | None:
         """The text's words as they are in the memo; None if it is to be encoded in one piece."""
         if not self._keeps_space:
@@ -87,6 +92,7 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, in order; an empty text has none."""
+        remember_alone(self)
         cut = [self._words(t) for t in texts]
         whole = [i for i, w in enumerate(cut) if w is None]
         heads = [i for i, w in enumerate(cut) if w is not None] if self._keeps_space else []

@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starledger.llm.common import exact_columns, short_batches
+from starledger.llm.common import exact_columns, remember_alone, short_batches
 
 #: Labelled documents that a language's probabilities are learnt from, at most (by a hash of doc_id).
 TRAIN_ROWS = 4000
 #: Added to each piece's count.
 SMOOTHING = 0.1
 #: Words kept per worker; a full memo is emptied.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
+#: Word positions scored together.
+CELLS = 100_000
 UNDETERMINED = "und"
 
 
@@ -92,7 +94,7 @@ class Scorer:
         first = 0
         while first < len(order):
             last, longest = first, 0
-            while last < len(order) and (last == first or (last - first + 1) * (len(words[order[last]]) + 2) <= 400_000):
+            while last < len(order) and (last == first or (last - first + 1) * (len(words[order[last]]) + 2) <= CELLS):
                 last += 1
             longest = len(words[order[last - 1]]) + 1
             part = [words[i] for i in order[first:last]]
@@ -118,17 +120,22 @@ class Scorer:
             first = last
         return result
 
+    def forget(self) -> None:
+        self._memo.clear()
+        self._scores = np.zeros((1024, self.languages))
+
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Each text's best language (-1: none) and its posterior."""
+        remember_alone(self)
         found = [words_of(t) if t else [] for t in texts]
         new = set().union(*found) - self._memo.keys()
         if len(self._memo) + len(new) > MEMO_WORDS:
-            self._memo.clear()
+            self.forget()
             new = set().union(*found)
         new = list(new)
         at = len(self._memo)
         if at + len(new) > len(self._scores):
-            self._scores = np.vstack([self._scores[:at], np.zeros((at + 2 * len(new), self.languages))])
+            self._scores = np.vstack([self._scores[:at], np.zeros((at // 2 + 2 * len(new), self.languages))])
         self._scores[at : at + len(new)] = self.forward(new)
         self._memo.update(zip(new, range(at, at + len(new)), strict=True))
         best, score = np.full(len(texts), -1), np.zeros(len(texts))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starledger.llm.common import bounded_broadcast, exact_columns, short_batches, staged
+from starledger.llm.common import bounded_broadcast, exact_columns, remember_alone, short_batches, staged
 from starledger.llm.components import components
 from starledger.llm.shingles import sequence_keys, shingle_sets
 
@@ -53,6 +53,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
     """A row for each document with a doc_id: n_shingles, its word sequence's key and its sketch."""
 
     def run(batches):
+        remember_alone()
         for batch in batches:
             texts = batch.column(1)
             a, b = sequence_keys(texts)

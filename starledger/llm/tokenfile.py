@@ -43,10 +43,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for first, run in slices(texts):
-                ids = [np.frombuffer(x + end, "<i4") for x in enc.encode(run)]
-                n = np.array([len(x) for x in ids], np.int64)
+                ids = enc.encode(run)
+                n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
                 ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(ids)))
+                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(end.join([*ids, b""]))])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(run)), pa.array(np.full(len(run), chunk, np.int32)), pa.array(start + ends - n), pa.array(n), lists],
                     names=["doc_id", "chunk", "chunk_start", "n_tokens", "ids"],
