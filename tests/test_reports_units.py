@@ -1,4 +1,3 @@
-import datetime as dt
 
 from helpers import D, model
 
