@@ -16,7 +16,7 @@ import numpy as np
 from starledger.llm.common import remember_alone
 
 #: Words kept per worker (about 150 bytes each); a full memo is emptied.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 600_000
 #: Longer "words" are encoded each time they occur.
 MEMO_CHARS = 64
 #: Characters of text handled at once inside a worker.
