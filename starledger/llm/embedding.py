@@ -6,7 +6,9 @@
 3. Each round, a vector's neighbours (those in its list, and as many that list it) are compared with
    each other, and improve each other's lists. Rounds end when no new pair reaches the threshold.
 4. Lists that are full of pairs above the threshold are saturated: they are enlarged to the whole
-   connected group, whose members are compared in blocks, so no list length limits what is counted.
+   connected group, and groups that hold one are compared with all others of their kind near them
+   and joined where a pair reaches the threshold. The members of a group are compared in blocks, so
+   no list length limits what is counted.
 5. An audit compares a few vectors with all others. While it finds too few of its pairs in the
    graph, rounds go on from new leaves.
 
@@ -34,6 +36,8 @@ ROUNDS, RESTARTS = 6, 3
 AUDIT_ROWS, RECALL = 64, 0.98
 #: Vectors in one block of a group that is compared as a whole.
 BLOCK = 256
+#: Blocks in one tile, when the blocks' centres are compared.
+TILE = 512
 
 
 def _unit(flat: np.ndarray, rows: int) -> np.ndarray:
@@ -193,6 +197,96 @@ def audit(classes: DataFrame, groups: DataFrame, threshold: float, rows: int = A
     return r["found"], r["pairs"]
 
 
+def _saturated(lists: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(u) of the lists that are full of pairs at the threshold."""
+    return lists.where((F.size("near") >= k) & (-F.element_at("near", -1)["far"] >= threshold)).select("u")
+
+
+def _bridges(classes: DataFrame, lists: DataFrame, groups: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, b): pairs of groups with a saturated list each and a pair of vectors at the threshold.
+
+    Their members are compared in blocks. Two blocks can only hold such a pair if the angle between
+    their centres is at most the sum of their radii and the threshold's angle; others are left out.
+    """
+    named = groups.select("node", "component")
+    full = _saturated(lists, threshold, k).join(named, F.col("u") == F.col("node")).select("component").distinct()
+    members = staged(classes.join(named.join(full, "component"), F.col("rep") == F.col("node")).select("space", "component", "rep", "v"), "saturated")
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
+    blocks = staged(dealt.groupBy("space", "component", "block").agg(F.collect_list("v").alias("vectors")), "saturated-blocks")
+
+    def middles(batches):
+        for batch in batches:
+            centres, radii = [], []
+            for n in range(batch.num_rows):
+                vectors = batch.column(3)
+                a, b = vectors.offsets[n].as_py(), vectors.offsets[n + 1].as_py()
+                x = _unit(np.asarray(vectors.values.slice(a, b - a).flatten()), b - a)
+                mean = x.sum(axis=0)
+                length = np.sqrt(mean @ mean)
+                centre = mean / length if length > 1e-6 else x[0]
+                centres.append(centre)
+                radii.append(float(np.arccos(np.clip(x @ centre, -1, 1)).max()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64())], names=["space", "component", "block", "centre", "radius"])
+
+    middle = staged(blocks.mapInArrow(middles, "space string, component long, block long, centre array<double>, radius double"), "middles")
+    tiles = middle.groupBy("space").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    placed = middle.join(F.broadcast(tiles), "space").withColumn("tile", F.pmod(F.xxhash64("component", "block"), "tiles"))
+    part = F.collect_list(F.struct("component", "block", "centre", "radius"))
+    tile = staged(placed.groupBy("space", "tiles", "tile").agg(part.alias("x")), "tiles")
+    # Each tile goes to all pairs that it is part of: a join by space alone would have few keys.
+    left = tile.select("space", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("j"), "x")
+    right = tile.select("space", F.explode(F.sequence(F.lit(0).cast("long"), "tile")).alias("i"), F.col("tile").alias("j"), F.col("x").alias("y"))
+    reach = float(np.arccos(threshold)) + 1e-6
+
+    def near_blocks(batches):
+        def side(column, n):
+            a, b = column.offsets[n].as_py(), column.offsets[n + 1].as_py()
+            ids, block, centre, radius = (column.values.slice(a, b - a).field(i) for i in range(4))
+            return np.asarray(ids), np.asarray(block), np.asarray(centre.flatten()).reshape(b - a, -1), np.asarray(radius)
+
+        for batch in batches:
+            out = []
+            for n in range(batch.num_rows):
+                (c, bc, x, rx), (d, bd, y, ry) = side(batch.column(0), n), side(batch.column(1), n)
+                # Of a tile with itself and of two tiles, each pair of groups in one direction at least.
+                close = np.arccos(np.clip(x @ y.T, -1, 1)) <= rx[:, None] + ry[None, :] + reach
+                close &= c[:, None] < d[None, :] if batch.column(2)[n].as_py() else c[:, None] != d[None, :]
+                i, j = np.nonzero(close)
+                out.append((c[i], bc[i], d[j], bd[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(4)], names=["a", "i", "b", "j"])
+
+    close = left.join(right, ["space", "i", "j"]).select("x", "y", (F.col("i") == F.col("j")).alias("same")).mapInArrow(near_blocks, "a long, i long, b long, j long")
+    close = staged(close, "near-blocks")
+    x = blocks.select(F.col("component").alias("a"), F.col("block").alias("i"), F.col("vectors").alias("x"))
+    y = blocks.select(F.col("component").alias("b"), F.col("block").alias("j"), F.col("vectors").alias("y"))
+
+    def linked(batches):
+        for batch in batches:
+            hit = []
+            for n in range(batch.num_rows):
+                sides = []
+                for vectors in (batch.column(2), batch.column(3)):
+                    a, b = vectors.offsets[n].as_py(), vectors.offsets[n + 1].as_py()
+                    sides.append(_unit(np.asarray(vectors.values.slice(a, b - a).flatten()), b - a))
+                hit.append(bool((sides[0] @ sides[1].T >= threshold).any()))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(hit, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+
+    return close.join(x, ["a", "i"]).join(y, ["b", "j"]).select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct()
+
+
+def graph_groups(classes: DataFrame, lists: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(node, component): the groups of the graph's pairs at the threshold, saturated lists enlarged."""
+    pairs = _edges(lists).where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    groups = components(pairs)
+    if _saturated(lists, threshold, k).isEmpty():
+        return groups
+    bridges = staged(_bridges(classes, lists, groups, threshold, k), "bridges")
+    if bridges.isEmpty():
+        return groups
+    return components(bridges.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
 def _group_links(classes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """(rep, links, lowest): for each class in a group, the vectors of other classes linked with it,
     and the smallest class among itself and them, by comparing the group's blocks with each other."""
@@ -244,7 +338,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, k: int = NEI
     lists, groups = None, None
     for start in range(RESTARTS):
         lists = neighbour_graph(classes, start, k, threshold, lists)
-        groups = components(_edges(lists).where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
+        groups = graph_groups(classes, lists, threshold, k)
         found, pairs = audit(classes, groups, threshold)
         if found >= RECALL * pairs:
             break

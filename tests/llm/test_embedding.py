@@ -82,3 +82,22 @@ def test_given_table(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_duplicates(table).collect()}
     want = brute(rows)
     assert sum(got[i] == want[i] for i in want) >= 0.999 * len(want)
+
+
+def test_saturated_lists_of_two_tight_groups(spark):
+    """All pairs across are links, but every vector has more than k nearer ones in its own group."""
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal(64)
+    a /= np.linalg.norm(a)
+    side = rng.standard_normal(64)
+    side -= side @ a * a
+    b = np.cos(0.16) * a + np.sin(0.16) * side / np.linalg.norm(side)
+    rows = [(i, (c + 0.002 * rng.standard_normal(64)).astype(np.float32).tolist(), 1) for i, c in enumerate([a] * 20 + [b] * 20)]
+    far = rng.standard_normal((20, 64))
+    rows += [(100 + i, (far[0] + 0.002 * x).astype(np.float32).tolist(), 1) for i, x in enumerate(far)]
+    x = np.array([r[1] for r in rows[:40]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert (x[:20] @ x[20:].T).min() >= 0.98 and (x[:20] @ x[20:].T).max() < (x[:20] @ x[:20].T).min()
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_duplicates(table).collect()}
+    assert got == brute(rows) and got[0] == (39, 0) and got[39] == (39, 0) and got[100][1] == 100
