@@ -2,7 +2,8 @@
 
 A seed hashes the words at a mask's positions and ignores those between, so a passage with some
 words replaced still shares seeds with its source. The seeds of the benchmark are joined with those
-of every document; around each hit, the aligned words are compared one by one.
+of every document; around each hit, the aligned words are compared one by one, and the best window
+that holds the seed counts.
 
 The benchmark's seeds are broadcast in blocks of a fixed size, so no document is shuffled and a
 large benchmark takes more passes, not more memory.
@@ -20,7 +21,7 @@ from starledger.llm.common import bounded_broadcast, exact_columns, staged
 #: Word positions that a seed reads.
 MASKS = ((0, 1, 4, 5, 8), (0, 1, 2, 4, 7), (0, 2, 3, 5, 8))
 SPAN = 1 + max(map(max, MASKS))
-#: Words compared around a hit (a shorter item: all of its words), and the share that must be equal.
+#: Words in a window that holds a hit (a shorter item: all of its words), and the share that must be equal.
 WINDOW = 20
 PERCENT = 75
 #: Seeds of the benchmark in one broadcast.
@@ -58,9 +59,9 @@ def _position(at: Column, words: Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, matched, compared): for each document and benchmark item that overlap, the
-    most equal words seen in a window around a hit, and the window's words.
+    most equal words seen in a window that holds a hit, and the window's words.
 
-    An overlap has at least ``percent`` equal words among the ``WINDOW`` aligned ones around a shared
+    An overlap has at least ``percent`` equal words in any ``WINDOW`` aligned ones that hold a shared
     seed. Items of fewer than SPAN words have no seed and match nothing, nor do null texts and rows
     without an id; rows that repeat an id are one document (item).
     """
@@ -85,12 +86,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
 
 
 def _compared(hits: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched, compared) of each hit: the equal words in its window."""
-    p = _position(F.col("at"), F.col("words"))
-    start = F.greatest(F.lit(0), F.least(F.col("q") - (WINDOW - SPAN) // 2, F.size("item") - WINDOW))
-    hits = hits.select("doc_id", "item_id", "words", "item", (p - F.col("q")).alias("shift"), start.alias("start"), F.least(F.lit(WINDOW), F.size("item")).alias("compared"))
-    equal = F.filter(F.sequence(F.col("start"), F.col("start") + F.col("compared") - 1), lambda i: F.get("item", i) == F.get("words", i + F.col("shift")))
-    return hits.select("doc_id", "item_id", F.size(equal).alias("matched"), "compared")
+    """(doc_id, item_id, matched, compared) of each hit: the equal words in the best window that holds its seed."""
+    room = WINDOW - SPAN
+    first, shift = F.col("q") - room, _position(F.col("at"), F.col("words")) - F.col("q")
+    hits = hits.select("doc_id", "item_id", "words", "item", first.alias("first"), shift.alias("shift"), F.least(F.lit(WINDOW), F.size("item")).alias("compared"))
+    # Bit i: the item's word at first + i is equal. Windows that begin before the item or end after it
+    # hold no more equal words than the one moved inside, which is among those tried.
+    same = lambda i: F.get("item", F.col("first") + i) == F.get("words", F.col("first") + F.col("shift") + i)
+    equal = F.aggregate(F.sequence(F.lit(0), F.lit(WINDOW + room - 1)), F.lit(0).cast("long"), lambda bits, i: F.when(same(i), bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(bits))
+    whole = F.lit((1 << WINDOW) - 1).cast("long")
+    matched = _let(equal, lambda bits: F.greatest(*(F.bit_count(F.shiftright(bits, k).bitwiseAND(whole)) for k in range(room + 1))))
+    return hits.select("doc_id", "item_id", matched.alias("matched"), "compared")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -64,6 +64,33 @@ def test_replaced_words(spark, share):
     assert not {x for x in got if x < 1000} and got <= want and len(got) >= 0.97 * len(want)
 
 
+def windows_with_seeds(doc, item):
+    """Whether a window of aligned words that holds a shared seed has 75 % of its words equal."""
+    n = min(d.WINDOW, len(item))
+    for shift in range(-len(item), len(doc)):
+        same = [0 <= i + shift < len(doc) and doc[i + shift] == x for i, x in enumerate(item)]
+        for s in range(len(item) - n + 1) if sum(same) * 100 >= 75 * n else ():
+            if 100 * sum(same[s : s + n]) >= 75 * n and any(all(same[q + o] for o in mask) for mask in d.MASKS for q in range(s, s + n - d.SPAN + 1)):
+                return True
+    return False
+
+
+@pytest.mark.parametrize(("share", "words_each"), [(0.2, 30), (0.25, 30), (0.25, 45), (0.2, 14)])
+def test_every_overlap_with_a_seed_is_found(spark, share, words_each):
+    """Only what shares no seed is missed, wherever the seed lies in the window."""
+    rng = random.Random(share + words_each)
+    items = [(i, [f"w{i}x{j}" for j in range(words_each)]) for i in range(900)]
+    docs = []
+    for i, item in items:
+        new = ["other" if rng.random() < share else w for w in item]
+        docs.append((i, ["before"] * rng.randint(0, 15) + new + ["after"] * rng.randint(0, 15)))
+    frame = lambda rows, c: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{c} long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    want = {(i, i) for (i, doc), (_, item) in zip(docs, items, strict=True) if windows_with_seeds(doc, item)}
+    whole = brute([(i, " ".join(w)) for i, w in docs], [(i, " ".join(w)) for i, w in items])
+    assert got == want and want <= whole and len(want) >= 0.99 * len(whole)
+
+
 def test_blocks_of_seeds_give_the_same(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {tuple(r) for r in d.leaks(docs, items).collect()}
