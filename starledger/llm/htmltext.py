@@ -20,13 +20,9 @@ from pyspark.sql import DataFrame
 
 from starledger.llm.common import exact_columns, short_batches
 
-#: Quoted values that hold ">" are read up to a length, so that broken quotes can't make a page's time quadratic.
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]{0,2000}+\"|'[^']{0,2000}+'){0,100}+)>"
-    r"|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*+)(?P<attrs2>[^>]*+)>",
-    re.S,
-)
+#: A comment, CDATA, a declaration, or the start of a tag (its end is found by ``_Tags``).
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)", re.S)
+_SPECIAL = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_PART = re.compile(r"[a-z]+|[0-9]+")
 
@@ -75,6 +71,46 @@ class _Element:
         self.article = inside or name in ARTICLE_TAGS or not words.isdisjoint(ARTICLE_WORDS)
 
 
+class _Tags:
+    """Ends of a page's tags. A quoted value may hold ">" at any length; a quote that nothing closes is
+    an ordinary character, and a tag whose quotes leave no end ends at its first ">".
+
+    All searches go on from what earlier ones found, so the time is linear in the page.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.first, self.plain = -1, -1  # the next quote or ">", the next ">"
+        self.last = {sign: page.rfind(sign) for sign in "\"'"}  # from there on, nothing closes the sign
+        self.endless: set[int] = set()  # quotes from which no end was found
+
+    def end(self, at: int) -> int:
+        """The place of the ">" that ends the tag whose attributes begin at ``at``; -1 if there is none."""
+        page = self.page
+        if self.plain < at:
+            found = page.find(">", at)
+            self.plain = len(page) if found < 0 else found
+        if self.plain == len(page):
+            return -1
+        if self.first < at:
+            self.first = _SPECIAL.search(page, at).start()
+        place, seen = self.first, []
+        while page[place] != ">":
+            if place in self.endless:
+                break
+            seen.append(place)
+            sign = page[place]
+            close = page.find(sign, place + 1) if place < self.last[sign] else place
+            m = _SPECIAL.search(page, close + 1)
+            if m is None:
+                break
+            place = m.start()
+        else:
+            return place
+        self.endless.update(seen)
+        return self.plain
+
+
 class Block:
     __slots__ = ("text", "links", "element")
 
@@ -106,17 +142,23 @@ def blocks_of(page: str) -> list[Block]:
             if link_depth:
                 links += len(text.strip())
 
+    tags = _Tags(page)
     while m := _MARKUP.search(page, at):
+        end = tags.end(m.end()) if m["name"] else m.end() - 1
+        if end < 0:  # no tag ends any more
+            say(page[at : m.end()])
+            at = m.end()
+            continue
         if m.start() > at:
             say(page[at : m.start()])
-        at = m.end()
+        at = end + 1
         if m["cdata"] is not None:
             say(m["cdata"])
             continue
-        name = (m["name"] or m["name2"] or "").lower()
+        name = (m["name"] or "").lower()
         if not name:
             continue
-        closing, attrs = bool(m["close"] or m["close2"]), m["attrs"] or m["attrs2"] or ""
+        closing, attrs = bool(m["close"]), page[m.end() : end]
         if name == "br":
             parts.append("\n")
         elif name in INLINE:

@@ -75,6 +75,32 @@ def test_broken_markup_takes_linear_time():
         htmltext.main_text(page)
 
 
+@pytest.mark.parametrize("size", [1990, 2100, 500_000])
+def test_attribute_values_of_any_length(size):
+    value = "a > b <i> " * (size // 10)
+    text = "A sentence that stands on its own in the article, and is of some length, as they are."
+    for quote, other in ("\"'", "'\""):
+        page = f"<article><p data-x={quote}{value}{other}{quote} data-y={other}>{other}>{text}</p><img alt={quote}{value}{quote}></article>"
+        assert htmltext.main_text(page) == text
+    parts = " ".join(f'data-{i}="{i} > 0"' for i in range(size // 10))
+    assert htmltext.main_text(f"<article><p {parts}>{text}</p></article>") == text
+
+
+def test_quotes_that_nothing_closes():
+    text = "A sentence that stands on its own in the article, and is of some length, as they are."
+    assert htmltext.main_text(f"<article><p class='x>{text}</p></article>") == text
+    assert htmltext.main_text(f"<article><p class=it's>{text}</p></article>") == text
+
+
+def test_odd_quotes_take_linear_time():
+    import time
+
+    for page in ("<a \">\" " * 40000, "<a " * 40000 + ">", "<a " * 40000 + "\"" * 3 + ">", "<a '\">' " * 40000 + "'", "<p a='>' b=\">\"" * 30000, "<a \"<a >\" " * 40000, "<a b='" * 40001 + ">"):
+        start = time.perf_counter()
+        htmltext.blocks_of(page)
+        assert time.perf_counter() - start < 10
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 5), (None, "v", "", 5), (3, "w", "<article><p>" + "long text " * 100_000 + "</p></article>", 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
