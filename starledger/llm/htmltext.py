@@ -43,6 +43,9 @@ ENDS_P = {
 HARD, BIAS, ARTICLE, PARAGRAPH, HEADING, LONG, SENTENCE, SHORT, LINKS = -9.0, 0.2, 3.0, 1.0, 0.5, 1.5, 0.5, -0.5, -2.5
 #: Smoothness: blocks next to each other, and more for those with the same parent or grandparent.
 NEXT, SIBLINGS, COUSINS = 0.3, 0.6, 0.3
+#: Cost of a boilerplate word in the name of an element around a block: where it is the whole name
+#: ("sidebar", "cookie-notice") or only a part ("has-sidebar"). The block's own evidence and the cut can outweigh it.
+NAMED, PARTLY_NAMED = -4.5, -2.5
 
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "svg", "object", "header"}
 BOILERPLATE_WORDS = {
@@ -53,22 +56,43 @@ BOILERPLATE_WORDS = {
 }
 ARTICLE_TAGS = {"article", "main"}
 ARTICLE_WORDS = {"article", "content", "entry", "main", "post", "story"}
+#: Boilerplate words that say nothing inside an article, as its header may hold the headline.
+HEADER_WORDS = {"header"}
+
+
+def _named(names: list[set[str]], ignored: set[str]) -> float:
+    """The cost of an element's own names, each a set of words."""
+    cost = 0.0
+    for words in names:
+        if not (words - ignored).isdisjoint(BOILERPLATE_WORDS):
+            cost = min(cost, NAMED if words <= BOILERPLATE_WORDS else PARTLY_NAMED)
+    return cost
 
 
 class _Element:
-    __slots__ = ("name", "parent", "hard", "article")
+    __slots__ = ("name", "parent", "hard", "article", "named")
 
     def __init__(self, name: str, attrs: str, parent: _Element | None):
         self.name, self.parent = name, parent
-        words: set[str] = set()
+        names: list[set[str]] = []
         if attrs and "=" in attrs:
             for m in _ATTRIBUTE.finditer(attrs):
-                words.update(_NAME_PART.findall((m[2] or m[3] or m[4] or "").lower()))
+                names += [set(_NAME_PART.findall(x)) for x in (m[2] or m[3] or m[4] or "").lower().split()]
         inside = parent is not None and parent.article
         # The header of an article may hold its headline: its blocks are judged like others.
         own = name in BOILERPLATE_TAGS and not (name == "header" and inside)
-        self.hard = (parent is not None and parent.hard) or own or (name not in ("html", "body", "article", "main") and not words.isdisjoint(BOILERPLATE_WORDS))
-        self.article = inside or name in ARTICLE_TAGS or not words.isdisjoint(ARTICLE_WORDS)
+        self.hard = (parent is not None and parent.hard) or own
+        cost = _named(names, HEADER_WORDS if inside else set())
+        above = parent.named if parent is not None else 0.0
+        article = any(not words.isdisjoint(ARTICLE_WORDS) and words.isdisjoint(BOILERPLATE_WORDS) for words in names)
+        if name in ARTICLE_TAGS:
+            # What an article is in doesn't speak against it, unless it names itself so (a list of comments).
+            odd = cost < 0 and not article
+            self.named, self.article = (above if odd else 0.0), not (odd and above == NAMED)
+        else:
+            self.named = 0.0 if name in ("html", "body") else min(above, cost)
+            # A name ends an article; within what is wholly named so, no class begins one.
+            self.article = (inside and self.named == above) or (article and not (cost or above == NAMED))
 
 
 class _Tags:
@@ -194,7 +218,7 @@ def evidence(block: Block) -> float:
     score = BIAS + (LONG if n >= 80 else SHORT if n < 25 else 0.0)
     score += SENTENCE if block.text[-1] in ".!?…。！？\"”»" else 0.0
     score += PARAGRAPH if name in ("p", "pre", "blockquote") else HEADING if name in ("h1", "h2", "h3", "h4", "h5", "h6") else 0.0
-    score += ARTICLE if block.element.article else 0.0
+    score += block.element.named + (ARTICLE if block.element.article else 0.0)
     return score + (LINKS if 2 * block.links > n else 0.0)
 
 

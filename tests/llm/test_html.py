@@ -75,6 +75,32 @@ def test_broken_markup_takes_linear_time():
         htmltext.main_text(page)
 
 
+TEXT = "A sentence that stands on its own in the article, and is of some length, as they are."
+
+
+@pytest.mark.parametrize("outer", ['class="layout has-sidebar"', 'id="page" class="site nav-fixed"', 'class="no-sidebar header-fixed"', 'class="sidebar"'])
+def test_layout_names_around_an_article(outer):
+    for tag in ("article", "main"):
+        page = f"<body><div {outer}><div><{tag} class='post has-sidebar'><h1>Headline</h1><p>{TEXT}</p><p>Short.</p></{tag}></div><nav><a href=/>Home</a></nav></div>"
+        assert htmltext.main_text(page) == f"Headline {TEXT} Short."
+    if outer != 'class="sidebar"':
+        page = f"<body><div {outer}><div class=entry-content><p>{TEXT}</p><p>{TEXT}</p></div></div>"
+        assert htmltext.main_text(page) == f"{TEXT} {TEXT}"
+        page = f"<body><div {outer}><div><p>{TEXT}</p><p>{TEXT}</p></div></div>"
+        assert htmltext.main_text(page) == f"{TEXT} {TEXT}"
+
+
+def test_header_words_inside_an_article():
+    page = f"<article><div class='article-header'><h1>Headline</h1></div><div class=header><p>By the way.</p></div><p>{TEXT}</p></article><div class=header><p>Site of sites</p></div>"
+    assert htmltext.main_text(page) == f"Headline By the way. {TEXT}"
+
+
+@pytest.mark.parametrize("extra", [f'<section id="comments"><div class="content"><p>{TEXT}</p></div></section>', f'<ol class="comments"><li><article class="comment-body"><p>{TEXT}</p></article></li></ol>', f'<div class="cookie-notice"><p>{TEXT}</p></div>', f'<div class="sidebar"><div class="post"><p>{TEXT}</p></div></div>'])
+def test_named_boilerplate_stays_out(extra):
+    assert htmltext.main_text(f"<body><article><h1>Headline</h1><p>{TEXT}</p></article>{extra}</body>") == f"Headline {TEXT}"
+    assert htmltext.main_text(f"<body><main><h1>Headline</h1><p>{TEXT}</p>{extra}<p>{TEXT}</p></main></body>") == f"Headline {TEXT} {TEXT}"
+
+
 @pytest.mark.parametrize("size", [1990, 2100, 500_000])
 def test_attribute_values_of_any_length(size):
     value = "a > b <i> " * (size // 10)
