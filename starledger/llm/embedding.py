@@ -4,25 +4,30 @@
 2. The graph starts from random-projection leaves: vectors that agree in the signs of some random
    projections are compared, and each keeps its ``k`` nearest. A leaf with too many is dealt at random.
 3. Each round, a vector's neighbours (those in its list, and as many that list it) are compared with
-   each other, and improve each other's lists. Rounds end when no new pair reaches the threshold.
+   each other, and improve each other's lists. Rounds end when no new pair reaches the threshold but
+   in saturated lists, whose groups are compared as a whole.
 4. Lists that are full of pairs above the threshold are saturated: they are enlarged to the whole
    connected group, and groups that hold one are compared with all others of their kind near them
    and joined where a pair reaches the threshold. The members of a group are compared in blocks, so
    no list length limits what is counted.
-5. An audit compares a few vectors with all others. While it finds too few of its pairs in the
-   graph, rounds go on from new leaves.
+5. An audit compares some vectors of saturated groups and some others, more in a larger table, with
+   all vectors. While too few of either kind have all their pairs in the graph, rounds go on from
+   new leaves; if the last ones miss too, a warning says so.
 
 Vectors travel as they are; cosines are computed in double precision.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starledger.llm.common import staged
+from starledger.llm.common import bounded_broadcast, staged
 from starledger.llm.components import components
 
 THRESHOLD = 0.98
@@ -31,9 +36,10 @@ NEIGHBOURS = 8
 TABLES, LEAF = 6, 64
 #: Random projections of a table at most.
 BITS = 40
-ROUNDS, RESTARTS = 6, 3
-#: Vectors that the audit compares with all others, and the share of their pairs it wants found.
-AUDIT_ROWS, RECALL = 64, 0.98
+RESTARTS = 3
+#: Vectors of a kind that the audit compares with all others: so many, and so many times the root of
+#: the table's rows; and the share of those with pairs whose pairs it wants found.
+AUDIT_ROWS, AUDIT_ROOT, RECALL = 64, 2, 0.98
 #: Vectors in one block of a group that is compared as a whole.
 BLOCK = 256
 #: Blocks in one tile, when the blocks' centres are compared.
@@ -132,8 +138,10 @@ def _compare(groups: DataFrame, k: int) -> DataFrame:
 
 def _lists(edges: DataFrame, k: int) -> DataFrame:
     """(u, near): each vector's k best edges, as (-sim, v)."""
-    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("far"), "v"))), 1, k)
-    return edges.groupBy("u").agg(best.alias("near"))
+    # One entry for each v: a pair compared in two places can differ in the last bit.
+    single = edges.repartition("u").groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "v"))), 1, k)
+    return single.groupBy("u").agg(best.alias("near"))
 
 
 def _edges(lists: DataFrame) -> DataFrame:
@@ -153,8 +161,11 @@ def _round(lists: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return _lists(edges.union(_compare(groups, k)), k)
 
 
-def _reaching(lists: DataFrame, threshold: float) -> int:
-    return lists.agg(F.sum(F.size(F.filter("near", lambda e: -e["far"] >= threshold)))).first()[0] or 0
+def _new_pairs(lists: DataFrame, before: DataFrame, threshold: float) -> bool:
+    """Whether a list has more pairs at the threshold than ``before``: one that was saturated has not."""
+    reaching = F.size(F.filter("near", lambda e: -e["far"] >= threshold))
+    more = lists.select("u", reaching.alias("n")).join(before.select("u", reaching.alias("m")), "u", "left")
+    return not more.where(F.col("n") > F.coalesce("m", F.lit(0))).isEmpty()
 
 
 def neighbour_graph(classes: DataFrame, start: int, k: int, threshold: float, known: DataFrame | None = None) -> DataFrame:
@@ -163,18 +174,15 @@ def neighbour_graph(classes: DataFrame, start: int, k: int, threshold: float, kn
     groups = _leaves(classes, start).groupBy("space", "table", "code", "salt").agg(F.collect_list(member).alias("members"))
     edges = _compare(groups, k)
     lists = staged(_lists(edges if known is None else edges.union(_edges(known)), k), "lists")
-    found = _reaching(lists, threshold)
-    for _ in range(ROUNDS):
-        lists = staged(_round(lists, classes, k), "lists")
-        before, found = found, _reaching(lists, threshold)
-        if found <= before * 1.0005:
-            break
-    return lists
+    while True:
+        before, lists = lists, staged(_round(lists, classes, k), "lists")
+        if not _new_pairs(lists, before, threshold):
+            return lists
 
 
-def audit(classes: DataFrame, groups: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> tuple[int, int]:
-    """Of a few vectors' pairs at the threshold with all others: how many are in one group, how many there are."""
-    sample = classes.select("rep", "space", "v", F.xxhash64("rep").alias("h")).orderBy("h").limit(rows).collect()
+def _audited(classes: DataFrame, groups: DataFrame, threshold: float, sample: list) -> DataFrame:
+    """(q, pairs, found): for each class of ``sample`` (rep, space, v) with pairs at the threshold among
+    all others, how many there are and how many of them are in its group."""
     queries: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for space in {r["space"] for r in sample}:
         mine = [r for r in sample if r["space"] == space]
@@ -182,19 +190,48 @@ def audit(classes: DataFrame, groups: DataFrame, threshold: float, rows: int = A
 
     def run(batches):
         for batch in batches:
-            pairs = []
-            for rep, space, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if space in queries:
-                    reps, x = queries[space]
-                    near = x @ _unit(np.asarray(v.values), 1)[0] >= threshold
-                    pairs += [(int(q), rep) for q in reps[near] if q != rep]
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["q", "rep"])
+            pairs = [np.zeros((2, 0), np.int64)]
+            reps, spaces, v = np.asarray(batch.column(0)), np.asarray(batch.column(1).to_pylist(), object), batch.column(2)
+            offsets, flat = np.asarray(v.offsets), np.asarray(v.values)
+            for space, (asked, x) in queries.items():
+                rows = np.flatnonzero(spaces == space)
+                for some in np.array_split(rows, -(-len(rows) // 1024)) if len(rows) else ():
+                    y = _unit(np.concatenate([flat[offsets[r] : offsets[r + 1]] for r in some]), len(some))
+                    i, j = np.nonzero(x @ y.T >= threshold)
+                    found = np.stack([asked[i], reps[some][j]])
+                    pairs.append(found[:, found[0] != found[1]])
+            q, rep = np.concatenate(pairs, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(rep, pa.int64())], names=["q", "rep"])
 
     pairs = classes.select("rep", "space", "v").mapInArrow(run, "q long, rep long")
     named = groups.select("node", "component")
     both = pairs.join(named.toDF("q", "q_group"), "q", "left").join(named.toDF("rep", "group"), "rep", "left")
-    r = both.agg(F.count("*").alias("pairs"), F.count_if(F.col("q_group") == F.col("group")).alias("found")).first()
-    return r["found"], r["pairs"]
+    return both.groupBy("q").agg(F.count("*").alias("pairs"), F.count_if(F.col("q_group") == F.col("group")).alias("found"))
+
+
+def _sampled(classes: DataFrame, rows: int) -> list:
+    return classes.select("rep", "space", "v", F.xxhash64("rep").alias("h")).orderBy("h").limit(rows).collect()
+
+
+def audit(classes: DataFrame, groups: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> tuple[int, int]:
+    """Of a few vectors' pairs at the threshold with all others: how many are in one group, how many there are."""
+    r = _audited(classes, groups, threshold, _sampled(classes, rows)).agg(F.sum("pairs").alias("pairs"), F.sum("found").alias("found")).first()
+    return r["found"] or 0, r["pairs"] or 0
+
+
+def audit_vectors(classes: DataFrame, lists: DataFrame, groups: DataFrame, threshold: float, k: int) -> list[tuple[int, int]]:
+    """For vectors of groups with a saturated list, and for others: of those sampled that have a pair
+    at the threshold, how many have all of them in their group, and how many there are."""
+    rows = AUDIT_ROWS + math.ceil(AUDIT_ROOT * math.sqrt(classes.count()))
+    named = groups.select("node", "component")
+    full = bounded_broadcast(staged(_saturated(lists, threshold, k).join(named, F.col("u") == F.col("node")).select("component").distinct(), "full"))
+    dense = staged(named.join(full, "component").select(F.col("node").alias("rep")), "dense")
+    out = []
+    for kind in ("left_semi", "left_anti"):
+        audited = _audited(classes, groups, threshold, _sampled(classes.join(dense, "rep", kind), rows))
+        r = audited.agg(F.count_if(F.col("found") == F.col("pairs")).alias("whole"), F.count("*").alias("n")).first()
+        out.append((r["whole"], r["n"]))
+    return out
 
 
 def _saturated(lists: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -209,10 +246,12 @@ def _bridges(classes: DataFrame, lists: DataFrame, groups: DataFrame, threshold:
     their centres is at most the sum of their radii and the threshold's angle; others are left out.
     """
     named = groups.select("node", "component")
-    full = _saturated(lists, threshold, k).join(named, F.col("u") == F.col("node")).select("component").distinct()
+    full = bounded_broadcast(staged(_saturated(lists, threshold, k).join(named, F.col("u") == F.col("node")).select("component").distinct(), "full"))
     members = staged(classes.join(named.join(full, "component"), F.col("rep") == F.col("node")).select("space", "component", "rep", "v"), "saturated")
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
+    # Only groups of more than a block are joined, by broadcast: by component, a large one would be in one task.
+    large = staged(members.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large")
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK)
+    dealt = members.join(bounded_broadcast(large), "component", "left").withColumn("block", F.pmod(F.xxhash64("rep"), parts))
     blocks = staged(dealt.groupBy("space", "component", "block").agg(F.collect_list("v").alias("vectors")), "saturated-blocks")
 
     def middles(batches):
@@ -339,9 +378,12 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, k: int = NEI
     for start in range(RESTARTS):
         lists = neighbour_graph(classes, start, k, threshold, lists)
         groups = graph_groups(classes, lists, threshold, k)
-        found, pairs = audit(classes, groups, threshold)
-        if found >= RECALL * pairs:
+        audited = audit_vectors(classes, lists, groups, threshold, k)
+        if all(whole >= RECALL * n for whole, n in audited):
             break
+    else:
+        (a, b), (c, d) = audited
+        warnings.warn(f"near_duplicates: links are missing. All links found for {a} of {b} audited vectors of large groups, {c} of {d} others", stacklevel=2)
     links = staged(_group_links(classes, groups, threshold), "links")
     per_class = classes.select("rep", "copies").join(links.select("rep", "links"), "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
     per_class = per_class.select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

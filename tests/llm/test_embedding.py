@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from starledger.llm import embedding
 
@@ -101,3 +102,26 @@ def test_saturated_lists_of_two_tight_groups(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_duplicates(table).collect()}
     assert got == brute(rows) and got[0] == (39, 0) and got[39] == (39, 0) and got[100][1] == 100
+
+
+def test_audit_by_vector_sees_pairs_beside_a_dense_group(spark):
+    """A dense group that is found doesn't hide pairs that aren't."""
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal(32)
+    rows = [(i, (base + 0.05 * rng.standard_normal(32)).astype(np.float32).tolist(), 1) for i in range(200)]
+    for i in range(30):
+        v = rng.standard_normal(32)
+        rows += [(1000 + 2 * i + j, (v + 0.01 * j * rng.standard_normal(32)).astype(np.float32).tolist(), 1) for j in range(2)]
+    classes = embedding.classes_of(embedding.vectors_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))).cache()
+    groups = spark.createDataFrame([(i, 0) for i in range(200)], "node long, component long")
+    lists = spark.createDataFrame([(i, [(-1.0, (i + j) % 200) for j in range(1, 9)]) for i in range(200)], "u long, near array<struct<far double, v long>>")
+    (whole, dense), (found, others) = embedding.audit_vectors(classes, lists, groups, 0.98, 8)
+    assert whole == dense > 60 and found == 0 and others == 60
+
+
+def test_missing_links_are_said(spark, monkeypatch):
+    rows = given(3, 60, 16)
+    monkeypatch.setattr(embedding, "graph_groups", lambda classes, *_: classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0))
+    monkeypatch.setattr(embedding, "RESTARTS", 1)
+    with pytest.warns(UserWarning, match="links are missing"):
+        embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
