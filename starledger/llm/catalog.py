@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from starledger.llm import chat, decontamination, embedding, htmltext, langid, minhash, oracle, packing, sharding, tokenfile, urls
+from starledger.llm import chat, decontamination, embedding, htmltext, langid, minhash, oracle, orchard, packing, prefixtrie, sharding, tokenfile, toxicity, urls
 from starledger.llm.common import read_table
 
 #: Parameters of the registered queries.
@@ -13,6 +13,8 @@ SEQUENCE_TOKENS = 2048
 PACK_END_ID = 0
 FILE_END_ID = 2
 SHARDS = 24
+TOXIC_FROM = 0.7
+CLUSTERS, ROUNDS, DIMENSIONS = 8, 10, 64
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -59,6 +61,18 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), TOXIC_FROM)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.cluster_vectors(read_table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, DIMENSIONS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +86,9 @@ QUERIES = {
         op8_decontamination,
         op9_minhash_near_dedup,
         op10_embedding_near_dedup,
+        op11_prefix_trie,
+        op12_toxicity,
+        op13_centroid_clustering,
     )
 }
 #: Tokenizers, trained models, minimum cuts, k-d cuts and spaced seeds are held against brute force in tests/llm.
@@ -79,4 +96,6 @@ ORACLE_SQL = {
     "op2_chat_formatting": oracle.CHAT,
     "op9_minhash_near_dedup": oracle.NEAR_DEDUP,
     "op10_embedding_near_dedup": oracle.EMBEDDINGS,
+    "op11_prefix_trie": oracle.TRIE,
+    "op13_centroid_clustering": oracle.clusters(CLUSTERS, ROUNDS, DIMENSIONS),
 }
