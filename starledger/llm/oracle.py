@@ -77,8 +77,8 @@ FROM embeddings LEFT JOIN component c ON c.node = vec_id LEFT JOIN degree d ON d
 
 #: CRC-32 of a column of ASCII text, bit by bit (the polynomial is the standard's, reflected).
 _CRC32 = (
-    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), ch -> ascii(ch)::BIGINT)), (s, b) -> "
-    "list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], (x, z) -> CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)), lambda s, b: "
+    "list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
 )
 
 TRIE = f"""
@@ -135,7 +135,7 @@ def clusters(k: int = 8, rounds: int = 10, dimensions: int = 64) -> str:
     return f"""
 WITH kept AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, embedding AS v FROM embeddings
-  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
+  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
 ),
 x AS MATERIALIZED (SELECT r, i, floor(1024 * v[i]::DOUBLE)::BIGINT AS x FROM kept, range(1, {dimensions + 1}) t(i)),
 s AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR), r) - 1 AS c FROM kept WHERE vec_id IS NOT NULL),
