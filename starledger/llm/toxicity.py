@@ -36,6 +36,8 @@ BEGINNINGS, WORD_CHARS = range(3, 9), 24
 MOST_IN_ONE, LEAST_DOCS = 4, 5
 #: Weight of the prior, in occurrences; errors of the log-odds that are taken off; log-odds that count.
 PRIOR, ERRORS, LEAST_ODDS = 4.0, 2.0, 1.0
+#: The share of a class in a prior isn't below this, however many beginnings agree.
+LEAST_SHARE = 0.001
 #: Beginnings with odds that a model holds at most, by the strength of their evidence.
 MODEL_ROWS = 200_000
 #: The significance in nats is cut here; widths of its bins when the curve is fitted.
@@ -160,9 +162,9 @@ def _log_odds(counts: dict[str, tuple[float, float, int]], n1: float, n0: float)
         stem, word = b.rstrip(" "), b.endswith(" ")
         parent = next((stem[:n] for n in reversed(BEGINNINGS) if (n < len(stem) or word and n == len(stem)) and stem[:n] in share), "")
         a1, a0 = counts[b][0], counts[b][1] * n1 / n0  # as many words of either class
-        prior = share[parent]
+        prior = min(max(share[parent], LEAST_SHARE), 1 - LEAST_SHARE)
         share[b] = (a1 + PRIOR * prior) / (a1 + a0 + PRIOR)
-        s = math.log(share[b] / (1 - share[b]))
+        s = math.log((a1 + PRIOR * prior) / (a0 + PRIOR * (1 - prior)))
         # The rarer class carries the error: its own count, not the scaled one.
         error = math.sqrt(1 / (a1 + PRIOR * prior) + 1 / (counts[b][1] + PRIOR * (1 - prior)))
         clear = math.copysign(max(0.0, abs(s) - ERRORS * error), s)
