@@ -5,8 +5,8 @@ words replaced still shares seeds with its source. The seeds of the benchmark ar
 of every document; around each hit, the aligned words are compared one by one, and the best window
 that holds the seed counts.
 
-The benchmark's seeds are broadcast in blocks of a fixed size, so no document is shuffled and a
-large benchmark takes more passes, not more memory.
+The benchmark's seeds are broadcast in blocks of a fixed size, so no document is shuffled to find hits
+and a large benchmark takes more passes, not more memory. Only documents with hits are compared.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ SPAN = 1 + max(map(max, MASKS))
 #: Words in a window that holds a hit (a shorter item: all of its words), and the share that must be equal.
 WINDOW = 20
 PERCENT = 75
-#: Seeds of the benchmark in one broadcast.
-SEEDS = 500_000
+#: Words of the shortest items that are looked for: as many as a seed reads.
+LEAST = len(MASKS[0])
+#: Seeds of the benchmark in one broadcast (24 bytes each), and alignments in one.
+SEEDS, ALIGNMENTS = 1_000_000, 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -57,50 +59,82 @@ def _position(at: Column, words: Column) -> Column:
     return F.pmod(at, F.size(words) - (SPAN - 1))
 
 
+def _whole(words: Column, length: int, at: Column) -> Column:
+    """The hash of ``length`` words from ``at`` on."""
+    return F.xxhash64(F.lit(-length), *(F.xxhash64(F.get(words, at + i)) for i in range(length)))
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """(seed, item_id, q): the masks' seeds of items of a span's words and more; shorter ones as a whole."""
+    long = items.where(F.size("item") >= SPAN).select("item_id", "item", F.posexplode(seeds_of(F.col("item"))).alias("at", "seed"))
+    seeds = long.select("seed", "item_id", _position(F.col("at"), F.col("item")).alias("q"))
+    for n in range(LEAST, SPAN):
+        seeds = seeds.union(items.where(F.size("item") == n).select(_whole(F.col("item"), n, F.lit(0)), "item_id", F.lit(0)))
+    return seeds
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, matched, compared): for each document and benchmark item that overlap, the
     most equal words seen in a window that holds a hit, and the window's words.
 
     An overlap has at least ``percent`` equal words in any ``WINDOW`` aligned ones that hold a shared
-    seed. Items of fewer than SPAN words have no seed and match nothing, nor do null texts and rows
-    without an id; rows that repeat an id are one document (item).
+    seed; an item of LEAST to SPAN - 1 words must be there word for word. Shorter items match nothing,
+    nor do null texts and rows without an id; rows that repeat an id are one document (item). Texts
+    and items may be of any length. Empty tables have no overlaps; other columns are ignored.
+
+    The first pass over the documents finds where seeds meet: only (seed, item, place) is broadcast. The
+    second reads the words of the documents and items that met, and compares them.
     """
     items = exact_columns(benchmark, [("item_id", "long"), ("text", "string")]).where("item_id is not null")
-    items = items.select("item_id", words_of(F.col("text")).alias("item")).where(F.size("item") >= SPAN)
-    seeds = items.select("item_id", "item", F.posexplode_outer(seeds_of(F.col("item"))).alias("at", "seed"))
-    seeds = staged(seeds.select("item_id", _position(F.col("at"), F.col("item")).alias("q"), "seed", "item"), "seeds")
+    items = staged(items.select("item_id", words_of(F.col("text")).alias("item")).where(F.size("item") >= LEAST), "items")
+    seeds = staged(_item_seeds(items).distinct(), "seeds")
     blocks = max(1, math.ceil(seeds.count() / SEEDS))
+    short = [r["n"] for r in items.where(F.size("item") < SPAN).select(F.size("item").alias("n")).distinct().collect()]  # SPAN - LEAST rows at most
     texts = exact_columns(docs, [("doc_id", "long"), ("text", "string")]).where("doc_id is not null and text is not null")
     texts = texts.select("doc_id", words_of(F.col("text")).alias("words"))
-    texts = texts.withColumn("seeds", seeds_of(F.col("words")))
-    # The outer form: else a filter on the seeds' number is inferred and computes them twice. Seeds
-    # are exploded and joined in one generated loop, in which a document's words are passed by reference.
-    places = texts.select("doc_id", "words", F.posexplode_outer("seeds").alias("at", "seed"))
-    found = None
+    # The outer form: else a filter on the seeds' number is inferred and computes them twice.
+    places = texts.select("doc_id", F.size("words").alias("n"), F.posexplode_outer(seeds_of(F.col("words"))).alias("at", "seed"))
+    places = places.select("doc_id", "seed", F.pmod("at", F.col("n") - (SPAN - 1)).alias("p"))
+    for n in short:
+        starts = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
+        whole = _let(starts, lambda at: F.transform(at, lambda i: _whole(F.col("words"), n, i)))  # noqa: B023
+        places = places.unionAll(texts.select("doc_id", F.posexplode(whole).alias("p", "seed")).select("doc_id", "seed", "p"))
+    met = None
     for block in range(blocks):
         part = F.broadcast(seeds.where(F.pmod("seed", F.lit(blocks)) == block) if blocks > 1 else seeds)
-        hits = _compared(places.join(part, "seed"))
-        found = hits if found is None else found.union(hits)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "compared")).alias("m")).select("doc_id", "item_id", "m.*")
-    return best.where(F.col("matched") * 100 >= F.col("compared") * percent)  # after the aggregate: within the join it would break that loop
+        hits = places.join(part, "seed").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"), "q")
+        met = hits if met is None else met.union(hits)
+    met = staged(met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("q").alias("qs")), "met")
+    best = _compared(met, texts, items).groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "compared")).alias("m"))
+    return best.select("doc_id", "item_id", "m.*").where(F.col("matched") * 100 >= F.col("compared") * percent)
+
+
+def _compared(met: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, matched, compared) of each alignment: the equal words in the best window that
+    holds one of its seeds (``qs``, their places in the item)."""
+    docs = texts.join(bounded_broadcast(staged(met.select("doc_id").distinct(), "met-docs")), "doc_id", "left_semi")
+    both = docs.join(bounded_broadcast(met, ALIGNMENTS), "doc_id").join(items, "item_id")
+    room = WINDOW - SPAN
 
+    def matched(q: Column) -> Column:
+        # Bit i: the item's word at q - room + i is equal. Windows that begin before the item or end after
+        # it hold no more equal words than the one moved inside, which is among those tried.
+        same = lambda i: F.get("item", q - room + i) == F.get("words", q - room + i + F.col("shift"))
+        bits = F.aggregate(F.sequence(F.lit(0), F.lit(WINDOW + room - 1)), F.lit(0).cast("long"), lambda b, i: F.when(same(i), b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(b))
+        whole = F.lit((1 << WINDOW) - 1).cast("long")
+        return _let(bits, lambda b: F.greatest(*(F.bit_count(F.shiftright(b, k).bitwiseAND(whole)) for k in range(room + 1))))
 
-def _compared(hits: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched, compared) of each hit: the equal words in the best window that holds its seed."""
-    room = WINDOW - SPAN
-    first, shift = F.col("q") - room, _position(F.col("at"), F.col("words")) - F.col("q")
-    hits = hits.select("doc_id", "item_id", "words", "item", first.alias("first"), shift.alias("shift"), F.least(F.lit(WINDOW), F.size("item")).alias("compared"))
-    # Bit i: the item's word at first + i is equal. Windows that begin before the item or end after it
-    # hold no more equal words than the one moved inside, which is among those tried.
-    same = lambda i: F.get("item", F.col("first") + i) == F.get("words", F.col("first") + F.col("shift") + i)
-    equal = F.aggregate(F.sequence(F.lit(0), F.lit(WINDOW + room - 1)), F.lit(0).cast("long"), lambda bits, i: F.when(same(i), bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(bits))
-    whole = F.lit((1 << WINDOW) - 1).cast("long")
-    matched = _let(equal, lambda bits: F.greatest(*(F.bit_count(F.shiftright(bits, k).bitwiseAND(whole)) for k in range(room + 1))))
-    return hits.select("doc_id", "item_id", matched.alias("matched"), "compared")
+    # A short item has one hit, which is checked as a whole: all its words are equal if its hash is right.
+    return both.select("doc_id", "item_id", F.array_max(F.transform("qs", matched)).alias("matched"), F.least(F.lit(WINDOW), F.size("item")).alias("compared")).where((F.col("compared") >= SPAN) | (F.col("matched") == F.col("compared")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, contaminated, item_ids (of the items it overlaps), kept."""
+    """A row for each row of ``docs``: doc_id, contaminated, item_ids (of the items it overlaps), kept.
+
+    A document without an id or a text is kept; rows that repeat an id are judged alike, by all of them.
+    What overlaps is said in ``leaks``; an empty benchmark keeps all, no documents give no rows, and
+    other columns, whatever their names, are ignored.
+    """
     found = staged(leaks(docs, benchmark, percent).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")), "leaks")
     rows = exact_columns(docs, [("doc_id", "long")]).join(found, "doc_id", "left")
     hit = F.col("item_ids").isNotNull()

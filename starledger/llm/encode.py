@@ -26,6 +26,8 @@ JOINED_WORDS = 100
 
 #: White space other than blanks and line feeds (never printable).
 _ODD_SPACE = re.compile(r"[^\S \n]")
+#: The signs that a string begins with, letters apart: no normaliser makes them from letters.
+_SIGNS = re.compile(r"[^\w\s]*")
 
 
 class TextEncoder:
@@ -41,7 +43,10 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Strings of added tokens ("<|endoftext|>") can span words and stand in for what the normaliser
+        # changes: texts that hold the signs one begins with are encoded in one piece.
+        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._added = {_SIGNS.match(t)[0] or t[:1].lower() for t in added if t}
         self._keeps_space = keeps_space
         self._memo: dict[str, bytes] = {}
         # A mark between words is a token of its own: a null character between blanks where spaces
@@ -64,7 +69,7 @@ class TextEncoder:
                 ended.append(w)
             else:
                 words.append(w)
-        words += {w[:-1] for w in ended} - memo.keys() - new
+        words += [w for w in {w[:-1] for w in ended} if w not in memo and w not in new]  # a difference with memo.keys() walks the whole memo
         for i in range(0, len(words), JOINED_WORDS):
             part = words[i : i + JOINED_WORDS]
             if self._keeps_space:
@@ -83,6 +88,8 @@ class TextEncoder:
 
     def _words(self, text: str) -> list[str] | None:
         """The text's words as they are in the memo; None if it is to be encoded in one piece."""
+        if any(s in text or s.isalpha() and s in text.lower() for s in self._added):
+            return None
         if not self._keeps_space:
             return None if "\0" in text else text.replace("\n", " ").split(" ")
         flat = text.replace("\n", " ")

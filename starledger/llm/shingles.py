@@ -30,6 +30,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
+def _keys(n: int) -> np.ndarray:
+    """An odd key for each place. They follow no rule that a sum over places could cancel, as powers of a
+    base (Thue-Morse words) or multiples (a b b a and b a a b) do."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+
+
 def _column(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string column; nulls are empty."""
     texts = texts.fill_null("").cast(pa.large_binary())
@@ -52,8 +58,7 @@ def _words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.searchsorted(where, np.flatnonzero(begins))  # of each word, among the solid bytes
     length = np.diff(np.append(first, len(where)))
     place = np.arange(len(where)) - np.repeat(first, length)
-    powers = np.cumprod(np.full(int(length.max()), _BASE | np.uint64(1)))
-    hashes = np.add.reduceat(_BYTE[_LOWER[raw[where]]] * powers[place], first)
+    hashes = np.add.reduceat(_BYTE[_LOWER[raw[where]]] * _keys(int(length.max()))[place], first)
     return mix(hashes), np.searchsorted(np.flatnonzero(begins), at)
 
 
@@ -72,7 +77,7 @@ def _runs(words: np.ndarray, begins: np.ndarray, width: int) -> list[np.ndarray]
     """Shingle hashes of each text, with repeats, in text order."""
     n = len(words)
     total = np.zeros(max(0, n - width + 1), np.uint64)
-    factors = _BASE * np.arange(3, 2 * width + 3, 2, dtype=np.uint64)
+    factors = _keys(width)
     for i in range(width):
         total += words[i : i + len(total)] * factors[i]
     total = mix(total)

@@ -23,6 +23,8 @@ def brute(docs, items):
         for item_id, item_text in items:
             q = words(item_text)
             if len(q) < d.SPAN:
+                if len(q) >= d.LEAST and any(w[i : i + len(q)] == q for i in range(len(w))):
+                    out.add((doc_id, item_id))
                 continue
             n = min(d.WINDOW, len(q))
             shifts = {}
@@ -116,3 +118,25 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2, 3, 4]
     assert d.decontaminate(docs.limit(0), items).count() == 0
     assert all(r["kept"] for r in d.decontaminate(docs, items.limit(0)).collect())
+
+
+def test_short_items_match_as_a_whole(spark):
+    """Items of five to eight words, which no mask spans; shorter ones would match by chance."""
+    items = [(n, " ".join(f"k{n}w{j}" for j in range(n))) for n in range(1, 11)]
+    texts = {n: f"before it {text} and after" for n, text in items}
+    docs = [*texts.items(), *((100 + n, text.replace("w2", "other")) for n, text in texts.items()), (200, items[7][1]), (201, " ".join(items[7][1].split()[:7]))]
+    frame = lambda rows, c: spark.createDataFrame(rows, f"{c} long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == brute(docs, items)
+    assert {(n, n) for n in range(5, 11)} | {(200, 8)} <= got and not any(n < 5 for _, n in got)
+
+
+def test_long_items_are_not_broadcast(spark):
+    """What is broadcast of an item is a few numbers a seed; a long item's words are read for hits alone."""
+    long = [f"l{i}" for i in range(2002)]
+    items = spark.createDataFrame([(1, " ".join(long))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 50 + long[700:730] + ["y"] * 50)), (2, "nothing of it")], "doc_id long, text string")
+    found = d.leaks(docs, items)
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 20, 20)]
+    kinds = dict(d._item_seeds(items.select("item_id", d.words_of("text").alias("item"))).dtypes)
+    assert set(kinds) == {"seed", "item_id", "q"} and all(k in ("bigint", "int") for k in kinds.values())

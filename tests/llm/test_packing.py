@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from starledger.llm import packing
 from starledger.llm.encode import TextEncoder
@@ -80,11 +81,26 @@ def test_plan_is_near_the_lower_bound_and_small():
 def test_encoder_equals_the_library(path, keeps_space):
     enc = TextEncoder(path, keeps_space)
     texts = ["", " ", "\n", "a", "Hello, world!  Two  blanks", "tab\there", "nul\0 x", "line\n\nline", "é ́x Éa", "Σας ΟΔΟΣ", "don't 'S", "<|endoftext|> a", "\x85 \xa0b", "x" * 5000, "trailing "]
-    plain = [np.array(enc._tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b <|ENDOFTEXT|>", "<|startoftext|>\n<|endoftext|><|endoftext|> ", "< |endoftext|>", "x <| y |> z", "<", "a\u212a <|end"]
+    library = Tokenizer.from_file(path)
+    plain = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert enc.encode(texts) == plain
     assert enc.encode(texts) == plain  # from the memo
 
 
+@pytest.mark.parametrize(("path", "keeps_space"), [(WORDS, False), (BYTES, True)])
+def test_encoder_equals_the_library_on_any_text(path, keeps_space):
+    enc, library = TextEncoder(path, keeps_space), Tokenizer.from_file(path)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "  ", "\n", "\t", "'s", "word", "Word", "\u0130", "\u1e9e", "e\u0301", "12", "!?", ".", "\0", "\u3000", "\u200d"]
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.one_of(st.sampled_from(parts), st.text(max_size=4)), max_size=12).map("".join))
+    def same(text):
+        assert enc.encode([text]) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+    same()
+
+
 def test_pack_documents(spark):
     texts = ["", None, "word " * 5000, "a b c", "a b c", "word " * 2047] + [f"text number {i} " * (i % 90) for i in range(300)]
     rows = [(i if i != 3 else None, t, "x", i) for i, t in enumerate(texts)] + [(4, "a b c", "x", 0)]
