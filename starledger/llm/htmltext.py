@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from starledger.llm.common import exact_columns, short_batches
 
 #: A comment, CDATA, a declaration, or the start of a tag (its end is found by ``_Tags``).
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)", re.S)
+_MARKUP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)", re.S)
 _SPECIAL = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_PART = re.compile(r"[a-z]+|[0-9]+")
@@ -41,6 +41,12 @@ ENDS_P = {
 
 #: Weights of the classifier: evidence for content (positive) or boilerplate (negative).
 HARD, BIAS, ARTICLE, PARAGRAPH, HEADING, LONG, SENTENCE, SHORT, LINKS = -9.0, 0.2, 3.0, 1.0, 0.5, 1.5, 0.5, -0.5, -2.5
+#: What an element that is partly named so leaves of ARTICLE inside an article: a section on share prices
+#: is text, share buttons aren't, and their own evidence tells.
+PARTLY_ARTICLE = 1.5
+#: Added to the evidence where the cut finds no content, and what is boilerplate by its tag then has no
+#: say: text that is alone on its page is its text.
+ALONE = 2.0
 #: Smoothness: blocks next to each other, and more for those with the same parent or grandparent.
 NEXT, SIBLINGS, COUSINS = 0.3, 0.6, 0.3
 #: Cost of a boilerplate word in the name of an element around a block: where it is the whole name
@@ -54,6 +60,9 @@ BOILERPLATE_WORDS = {
     "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing",
     "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "complementary", "contentinfo",
 }
+#: Words that name readers' comments, in any name but one that only says whether there are some.
+COMMENT_WORDS = {"comment", "comments", "commenters", "discuss", "discussion", "discussions", "disqus", "feedback", "guestbook", "reactions", "replies", "reply", "respond", "responses"}
+STATE_WORDS = {"closed", "disabled", "enabled", "has", "no", "open", "with", "without"}
 ARTICLE_TAGS = {"article", "main"}
 ARTICLE_WORDS = {"article", "content", "entry", "main", "post", "story"}
 #: Boilerplate words that say nothing inside an article, as its header may hold the headline.
@@ -64,13 +73,15 @@ def _named(names: list[set[str]], ignored: set[str]) -> float:
     """The cost of an element's own names, each a set of words."""
     cost = 0.0
     for words in names:
-        if not (words - ignored).isdisjoint(BOILERPLATE_WORDS):
+        if not words.isdisjoint(COMMENT_WORDS) and words.isdisjoint(STATE_WORDS):
+            cost = NAMED
+        elif not (words - ignored).isdisjoint(BOILERPLATE_WORDS):
             cost = min(cost, NAMED if words <= BOILERPLATE_WORDS else PARTLY_NAMED)
     return cost
 
 
 class _Element:
-    __slots__ = ("name", "parent", "hard", "article", "named")
+    __slots__ = ("name", "parent", "hard", "article", "named", "partly")
 
     def __init__(self, name: str, attrs: str, parent: _Element | None):
         self.name, self.parent = name, parent
@@ -88,11 +99,13 @@ class _Element:
         if name in ARTICLE_TAGS:
             # What an article is in doesn't speak against it, unless it names itself so (a list of comments).
             odd = cost < 0 and not article
-            self.named, self.article = (above if odd else 0.0), not (odd and above == NAMED)
+            self.named, self.article, self.partly = (above if odd else 0.0), not (odd and (above == NAMED or cost == NAMED)), False
         else:
             self.named = 0.0 if name in ("html", "body") else min(above, cost)
-            # A name ends an article; within what is wholly named so, no class begins one.
-            self.article = (inside and self.named == above) or (article and not (cost or above == NAMED))
+            # A whole name ends an article, a part of one weakens it; within what is wholly named so, no class begins one.
+            begins = article and not (cost or above == NAMED)
+            self.article = (inside and self.named != NAMED) or begins
+            self.partly = self.article and not begins and (parent.partly or self.named != above)
 
 
 class _Tags:
@@ -218,7 +231,7 @@ def evidence(block: Block) -> float:
     score = BIAS + (LONG if n >= 80 else SHORT if n < 25 else 0.0)
     score += SENTENCE if block.text[-1] in ".!?…。！？\"”»" else 0.0
     score += PARAGRAPH if name in ("p", "pre", "blockquote") else HEADING if name in ("h1", "h2", "h3", "h4", "h5", "h6") else 0.0
-    score += block.element.named + (ARTICLE if block.element.article else 0.0)
+    score += block.element.named + (PARTLY_ARTICLE if block.element.partly else ARTICLE if block.element.article else 0.0)
     return score + (LINKS if 2 * block.links > n else 0.0)
 
 
@@ -322,7 +335,10 @@ def _flow(unary: list[float], nodes: list[int], beside: list[dict[int, float]])
 def main_text(page: str) -> str:
     """The page's content blocks in order, joined by one blank."""
     blocks = blocks_of(page)
-    content = minimum_cut([evidence(b) for b in blocks], smoothness(blocks))
+    own, edges = [evidence(b) for b in blocks], smoothness(blocks)
+    content = minimum_cut(own, edges)
+    if blocks and not any(content):
+        content = minimum_cut([x if x == HARD else x + ALONE for x in own], [e for e in edges if HARD not in (own[e[0]], own[e[1]])])
     return " ".join(b.text for b, keep in zip(blocks, content, strict=True) if keep)
 
 

@@ -4,7 +4,8 @@ The tree has as many leaves as there are shards. A node of k leaves is cut so th
 of its bytes fall to the left; recursion ends when each leaf holds its share, total / shards.
 
 Rows are ordered by (dimension, text hash, row number): copies of a text, equal in every dimension,
-stay together unless the cut itself falls among them, and then they are split there. A cut is found
+stay together. A cut that falls among them moves to the nearer end of their run, unless the run is
+more than ``WHOLE_RUN`` of a shard: then the shards' sizes come first and it is split. A cut is found
 without sorting: each pass counts bytes in ``BUCKETS`` equal steps of the interval that holds the
 cut, for all nodes of a level at once, until what remains in doubt is below ``TOLERANCE`` of a
 shard. What reaches the driver is nodes x buckets rows at most, whatever the corpus.
@@ -22,6 +23,8 @@ from starledger.llm.common import crc32_text, exact_columns, prefix_sums, staged
 BUCKETS = 1024
 #: Bytes that a cut may be off by, as a share of a shard's bytes.
 TOLERANCE = 0.001
+#: Copies of a text of at most this share of a shard's bytes are never split.
+WHOLE_RUN = 0.25
 #: Bytes of a document besides its text.
 ROW_BYTES = 8
 
@@ -57,7 +60,7 @@ class _Cut:
         return out
 
 
-def _narrow(cuts: list[_Cut], rows: DataFrame, tolerance: float) -> None:
+def _narrow(cuts: list[_Cut], rows: DataFrame, tolerance: float, run: float) -> None:
     """One pass over ``rows``: each open cut moves to the bucket that holds it."""
     at = [c for c in cuts if not c.done]
     node, bucket = F.lit(None).cast("int"), F.lit(None).cast("long")
@@ -83,7 +86,8 @@ def _narrow(cuts: list[_Cut], rows: DataFrame, tolerance: float) -> None:
             continue
         c.low, c.high = c.low + inside * width, min(c.high, c.low + (inside + 1) * width - 1)
         size, n = steps[inside]
-        if size <= tolerance or n == 1:  # the rest goes to the side that it fits better
+        copies = c.key[-1] == "tie" and c.low == c.high
+        if size <= tolerance or n == 1 or copies and size <= run:  # the rest goes to the side that it fits better
             if c.target - c.below > size / 2:
                 c.low = c.high + 1
             c.done = True
@@ -111,7 +115,7 @@ def kd_split(rows: DataFrame, dims: list[str], shards: int, total: int) -> DataF
                 widest = max(dims, key=lambda d: (r[f"high_{d}"] - r[f"low_{d}"]) / extent[d])  # ties: the first one named
                 cuts.append(_Cut(n, widest, r["bytes"] * (k // 2) / k, key=[widest], low=r[f"low_{widest}"], high=r[f"high_{widest}"]))
         while any(not c.done for c in cuts):
-            _narrow(cuts, level, TOLERANCE * total / shards)
+            _narrow(cuts, level, TOLERANCE * total / shards, WHOLE_RUN * total / shards)
         child = F.col("node")
         for c in cuts:
             child = F.when(F.col("node") == c.node, F.when(c.left(), 2 * c.node).otherwise(2 * c.node + 1)).otherwise(child)
@@ -135,7 +139,8 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """A row for each row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Dimensions: the text's bytes and its language (by its hash). Sizes are near equal in bytes
-    (law ``bytes``): all shards differ by the tolerance, or by the largest document if that is more.
+    (law ``bytes``): shards differ by the tolerance, by the largest document if that is more, or by the
+    copies that a cut would have split.
     Null text has no bytes, null lang counts as a language; repeated rows are placed each for
     itself; an empty table gives an empty result. Other columns are ignored.
     """

@@ -21,8 +21,17 @@ TREES, DEPTH = 10, 3
 #: Rows that a suffix's block rate is mixed with at the overall rate.
 PRIOR_ROWS = 10
 SUFFIXES = (1, 2, 3)
-#: Host words that mark the URLs labelled "block" where no labelled table is at hand (fixed values).
-BLOCK_WORDS = ("adult", "bet", "casino", "crack", "gambling", "malware", "phishing", "poker", "porn", "sex", "spam", "viagra", "warez", "xxx")
+#: Parts that hosts are dealt to; the statistics of a URL's suffixes are those of the other parts' hosts.
+HOST_FOLDS = 5
+#: Host words that mark the URLs labelled "block" where no labelled table is at hand (fixed values): gambling,
+#: adverts and tracking, pharmacy, adult, fraud and malware. A plural counts as its singular.
+BLOCK_WORDS = (
+    "bet", "betting", "bingo", "casino", "gambling", "jackpot", "lottery", "poker", "roulette", "slot",
+    "ad", "adserver", "advert", "banner", "doubleclick", "pixel", "popunder", "popup", "track", "tracker", "tracking",
+    "drug", "med", "pharma", "pharmacy", "pill", "steroid", "viagra",
+    "adult", "escort", "porn", "sex", "xxx",
+    "crack", "keygen", "malware", "phishing", "scam", "spam", "virus", "warez",
+)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,8 +60,9 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
 
 
 def seed_label(host: Column) -> Column:
-    """1 if a word of the host's labels is one of BLOCK_WORDS, else 0."""
-    return F.arrays_overlap(F.split(host, r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, BLOCK_WORDS))).cast("double")
+    """1 if a word of the host's labels, or its singular, is one of BLOCK_WORDS, else 0."""
+    words = F.split(host, r"[^\p{L}\p{N}]+")
+    return F.arrays_overlap(F.concat(words, F.transform(words, lambda w: F.regexp_replace(w, "s$", ""))), F.array(*map(F.lit, BLOCK_WORDS))).cast("double")
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -71,15 +81,17 @@ def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Colum
     whole = F.coalesce(url, F.lit(""))
     query = F.regexp_extract(whole, r"\?([^#]*)", 1)
     n = F.length(whole).cast("double")
+    # Of features that part the training rows alike a tree takes the first: counts come before measures,
+    # whose cut may lie close beside a value that was seen.
     return {
-        "length": n,
-        "host_length": F.length(host).cast("double"),
+        "parameters": _count(query, "[^&]+"),
+        "hyphens": _count(host, "-"),
         "depth": _count(path, "[^/]+"),
+        "labels": _count(host, "[^.]+"),
+        "host_length": F.length(host).cast("double"),
+        "length": n,
         "digit_ratio": F.when(n > 0, _count(whole, "[0-9]") / n).otherwise(0.0),
         "entropy": _entropy(whole),
-        "parameters": _count(query, "[^&]+"),
-        "labels": _count(host, "[^.]+"),
-        "hyphens": _count(host, "-"),
     }
 
 
@@ -88,25 +100,33 @@ def _suffix(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
-def suffix_statistics(labelled: DataFrame) -> list[DataFrame]:
-    """For each suffix length: suffix, block rate mixed with the overall rate, log of its rows."""
-    rate = labelled.agg(F.avg("label")).first()[0]
+def _fold(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(HOST_FOLDS)).cast("int")
+
+
+def suffix_statistics(labelled: DataFrame, overall: float) -> list[DataFrame]:
+    """For each suffix length: suffix, fold, and of the hosts of all other folds the block rate mixed with
+    the overall one, and the log of their rows. No URL's own label, nor its host's, is in what it is given."""
     out = []
     for k in SUFFIXES:
-        counts = labelled.groupBy(_suffix(F.col("host"), k).alias(f"suffix_{k}")).agg(F.sum("label").alias("s"), F.count("*").alias("n"))
-        mixed = (F.col("s") + F.lit(rate * PRIOR_ROWS)) / (F.col("n") + PRIOR_ROWS)
-        out.append(counts.select(f"suffix_{k}", mixed.alias(f"rate_{k}"), F.log1p(F.col("n").cast("double")).alias(f"rows_{k}")))
+        own = labelled.groupBy(_suffix(F.col("host"), k).alias(f"suffix_{k}"), _fold(F.col("host")).alias("own")).agg(F.sum("label").alias("s"), F.count("*").alias("n"))
+        # A row for each fold that the counts are seen from: all but their own.
+        seen = own.withColumn("fold", F.explode(F.array(*map(F.lit, range(HOST_FOLDS))))).where("fold <> own")
+        counts = seen.groupBy(f"suffix_{k}", "fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        mixed = (F.col("s") + F.lit(overall * PRIOR_ROWS)) / (F.col("n") + PRIOR_ROWS)
+        out.append(counts.select(f"suffix_{k}", "fold", mixed.alias(f"rate_{k}"), F.log1p(F.col("n").cast("double")).alias(f"rows_{k}")))
     return out
 
 
 def _featured(urls: DataFrame, statistics: list[DataFrame], overall: float) -> DataFrame:
-    """``urls`` (url, host, path) with the features' vector."""
+    """``urls`` (url, host, path) with the features' vector. Suffixes that no other fold's host has, in
+    training as later, have the overall rate and no rows."""
     features = lexical_features(F.col("url"), F.col("host"), F.col("path"))
-    urls = urls.withColumns(features | {f"suffix_{k}": _suffix(F.col("host"), k) for k in SUFFIXES})
+    urls = urls.withColumns(features | {f"suffix_{k}": _suffix(F.col("host"), k) for k in SUFFIXES} | {"fold": _fold(F.col("host"))})
     for k, table in zip(SUFFIXES, statistics, strict=True):
-        urls = urls.join(table, f"suffix_{k}", "left").fillna({f"rate_{k}": overall, f"rows_{k}": 0.0})
+        urls = urls.join(table, [f"suffix_{k}", "fold"], "left").fillna({f"rate_{k}": overall, f"rows_{k}": 0.0})
     columns = [*features, *(f"{x}_{k}" for x in ("rate", "rows") for k in SUFFIXES)]
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(urls).drop(*columns, *(f"suffix_{k}" for k in SUFFIXES))
+    return VectorAssembler(inputCols=columns, outputCol="features").transform(urls).drop("fold", *columns, *(f"suffix_{k}" for k in SUFFIXES))
 
 
 def block_probability(urls: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -119,8 +139,8 @@ def block_probability(urls: DataFrame, labelled: DataFrame, train_rows: int = TR
     if len(counts) < 2:
         return urls.withColumn("probability", F.lit(float(max(counts, default=0))))
     total = sum(counts.values())
-    statistics = [staged(t, "suffixes") for t in suffix_statistics(labelled)]
     overall = counts[1.0] / total
+    statistics = [staged(t, "suffixes") for t in suffix_statistics(labelled, overall)]
     chosen = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < min(1.0, train_rows / total) * (1 << 20))
     train = staged(_featured(chosen.select("url", "host", "path", "label"), statistics, overall).select("features", "label"), "train")
     if train.select("label").distinct().count() < 2:
@@ -130,24 +150,36 @@ def block_probability(urls: DataFrame, labelled: DataFrame, train_rows: int = TR
     return scored.withColumn("probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction")
 
 
+def held_out_figures(labelled: DataFrame) -> DataFrame:
+    """(host, label, urls, blocked): verdicts on ``labelled`` (url, label) by models that saw no URL of the
+    same host, a model for each fold of hosts."""
+    rows = staged(_parsed(exact_columns(labelled, [("url", "string"), ("label", "double")]).where("url is not null and label is not null")), "labelled")
+    out = None
+    for fold in range(HOST_FOLDS):
+        mine = _fold(F.col("host")) == fold
+        scored = block_probability(rows.where(mine), rows.where(~mine)).select("host", "label", "probability")
+        out = scored if out is None else out.unionAll(scored)
+    return out.groupBy("host", "label").agg(F.count("*").alias("urls"), F.count_if(F.col("probability") >= 0.5).alias("blocked"))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+
+
 def judge_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None) -> DataFrame:
     """A row for each row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, probability.
 
     The longest fitting rule decides; else the trees: block from a probability of one half.
     ``labelled`` (url, label 1 or 0) trains them; by default the pages' own URLs, labelled by the
-    words of their hosts. A URL that is null or lacks ``://`` has an empty host and path and is
+    words of their hosts (``seed_label``). A URL that is null or lacks ``://`` has an empty host and path and is
     judged by its features like any other. Repeated rows are judged alike; an empty table gives an
     empty result; other columns are ignored.
     """
-
-    def parsed(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-
-    urls = parsed(exact_columns(pages, [("page_id", "long"), ("url", "string")]))
+    urls = _parsed(exact_columns(pages, [("page_id", "long"), ("url", "string")]))
     if labelled is None:
         known = urls.where("url is not null").select("url", "host", "path", seed_label(F.col("host")).alias("label"))
     else:
-        known = parsed(exact_columns(labelled, [("url", "string"), ("label", "double")]).where("url is not null and label is not null"))
+        known = _parsed(exact_columns(labelled, [("url", "string"), ("label", "double")]).where("url is not null and label is not null"))
     scored = block_probability(urls, known)
     rule, by_rule = fitting_rule(F.col("host"), F.col("path"), rules)
     judged = F.coalesce(by_rule, F.when(F.col("probability") >= 0.5, "block").otherwise("allow"))

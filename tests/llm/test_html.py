@@ -135,3 +135,31 @@ def test_rows(spark):
     by = {r["page_id"]: r for r in out}
     assert by[2]["text"] == "" and by[None]["text"] == "" and by[3]["n_chars"] == 999_999 and by[1]["text"].startswith("The headline")
     assert htmltext.extract(pages.limit(0)).count() == 0
+
+
+def test_a_partly_matching_name_inside_an_article():
+    long = TEXT + " " + TEXT
+    for name in ("share-prices", "search-results-explained", "menu-of-the-day", "ad-hoc-report"):
+        page = f"<body><nav><a href=/>Home</a></nav><main><section id='{name}'><h2>Prices rose</h2><p>{long}</p></section></main></body>"
+        assert htmltext.main_text(page) == f"Prices rose {long}"
+    page = f"<article><p>{TEXT}</p><div class='share-buttons'><a href=x>Tweet</a> <a href=y>Mail</a></div><p>{TEXT}</p></article>"
+    assert htmltext.main_text(page) == f"{TEXT} {TEXT}"
+
+
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!-- a --!>", "<!---->", "<!-- a -- b -->", "<!--a--!><!--b-->"])
+def test_comments_end_as_in_browsers(comment):
+    assert htmltext.main_text(f"<article><p>{TEXT}</p>{comment}<p>{TEXT}</p><!-- x --></article>") == f"{TEXT} {TEXT}"
+
+
+@pytest.mark.parametrize("name", ["discussion", "comment-list", "reader-comments", "responses", "post-discussion", "reactions", "comments"])
+def test_readers_comments_inside_an_article(name):
+    inside = f"<section class='{name}'><h3>What readers say</h3><p>{TEXT}</p><div><p>I agree with what was said before. {TEXT}</p></div></section>"
+    assert htmltext.main_text(f"<body><article><h1>Headline</h1><p>{TEXT}</p>{inside}</article></body>") == f"Headline {TEXT}"
+    assert htmltext.main_text(f"<body><article class='post {name}-open'><h1>Headline</h1><p>{TEXT}</p></article></body>") == f"Headline {TEXT}"
+
+
+@pytest.mark.parametrize("text", ["Some text in a div only", "Ok", "Title of it"])
+def test_text_that_is_alone_on_its_page(text):
+    for page in (f"<div>{text}</div>", text, f"<html><body><div><div>{text}</div></div></body></html>", f"<nav><a href=/>Home</a></nav><div>{text}</div><footer>&copy; all rights</footer>"):
+        assert htmltext.main_text(page) == text
+    assert htmltext.main_text("<div><a href=/>Home</a> <a href=/x>About</a></div><div class=cookie-notice><p>We use cookies.</p></div>") == ""
