@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from contextlib import suppress
 
 import numpy as np
 
@@ -21,11 +20,15 @@ MEMO_WORDS = 800_000
 MEMO_CHARS = 64
 #: Characters of text handled at once inside a worker.
 SLICE_CHARS = 4_000_000
+#: Runs of marks kept per worker.
+MEMO_TAILS = 10_000
 #: New words given to the tokenizer at once.
 JOINED_WORDS = 100
 
 #: White space other than blanks and line feeds (never printable).
 _ODD_SPACE = re.compile(r"[^\S \n]")
+#: Marks that can follow a word (the apostrophe, which may begin a suffix, isn't one).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The signs that a string begins with, letters apart: no normaliser makes them from letters.
 _SIGNS = re.compile(r"[^\w\s]*")
 
@@ -53,23 +56,32 @@ class TextEncoder:
         # are dropped, else a tab before the word's own space.
         self._mark = "\t" if keeps_space else "\0"
         (self._mark_id,) = self._tokenizer.encode(self._mark, add_special_tokens=False).ids
-        self._tails = dict(zip(",.;:!?", self._encode(list(",.;:!?")), strict=True))
+        self._tails: dict[str, bytes] = {}
+        self._ignores_case = self._encode(["A"]) == self._encode(["a"])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
     def _learn(self, new: set[str]) -> None:
-        """Put the ids of words into the memo. A mark after a letter is a token by itself, so a word
-        that ends in one has the ids of the word without it, and the mark's. (The dotted capital I
-        alone ends in a non-letter when it is lower-cased.)"""
-        memo, tails, ended, words = self._memo, self._tails, [], []
+        """Put the ids of words into the memo. Marks after a letter are split from it before ids are looked
+        up, so a word that ends in some has the ids of the word without them, and theirs. (The dotted
+        capital I alone ends in a non-letter when it is lower-cased.) Where the vocabulary ignores case,
+        a word has the ids of its small letters."""
+        memo, tails, made, words = self._memo, self._tails, [], {}
         for w in new:
-            if w[-1] in tails and w[-2:-1].isalpha() and w[-2] != "\u0130" and len(w) <= MEMO_CHARS:
-                ended.append(w)
-            else:
-                words.append(w)
-        words += [w for w in {w[:-1] for w in ended} if w not in memo and w not in new]  # a difference with memo.keys() walks the whole memo
+            base, tail = w, ""
+            if len(w) <= MEMO_CHARS:
+                core = w.rstrip(_MARKS)
+                if core and len(core) < len(w) and core[-1].isalpha() and core[-1] != "\u0130":
+                    base, tail = core, w[len(core) :]
+                if self._ignores_case and max(base) < "\u0100":
+                    base = base.lower()
+            if base != w:
+                made.append((w, base, tail))
+            if base not in memo:
+                words[base] = None
+        words = list(words)
         for i in range(0, len(words), JOINED_WORDS):
             part = words[i : i + JOINED_WORDS]
             if self._keeps_space:
@@ -80,8 +92,12 @@ class TextEncoder:
             ends = (4 * np.flatnonzero(ids == self._mark_id)).tolist()
             raw = ids.tobytes()
             memo.update(zip(part, [raw[a + 4 : b] for a, b in zip([-4, *ends], ends, strict=False)], strict=True))
-        for w in ended:
-            memo[w] = memo[w[:-1]] + tails[w[-1]]
+        if len(tails) > MEMO_TAILS:
+            tails.clear()
+        unseen = list({t for _, _, t in made} - tails.keys())
+        tails.update(zip(unseen, self._encode(unseen), strict=True))
+        for w, base, tail in made:
+            memo[w] = memo[base] + tails[tail]
 
     def forget(self) -> None:
         self._memo.clear()
@@ -110,7 +126,7 @@ class TextEncoder:
         if not self._keeps_space:
             memo[""] = b""
         found = [list(map(memo.get, w)) if w else [] for w in cut]
-        gaps = [list(_places(f)) for f in found]
+        gaps = [[k for k, ids in enumerate(f) if ids is None] for f in found]
         new = {w[k] for w, g in zip(cut, gaps, strict=True) for k in g}
         self._learn(new)
         out = []
@@ -119,23 +135,14 @@ class TextEncoder:
                 f[k] = memo[w[k]]
             out.append(b"".join(f))
         alone = self._encode([*(texts[i] for i in whole), *first])
-        for i, ids in zip([*whole, *heads], alone, strict=True):
-            out[i] = ids + out[i]
+        for i, head in zip([*whole, *heads], alone, strict=True):
+            out[i] = head + out[i]
         for w in new:
             if len(w) > MEMO_CHARS:
                 del memo[w]
         return out
 
 
-def _places(found: list[bytes | None]):
-    """Where a list has None."""
-    at = -1
-    with suppress(ValueError):
-        while True:
-            at = found.index(None, at + 1)
-            yield at
-
-
 _ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 
