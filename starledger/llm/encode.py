@@ -14,8 +14,8 @@ import numpy as np
 
 from starledger.llm.common import remember_alone
 
-#: Words kept per worker (about 150 bytes each); a full memo is emptied.
-MEMO_WORDS = 800_000
+#: Words kept per worker, twice (about 150 bytes each): those seen last, and those seen before them.
+MEMO_WORDS = 350_000
 #: Longer "words" are encoded each time they occur.
 MEMO_CHARS = 64
 #: Characters of text handled at once inside a worker.
@@ -52,6 +52,7 @@ class TextEncoder:
         self._added = {_SIGNS.match(t)[0] or t[:1].lower() for t in added if t}
         self._keeps_space = keeps_space
         self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         # A mark between words is a token of its own: a null character between blanks where spaces
         # are dropped, else a tab before the word's own space.
         self._mark = "\t" if keeps_space else "\0"
@@ -68,8 +69,12 @@ class TextEncoder:
         up, so a word that ends in some has the ids of the word without them, and theirs. (The dotted
         capital I alone ends in a non-letter when it is lower-cased.) Where the vocabulary ignores case,
         a word has the ids of its small letters."""
-        memo, tails, made, words = self._memo, self._tails, [], {}
+        memo, older, tails, made, words = self._memo, self._older, self._tails, [], {}
         for w in new:
+            known = older.get(w)
+            if known is not None:
+                memo[w] = known
+                continue
             base, tail = w, ""
             if len(w) <= MEMO_CHARS:
                 core = w.rstrip(_MARKS)
@@ -80,7 +85,10 @@ class TextEncoder:
             if base != w:
                 made.append((w, base, tail))
             if base not in memo:
-                words[base] = None
+                if base in older:
+                    memo[base] = older[base]
+                else:
+                    words[base] = None
         words = list(words)
         for i in range(0, len(words), JOINED_WORDS):
             part = words[i : i + JOINED_WORDS]
@@ -100,7 +108,7 @@ class TextEncoder:
             memo[w] = memo[base] + tails[tail]
 
     def forget(self) -> None:
-        self._memo.clear()
+        self._memo, self._older = {}, {}
 
     def _words(self, text: str) -> list[str] | None:
         """The text's words as they are in the memo; None if it is to be encoded in one piece."""
@@ -122,7 +130,8 @@ class TextEncoder:
         first = [cut[i].pop(0) for i in heads]  # the first word has no blank before it
         memo = self._memo
         if len(memo) > MEMO_WORDS:
-            memo.clear()
+            self._older, self._memo = memo, {}
+            memo = self._memo
         if not self._keeps_space:
             memo[""] = b""
         found = [list(map(memo.get, w)) if w else [] for w in cut]

@@ -101,6 +101,19 @@ def test_encoder_equals_the_library_on_any_text(path, keeps_space):
     same()
 
 
+@pytest.mark.parametrize(("path", "keeps_space"), [(WORDS, False), (BYTES, True)])
+def test_small_memos_give_the_same(path, keeps_space, monkeypatch):
+    from starledger.llm import encode
+
+    texts = [" ".join(f"{w}{i % n}" for i in range(n, n + 40)) for n in range(3, 60) for w in ("Word", "word,", "DE!!", "x&&&", "caf\u00e9.")]
+    plain = TextEncoder(path, keeps_space).encode(texts)
+    monkeypatch.setattr(encode, "MEMO_WORDS", 20)
+    enc = TextEncoder(path, keeps_space)
+    assert [enc.encode([t])[0] for t in texts] == plain
+    library = Tokenizer.from_file(path)
+    assert plain == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_pack_documents(spark):
     texts = ["", None, "word " * 5000, "a b c", "a b c", "word " * 2047] + [f"text number {i} " * (i % 90) for i in range(300)]
     rows = [(i if i != 3 else None, t, "x", i) for i, t in enumerate(texts)] + [(4, "a b c", "x", 0)]
