@@ -90,29 +90,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
     seeds = staged(_item_seeds(items).distinct(), "seeds")
     blocks = max(1, math.ceil(seeds.count() / SEEDS))
     short = [r["n"] for r in items.where(F.size("item") < SPAN).select(F.size("item").alias("n")).distinct().collect()]  # SPAN - LEAST rows at most
-    texts = exact_columns(docs, [("doc_id", "long"), ("text", "string")]).where("doc_id is not null and text is not null")
-    texts = texts.select("doc_id", words_of(F.col("text")).alias("words"))
-    # The outer form: else a filter on the seeds' number is inferred and computes them twice.
-    places = texts.select("doc_id", F.size("words").alias("n"), F.posexplode_outer(seeds_of(F.col("words"))).alias("at", "seed"))
-    places = places.select("doc_id", "seed", F.pmod("at", F.col("n") - (SPAN - 1)).alias("p"))
+    raw = exact_columns(docs, [("doc_id", "long"), ("text", "string")]).where("doc_id is not null and text is not null")
+    texts = raw.select("doc_id", words_of(F.col("text")).alias("words"))
+    # The outer form: else a filter on the seeds' number is inferred and computes them twice. Seeds are
+    # exploded and joined in one generated loop, in which a document's words are passed by reference:
+    # their number is taken from them after the join, or they would be split twice.
+    places = texts.withColumn("seeds", seeds_of(F.col("words"))).select("doc_id", "words", F.posexplode_outer("seeds").alias("at", "seed"))
+    short_places = None
     for n in short:
         starts = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
         whole = _let(starts, lambda at: F.transform(at, lambda i: _whole(F.col("words"), n, i)))  # noqa: B023
-        places = places.unionAll(texts.select("doc_id", F.posexplode(whole).alias("p", "seed")).select("doc_id", "seed", "p"))
+        found = texts.select("doc_id", F.posexplode(whole).alias("p", "seed"))
+        short_places = found if short_places is None else short_places.unionAll(found)
     met = None
     for block in range(blocks):
         part = F.broadcast(seeds.where(F.pmod("seed", F.lit(blocks)) == block) if blocks > 1 else seeds)
-        hits = places.join(part, "seed").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"), "q")
+        hits = places.join(part, "seed").select("doc_id", "item_id", (_position(F.col("at"), F.col("words")) - F.col("q")).alias("shift"), "q")
         met = hits if met is None else met.union(hits)
+        if short_places is not None:
+            met = met.union(short_places.join(part, "seed").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"), "q"))
     met = staged(met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("q").alias("qs")), "met")
-    best = _compared(met, texts, items).groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "compared")).alias("m"))
+    best = _compared(met, raw, items).groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "compared")).alias("m"))
     return best.select("doc_id", "item_id", "m.*").where(F.col("matched") * 100 >= F.col("compared") * percent)
 
 
-def _compared(met: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
+def _compared(met: DataFrame, raw: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, compared) of each alignment: the equal words in the best window that
     holds one of its seeds (``qs``, their places in the item)."""
-    docs = texts.join(bounded_broadcast(staged(met.select("doc_id").distinct(), "met-docs")), "doc_id", "left_semi")
+    few = raw.join(bounded_broadcast(staged(met.select("doc_id").distinct(), "met-docs")), "doc_id", "left_semi")
+    docs = few.select("doc_id", words_of(F.col("text")).alias("words"))  # only these are split again
     both = docs.join(bounded_broadcast(met, ALIGNMENTS), "doc_id").join(items, "item_id")
     room = WINDOW - SPAN
 
