@@ -5,12 +5,14 @@ pairs ``(r1, r2)`` with ``r1.product < r2.product`` and different attribute
 values, grouped by ``(attr(r1), attr(r2))``. A self-join emits every pair of a
 basket, quadratic in its size.
 
-Here a basket is cut into ranges of ``width`` order keys. Pairs of different ranges need only counts:
-for each range, the rows of a value times the rows of another value in all lower ranges (a running
-sum over the counts per range). Pairs within a range are counted by a running count over the rows of two values,
-ordered by the key (RANGE frame ending one unit before the row, so equal keys never pair — the
-reference's strict ``<``). A window holds the rows of one range only, so neither a large basket nor
-two values that hold most of one gather in a task.
+Here the rows of a basket are first counted per (order key, value). Keys are then read digit by digit,
+in base ``width``: two keys differ first at some digit, and at that digit their pair is counted. For the last
+digit the rows are those counts; for each higher one, the counts of all keys that agree down to it are
+summed. At each digit a running sum over two values' rows, ordered by the digit (RANGE frame ending one
+unit before the row, so equal keys never pair: the reference's strict ``<``), gives the partners.
+
+A window holds the rows of two values that agree in all higher digits: at most ``2 * width``, however large
+the basket and however its keys are spaced.
 """
 
 from __future__ import annotations
@@ -20,9 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Order keys in one range of a basket.
-WIDTH = 1024
+#: Base of the digits, a power of two.
+WIDTH = 512
 
 
 def ordered_pair_counts(
@@ -34,13 +35,27 @@ def ordered_pair_counts(
     out_second: str,
     out_count: str = "frequency",
     width: int = WIDTH,
+    keys: tuple[int, int] | None = None,
 ) -> DataFrame:
-    base = rows.select(*group, F.col(order_key).alias("_at"), attr, F.floor(F.col(order_key) / width).alias("_range"))
-    ranges = base.groupBy(*group, F.col("_range").alias("_at"), attr).agg(F.count(F.lit(1)).alias("_rows"))
-    across = _earlier_partners(ranges, group, attr)
-    within = _earlier_partners(base.withColumn("_rows", F.lit(1)), [*group, "_range"], attr)
-    counts = across.union(within).groupBy(F.col("_first").alias(out_first), F.col("_second").alias(out_second)).agg(F.sum("_n").alias(out_count))
-    return counts.filter(F.col(out_count) > 0)
+    """``keys``: least and greatest order key, where they are known (else one aggregate finds them)."""
+    bits = width.bit_length() - 1
+    base = rows.select(*group, F.col(order_key).cast("long").alias("_at"), attr).where(F.col("_at").isNotNull())
+    if keys is None:
+        keys = tuple(base.agg(F.min("_at"), F.max("_at")).first())
+    low, high = (k or 0 for k in keys)
+    level = base.groupBy(*group, "_at", attr).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = None
+    while True:
+        last = high - low < width
+        digits = level.withColumn("_above", F.lit(0).cast("long") if last else F.shiftright("_at", bits))
+        found = _earlier_partners(digits, [*group, "_above"], attr)
+        counts = found if counts is None else counts.union(found)
+        if last:
+            break
+        low, high = low >> bits, high >> bits
+        level = digits.groupBy(*group, F.col("_above").alias("_at"), attr).agg(F.sum("_rows").alias("_rows"))
+    pairs = counts.groupBy(F.col("_first").alias(out_first), F.col("_second").alias(out_second)).agg(F.sum("_n").alias(out_count))
+    return pairs.filter(F.col(out_count) > 0)
 
 
 def _earlier_partners(rows: DataFrame, group: Sequence[str], attr: str) -> DataFrame:

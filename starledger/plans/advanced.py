@@ -84,7 +84,8 @@ def adv_at_risk_customers(m: SalesModel, market: str, as_of: _dt.date, n: int =
 
 def _basket_pairs(m: SalesModel, market: str, attr: str, first: str, second: str, n: int) -> DataFrame:
     rows = revenue_star(m, market, with_price=False).select("customer_code", "date", "product_code", attr)
-    pairs = ordered_pair_counts(rows, ["customer_code", "date"], "product_code", attr, first, second)
+    bounds = m.dim_product.agg(F.min("product_code"), F.max("product_code")).first()  # the dimension, not the fact
+    pairs = ordered_pair_counts(rows, ["customer_code", "date"], "product_code", attr, first, second, keys=tuple(bounds))
     return top_n(pairs, [F.col("frequency").desc(), first, second], n)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starledger.plans import advanced, finance, headline, market, quality, revenue, supply
 from starledger.sources.act_est import integrate_act_est
-from starledger.sources.dirty import dirty_dim_customer, dirty_dim_product, dirty_fact_sales
+from starledger.sources.dirty import dirty_dim_customer, dirty_dim_product, dirty_fact_sales, inconsistent_star, star_with_gaps
 from starledger.sources.logs import read_events
 from starledger.sources.star import SalesModel
 
@@ -58,6 +58,8 @@ REPORTS: dict[str, Report] = {
     "dq_dup_products": lambda s, b, m: quality.dq_dup_products(dirty_dim_product(m.dim_product)),
     "dq_null_sales": lambda s, b, m: quality.dq_null_sales(dirty_fact_sales(m.fact_sales_monthly)),
     "dq_dup_sales": lambda s, b, m: quality.dq_dup_sales(dirty_fact_sales(m.fact_sales_monthly)),
+    "dq_dependencies": lambda s, b, m: quality.dq_dependencies(inconsistent_star(m)),
+    "dq_orphans": lambda s, b, m: quality.dq_orphans(star_with_gaps(m)),
     # B. financial
     "fiscal_year_of_date": lambda s, b, m: finance.fiscal_year_of_date(_orders(s, b)),
     "customer_fy_transactions": lambda s, b, m: finance.customer_fy_transactions(m, P.customer_code, P.fiscal_year),

@@ -13,6 +13,7 @@ from starledger.constants import OTHER_MARKETS
 from starledger.functions.money import distinct_count, exact_round_ratio, scaled
 from starledger.operators.ranking import top_n, top_n_per_group
 from starledger.operators.shares import grand_total
+from starledger.plans.summary import by_group, distinct_days, market_months
 from starledger.plans.views import revenue_star
 from starledger.session import cut_lineage
 from starledger.sources.star import SalesModel
@@ -77,7 +78,10 @@ def fm_top_customers_revenue(m: SalesModel, market: str, n: int = 5) -> DataFram
 
 def fm_purchase_frequency(m: SalesModel, market: str, n: int = 15, exact_distinct: bool = True) -> DataFrame:
     star = revenue_star(m, market, with_product=False, with_price=False)
-    agg = star.groupBy("customer_code", "customer").agg(distinct_count("date", exact_distinct).alias("purchase_frequency"))
+    if exact_distinct:
+        agg = distinct_days("date", star, ["customer_code", "customer"], "purchase_frequency")
+    else:
+        agg = star.groupBy("customer_code", "customer").agg(distinct_count("date", False).alias("purchase_frequency"))
     return top_n(agg, [F.col("purchase_frequency").desc(), "customer_code"], n)
 
 
@@ -105,22 +109,18 @@ def fm_category_sales_pct(m: SalesModel, market: str, n: int = 15) -> DataFrame:
     return top_n(out, [F.col("_rev").desc(), "category", "division"], n).drop("_rev")
 
 
-def _performance(star: DataFrame, keys: list[str], exact_distinct: bool = True) -> DataFrame:
-    agg = star.groupBy(*keys).agg(
-        distinct_count("customer_code", exact_distinct).alias("customer_count"),
-        F.sum("sold_quantity").alias("total_quantity_sold"),
-        _rev_total(),
-        F.count("rev").alias("_n"),
-    )
+def _performance(months: DataFrame, keys: list[str], exact_distinct: bool = True) -> DataFrame:
+    agg = by_group(months, keys, keys, exact_distinct)
     return agg.select(
-        *keys, "customer_count", "total_quantity_sold",
+        *keys, "customer_count", F.col("_quantity").alias("total_quantity_sold"),
         F.col("_rev").cast("double").alias("total_revenue"),
         _avg_rounded("_rev", F.col("_n")).alias("avg_order_value"),
     )
 
 
 def fm_subzone_performance(m: SalesModel, market: str, exact_distinct: bool = True) -> DataFrame:
-    return _performance(revenue_star(m, market), ["sub_zone"], exact_distinct).orderBy(F.col("total_revenue").desc(), "sub_zone")
+    months = market_months(m).where(F.col("market") == market)
+    return _performance(months, ["sub_zone"], exact_distinct).orderBy(F.col("total_revenue").desc(), "sub_zone")
 
 
 def fm_category_by_subzone(m: SalesModel, market: str) -> DataFrame:
@@ -139,9 +139,9 @@ def _market_group(market: str) -> Column:
     return F.when(F.col("market") == market, F.lit(market)).otherwise(F.lit(OTHER_MARKETS)).alias("market_group")
 
 
-def _per_customer(star: DataFrame, keys: list[Column | str], exact_distinct: bool = True) -> DataFrame:
-    agg = star.groupBy(*keys).agg(_rev_total(), distinct_count("customer_code", exact_distinct).alias("customer_count"))
+def _per_customer(months: DataFrame, keys: list[Column | str], exact_distinct: bool = True) -> DataFrame:
     names = [k if isinstance(k, str) else "market_group" for k in keys]
+    agg = by_group(months, keys, names, exact_distinct)
     return agg.select(
         *names,
         F.col("_rev").cast("double").alias("total_revenue"),
@@ -151,7 +151,7 @@ def _per_customer(star: DataFrame, keys: list[Column | str], exact_distinct: boo
 
 
 def cmp_market_vs_rest(m: SalesModel, market: str, exact_distinct: bool = True) -> DataFrame:
-    return _per_customer(revenue_star(m), [_market_group(market)], exact_distinct).orderBy(F.col("total_revenue").desc(), "market_group")
+    return _per_customer(market_months(m), [_market_group(market)], exact_distinct).orderBy(F.col("total_revenue").desc(), "market_group")
 
 
 def cmp_category_preferences(m: SalesModel, market: str) -> DataFrame:
@@ -164,7 +164,7 @@ def cmp_category_preferences(m: SalesModel, market: str) -> DataFrame:
 
 
 def cmp_regions(m: SalesModel, exact_distinct: bool = True) -> DataFrame:
-    return _performance(revenue_star(m), ["region"], exact_distinct).orderBy(F.col("total_revenue").desc(), "region")
+    return _performance(market_months(m), ["region"], exact_distinct).orderBy(F.col("total_revenue").desc(), "region")
 
 
 def cmp_top_markets_by_region(m: SalesModel, n: int = 3) -> DataFrame:
@@ -176,8 +176,8 @@ def cmp_top_markets_by_region(m: SalesModel, n: int = 3) -> DataFrame:
 
 
 def cmp_channel_effectiveness(m: SalesModel, exact_distinct: bool = True) -> DataFrame:
-    return _per_customer(revenue_star(m), ["market", "channel"], exact_distinct).orderBy("market", F.col("total_revenue").desc(), "channel")
+    return _per_customer(market_months(m), ["market", "channel"], exact_distinct).orderBy("market", F.col("total_revenue").desc(), "channel")
 
 
 def cmp_platform_effectiveness(m: SalesModel, exact_distinct: bool = True) -> DataFrame:
-    return _per_customer(revenue_star(m), ["market", "platform"], exact_distinct).orderBy("market", F.col("total_revenue").desc(), "platform")
+    return _per_customer(market_months(m), ["market", "platform"], exact_distinct).orderBy("market", F.col("total_revenue").desc(), "platform")

@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from starledger.functions.dates import in_fiscal_year
 from starledger.functions.money import gross_line_total, revenue
 from starledger.functions.text import same_text
-from starledger.sources.star import SalesModel
+from starledger.sources.star import MARKET_COLUMN, PAIR_KEYS, SalesModel
 
 
-def _sales(m: SalesModel, fiscal_year: int | None = None) -> DataFrame:
-    s = m.fact_sales_monthly.select("date", "fiscal_year", "product_code", "customer_code", "sold_quantity")
+def _sales(m: SalesModel, fiscal_year: int | None = None, layout: DataFrame | None = None) -> DataFrame:
+    s = (m.fact_sales_monthly if layout is None else layout).select("date", "fiscal_year", "product_code", "customer_code", "sold_quantity")
     if fiscal_year is None:
         return s
     # The stored fiscal_year prunes partitions; the equivalent date range is inferred
@@ -66,24 +66,34 @@ def gross_sales(m: SalesModel, fiscal_year: int | None = None, *columns: str) ->
 def sales_preinv_discount(m: SalesModel, fiscal_year: int | None = None, *columns: str) -> DataFrame:
     """``columns``: further customer columns to carry. The small sides are joined with each other
     first (customers with discounts, products with prices), so the fact meets two tables, not four."""
-    return (
-        _sales(m, fiscal_year)
-        .join(_products(m), ["product_code", "fiscal_year"])
-        .join(_discounts(m, *columns), ["customer_code", "fiscal_year"])
-        .select(
-            "date", "fiscal_year", "customer_code", "market", "product_code", "product", "variant", "sold_quantity",
-            F.col("gross_price").alias("gross_price_per_item"),
-            gross_line_total("sold_quantity", "gross_price").alias("gross_price_total"),
-            "pre_invoice_discount_pct",
-            *columns,
-        )
+    return _with_discounts(_sales(m, fiscal_year), m, *columns).select(
+        "date", "fiscal_year", "customer_code", "market", "product_code", "product", "variant", "sold_quantity",
+        F.col("gross_price").alias("gross_price_per_item"),
+        "gross_price_total",
+        "pre_invoice_discount_pct",
+        *columns,
     )
 
 
+def _with_discounts(sales: DataFrame, m: SalesModel, *columns: str) -> DataFrame:
+    joined = sales.join(_products(m), ["product_code", "fiscal_year"]).join(_discounts(m, *columns), ["customer_code", "fiscal_year"])
+    return joined.withColumn("gross_price_total", gross_line_total("sold_quantity", "gross_price"))
+
+
+def _sales_with_deductions(m: SalesModel, fiscal_year: int | None) -> DataFrame:
+    """Sales and post-invoice deductions by their three keys. A stored star holds both bucketed and sorted
+    by them, so neither is exchanged."""
+    deductions = ["customer_code", "product_code", "date", "discounts_pct", "other_deductions_pct"]
+    if m.sales_by_key is None or m.post_by_key is None:
+        return _sales(m, fiscal_year).join(m.fact_post_invoice_deductions.select(deductions), list(PAIR_KEYS))
+    po = m.post_by_key if fiscal_year is None else m.post_by_key.filter(F.col("fiscal_year") == fiscal_year)
+    return _sales(m, fiscal_year, m.sales_by_key).join(po.select(deductions), list(PAIR_KEYS))
+
+
 def sales_postinv_discount(m: SalesModel, fiscal_year: int | None = None, *columns: str) -> DataFrame:
-    s = sales_preinv_discount(m, fiscal_year, *columns)
-    po = m.fact_post_invoice_deductions.select("customer_code", "product_code", "date", "discounts_pct", "other_deductions_pct")
-    return s.join(po, ["customer_code", "product_code", "date"]).select(
+    """The two facts meet first, then the small sides (see ``sales_preinv_discount``)."""
+    s = _with_discounts(_sales_with_deductions(m, fiscal_year), m, *columns)
+    return s.select(
         "date", "fiscal_year", "customer_code", "market", "product_code", "product", "variant",
         "sold_quantity", "gross_price_total", "pre_invoice_discount_pct",
         ((F.lit(1) - F.col("pre_invoice_discount_pct")) * F.col("gross_price_total")).alias("net_invoice_sales"),
@@ -107,6 +117,9 @@ def revenue_star(m: SalesModel, market: str | None = None, with_product: bool =
     """
     s = _sales(m)
     c = m.dim_customer
+    if market is not None and not ignore_case and m.sales_by_market is not None:
+        # The layout holds each row's market: files and row groups of other markets aren't read.
+        s = _sales(m, layout=m.sales_by_market.filter(F.col(MARKET_COLUMN) == market))
     if market is not None:
         c = c.filter(same_text("market", market, ignore_case))
     star = s.join(c, "customer_code")

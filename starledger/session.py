@@ -48,12 +48,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not base:
         if sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="starledger-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = tempfile.mkdtemp(prefix="starledger-ckpt-")  # kept by the context: Spark lets no session set it later
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever storage ``path`` names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable (eager) checkpoint to the shared checkpoint folder: the result survives
     executor loss and later readers do not recompute its lineage."""

@@ -16,7 +16,9 @@ Everything is lazy: building a model runs no Spark job.
 from __future__ import annotations
 
 import dataclasses
+import math
 import threading
+import zlib
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starledger.functions.dates import fiscal_year
-from starledger.session import shared_dir
+from starledger.session import path_exists, shared_dir
 from starledger.sources.act_est import integrate_act_est  # noqa: F401 - part of the model's interface
 from starledger.streaming.upsert import ActEstTable
 
@@ -39,6 +41,13 @@ STAR_TABLES = (
     "fact_forecast_monthly",
 )
 
+#: Key of the three-key join of sales and post-invoice deductions.
+PAIR_KEYS = ("customer_code", "product_code", "date")
+#: Bytes of one bucket of a table bucketed by that key (at about ROW_BYTES a row), and most buckets.
+BUCKET_BYTES, ROW_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 256 << 20, 24, 8, 16_384
+#: Column of the sales layout that holds the market of a row's customer.
+MARKET_COLUMN = "_market"
+
 # Facts partitioned on disk by fiscal year (the reports' most common filter).
 FY_PARTITIONED = ("fact_sales_monthly", "fact_gross_price", "fact_pre_invoice_deductions", "fact_forecast_monthly")
 
@@ -55,9 +64,18 @@ class SalesModel:
     fact_forecast_monthly: DataFrame
     # Materialised actual-vs-forecast table (None: derived on demand from the facts).
     fact_act_est: DataFrame | None = None
+    # Further layouts of the same rows, made with the star (None: not stored).
+    market_months: DataFrame | None = None  # plans/summary.py
+    sales_by_market: DataFrame | None = None  # sales with their customer's market, clustered by it
+    sales_by_key: DataFrame | None = None  # sales and post-invoice deductions, bucketed and sorted by their
+    post_by_key: DataFrame | None = None  # common key
 
     def replace(self, **tables: DataFrame) -> "SalesModel":
-        return dataclasses.replace(self, **tables)
+        """The model with other tables; layouts that were derived from the old ones are dropped."""
+        derived = dict.fromkeys(("market_months", "sales_by_market", "sales_by_key", "post_by_key"))
+        if not set(tables) & set(STAR_TABLES):
+            derived = {}
+        return dataclasses.replace(self, **(derived | tables))
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in STAR_TABLES}
@@ -79,49 +97,100 @@ def _read_table(spark: SparkSession, path: str, name: str, schemas: dict | None
     # Partition columns are typed explicitly (independent of partition type inference).
     if name in FY_PARTITIONED:
         df = df.withColumn("fiscal_year", F.col("fiscal_year").cast("int"))
-    elif name == "fact_post_invoice_deductions":
-        df = df.withColumn("date", F.col("date").cast("date"))
     return df
 
 
+def buckets_for(rows: int) -> int:
+    """Buckets of a table of so many rows: a power of two, so that tables of different size stay joinable."""
+    wanted = rows * ROW_BYTES / BUCKET_BYTES
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(wanted, 1))))))
+
+
+def _catalogue_name(path: str, name: str) -> str:
+    return f"starledger_{zlib.crc32(path.encode()):08x}_{name}"
+
+
+def _write_bucketed(df: DataFrame, path: str, name: str, buckets: int) -> None:
+    """``df`` as a catalogue table over ``path``, bucketed and sorted by PAIR_KEYS in each fiscal year: one
+    file for each bucket and year."""
+    dealt = df.repartition(buckets, *PAIR_KEYS)
+    writer = dealt.write.mode("overwrite").format("parquet").partitionBy("fiscal_year").bucketBy(buckets, *PAIR_KEYS).sortBy(*PAIR_KEYS)
+    writer.option("path", f"{path}/{name}").saveAsTable(_catalogue_name(path, name))
+
+
+def _read_bucketed(spark: SparkSession, path: str, name: str, buckets: int) -> DataFrame:
+    """The catalogue table over ``path``; another session than the one that wrote it declares it first."""
+    table = _catalogue_name(path, name)
+    if not spark.catalog.tableExists(table):
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/{name}").schema.fields)
+        keys = ", ".join(PAIR_KEYS)
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY (fiscal_year) CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}/{name}'")
+        spark.catalog.recoverPartitions(table)
+    return spark.table(table)
+
+
 def load_star(spark: SparkSession, path: str, with_act_est: bool = True, schemas: dict | None = None) -> SalesModel:
     """Read a stored star (one Parquet folder per table, as written by ``write_star``);
     ``schemas`` (as returned by ``write_star``) skips schema inference."""
     path = path.rstrip("/")
-    model = SalesModel(**{t: _read_table(spark, path, t, schemas) for t in STAR_TABLES})
-    if with_act_est:
-        table = ActEstTable(spark, f"{path}/fact_act_est")
-        if table.exists():  # else the reports derive it from the facts
-            model = model.replace(fact_act_est=table.read())
+    if not path_exists(spark, f"{path}/_layout"):  # plain tables, written by others
+        return _with_act_est(spark, path, SalesModel(**{t: _read_table(spark, path, t, schemas) for t in STAR_TABLES}), with_act_est)
+    layout = spark.read.schema("buckets int").parquet(f"{path}/_layout").first()
+    by_market = _read_table(spark, path, "fact_sales_monthly")
+    pair = {t: _read_bucketed(spark, path, t, layout["buckets"]) for t in ("sales_by_key", "fact_post_invoice_deductions")}
+    tables = {t: _read_table(spark, path, t, schemas) for t in STAR_TABLES if t not in ("fact_sales_monthly", "fact_post_invoice_deductions")}
+    tables["fact_sales_monthly"] = by_market.select("date", "fiscal_year", "product_code", "customer_code", "sold_quantity")
+    tables["fact_post_invoice_deductions"] = pair["fact_post_invoice_deductions"].select("customer_code", "product_code", "date", "discounts_pct", "other_deductions_pct")
+    model = SalesModel(
+        **tables,
+        market_months=spark.read.parquet(f"{path}/market_months"),
+        sales_by_market=by_market,
+        sales_by_key=pair["sales_by_key"].select("date", F.col("fiscal_year").cast("int").alias("fiscal_year"), "product_code", "customer_code", "sold_quantity"),
+        post_by_key=pair["fact_post_invoice_deductions"].withColumn("fiscal_year", F.col("fiscal_year").cast("int")),
+    )
+    return _with_act_est(spark, path, model, with_act_est)
+
+
+def _with_act_est(spark: SparkSession, path: str, model: SalesModel, wanted: bool) -> SalesModel:
+    table = ActEstTable(spark, f"{path}/fact_act_est")
+    if wanted and table.exists():  # else the reports derive it from the facts
+        return model.replace(fact_act_est=table.read())
     return model
 
 
 def act_est_facts(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> list[DataFrame]:
     """The stored facts that ``fact_act_est`` is rebuilt from."""
-    return [_read_table(spark, path, t, {t: tables[t].schema}) for t in ("fact_sales_monthly", "fact_forecast_monthly")]
+    return [_read_table(spark, path, t) for t in ("fact_sales_monthly", "fact_forecast_monthly")]
 
 
 def write_star(model: SalesModel, path: str, parallel: int = 1) -> dict:
     """Write every table under ``path``; fiscal-year facts are partitioned by ``fiscal_year``
-    and clustered by customer inside each partition (row-group pruning on customer filters).
-    Returns the written schemas."""
+    and clustered by customer inside each partition (row-group pruning on customer filters), sales by
+    their customer's market first. Sales are also stored bucketed with the post-invoice deductions, so
+    that their join needs no exchange, and summed to market months. Returns the written schemas."""
+    from starledger.plans.summary import build_market_months
+
     path = path.rstrip("/")
     tables = model.tables()
+    buckets = buckets_for(model.fact_sales_monthly.count())
+    spark = model.fact_sales_monthly.sparkSession
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/_layout")
+    markets = model.dim_customer.select("customer_code", F.col("market").alias(MARKET_COLUMN)).dropDuplicates(["customer_code"])
+    sales = tables["fact_sales_monthly"].select("date", "fiscal_year", "product_code", "customer_code", "sold_quantity")
+    tables["fact_sales_monthly"] = sales.join(markets, "customer_code", "left").select(*sales.columns, MARKET_COLUMN)
+    tables["sales_by_key"] = sales
+    tables["fact_post_invoice_deductions"] = model.fact_post_invoice_deductions.withColumn("fiscal_year", fiscal_year("date"))
 
     def write_one(name: str, df: DataFrame) -> None:
         if name in FY_PARTITIONED:
             # Range-partition on (fiscal_year, clustering keys): a fiscal year is spread over many
             # tasks, each file covers a narrow customer range, so customer filters skip row groups.
             # The further keys split a customer that holds much of a year.
-            keys = [c for c in ("customer_code", "product_code", "date") if c in df.columns]
+            keys = [c for c in (MARKET_COLUMN, "customer_code", "product_code", "date") if c in df.columns]
             clustered = df.repartitionByRange("fiscal_year", *keys).sortWithinPartitions("fiscal_year", *keys)
             clustered.write.mode("overwrite").partitionBy("fiscal_year").parquet(f"{path}/{name}")
-        elif name == "fact_post_invoice_deductions":
-            # Same grain as sales, no fiscal_year column: partition by month so a
-            # date range (inferred through the join key) prunes directories.
-            keys = ["date", "customer_code", "product_code"]
-            clustered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-            clustered.write.mode("overwrite").partitionBy("date").parquet(f"{path}/{name}")
+        elif name in ("fact_post_invoice_deductions", "sales_by_key"):
+            _write_bucketed(df, path, name, buckets)
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -130,9 +199,9 @@ def write_star(model: SalesModel, path: str, parallel: int = 1) -> dict:
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         for future in [pool.submit(write_one, name, df) for name, df in tables.items()]:
             future.result()
-    spark = model.fact_sales_monthly.sparkSession
+    build_market_months(model).write.mode("overwrite").parquet(f"{path}/market_months")
     ActEstTable(spark, f"{path}/fact_act_est").rebuild(*act_est_facts(spark, path, tables))
-    return {name: df.schema for name, df in tables.items()}
+    return {name: df.schema for name, df in model.tables().items()}
 
 
 def materialize_star(spark: SparkSession, model: SalesModel, path: str | None = None) -> SalesModel:

@@ -1,8 +1,8 @@
 """The session-log table: typed appends, idempotent per batch, and a purge that deletes whole days.
 
-Rows lie under ``batch_id=B/log_date=D``. A batch replaces its own folder, so a batch that is run
-twice gives the same rows; a purge drops the folders of expired days. Rows without a day (a
-timestamp that can't be read) have no age and stay.
+Rows lie under ``log_date=D/batch_id=B``. A batch replaces its own folders, so a batch that is run
+twice gives the same rows; a purge lists the days alone and drops the folders of expired ones. Rows
+without a day (a timestamp that can't be read) have no age and stay.
 """
 
 from __future__ import annotations
@@ -16,13 +16,28 @@ from pyspark.sql import types as T
 
 from starledger.sources.logs import RAW_LOG_SCHEMA, SESSION_LOG_SCHEMA, coerce_session_logs
 
-STORED = T.StructType([*SESSION_LOG_SCHEMA.fields, T.StructField("batch_id", T.StringType()), T.StructField("log_date", T.DateType())])
+PARTITIONS = ["log_date", "batch_id"]
+STORED = T.StructType([*SESSION_LOG_SCHEMA.fields, T.StructField("log_date", T.DateType()), T.StructField("batch_id", T.StringType())])
+
+
+def create_log_table(spark: SparkSession, target: str, name: str = "session_logs") -> None:
+    """The log table under a name of its own, with its schema, for SQL; ``refresh_log_table`` shows it new days."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORED.fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({', '.join(PARTITIONS)}) LOCATION '{target}'")
+    refresh_log_table(spark, name)
+
+
+def refresh_log_table(spark: SparkSession, name: str = "session_logs") -> None:
+    """Let the catalogue see days that were appended or purged."""
+    spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+    spark.catalog.refreshTable(name)
 
 
 def append_logs(raw: DataFrame, target: str, batch_id: str | int) -> None:
     """Type ``raw`` (all strings) and store it as batch ``batch_id``, in place of an earlier run of it."""
-    logs = coerce_session_logs(raw).withColumn("log_date", F.to_date("ts"))
-    logs.write.mode("overwrite").partitionBy("log_date").parquet(f"{target}/batch_id={batch_id}")
+    logs = coerce_session_logs(raw).withColumns({"log_date": F.to_date("ts"), "batch_id": F.lit(str(batch_id))})
+    logs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(target)
 
 
 def read_logs(spark: SparkSession, target: str) -> DataFrame:
@@ -30,12 +45,12 @@ def read_logs(spark: SparkSession, target: str) -> DataFrame:
 
 
 def purge_logs(spark: SparkSession, target: str, as_of: _dt.date, days: int) -> int:
-    """Delete the days older than ``as_of`` - ``days``; the number of folders that went."""
+    """Delete the days older than ``as_of`` - ``days``; the number of days that went."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
     first = (as_of - _dt.timedelta(days=days)).isoformat()
     gone = 0
-    for found in fs.globStatus(path(f"{target}/batch_id=*/log_date=*")) or []:
+    for found in fs.globStatus(path(f"{target}/log_date=*")) or []:
         day = found.getPath().getName().removeprefix("log_date=")
         if day[:1].isdigit() and day < first:
             gone += bool(fs.delete(found.getPath(), True))

@@ -2,47 +2,34 @@
 
 A change row ``(date, product_code, customer_code, <quantity>, ingest_seq)`` means "insert the key,
 or set this quantity of the key". A null quantity counts as 0, like the gaps of the rebuild. The
-table keeps the ``ingest_seq`` of each quantity, so an older change that arrives late loses.
+table keeps the ``ingest_seq`` of each quantity, so an older change that arrives late loses, and a
+batch that is applied again changes nothing.
 
-Layout under the table's root:
-
-* ``data/version=V/fiscal_year=Y/date=D/bucket=B``: a version is written once and never changed.
-  The bucket hashes product and customer; their number is fixed when the table is created.
-* ``manifest/N.json``: which version of each partition is current, the number of buckets, and the
-  last batch applied of each stream. Readers use the newest manifest.
-
-A batch reads the partitions it touches (named in full: no other directory is listed), writes their
-new version and publishes a manifest. If it dies before that, nothing has changed; a batch that was
-already published is skipped. Two writers at once: the second to publish fails.
+The table is a Parquet folder partitioned by fiscal year and month, written by Spark alone: a batch
+reads the months it touches, writes them merged to a folder of its own, and then replaces those
+months by a dynamic partition overwrite. A batch that dies before the last step has changed nothing;
+one that dies within it is applied again by the stream, with the same result. One writer at a time.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starledger.functions.dates import fiscal_year
-from starledger.session import shared_dir
+from starledger.session import path_exists, shared_dir
 from starledger.sources.act_est import integrate_act_est
 
 KEYS = ["date", "product_code", "customer_code"]
 SEQS = {"sold_quantity": "sold_seq", "forecast_quantity": "forecast_seq"}
 ACT_EST_COLS = ["date", "fiscal_year", "product_code", "customer_code", "sold_quantity", "forecast_quantity"]
-PARTITION_COLS = ["fiscal_year", "date", "bucket"]
+PARTITION_COLS = ["fiscal_year", "date"]
 STORED = T.StructType(
     [T.StructField("product_code", T.LongType()), T.StructField("customer_code", T.LongType())]
     + [T.StructField(c, T.LongType()) for pair in SEQS.items() for c in pair]
-    + [T.StructField("version", T.StringType()), T.StructField("fiscal_year", T.IntegerType()), T.StructField("date", T.DateType()), T.StructField("bucket", T.IntegerType())]
+    + [T.StructField("fiscal_year", T.IntegerType()), T.StructField("date", T.DateType())]
 )
-#: Buckets of a new table in each month, unless its creator says otherwise (a large table wants a
-#: directory to hold some hundred MB); the table then keeps its number.
-BUCKETS = 2
-#: Partitions that one batch may touch (months x buckets); a feed that touches more is to be cut smaller.
-MAX_TOUCHED = 100_000
 
 
 def change_schema(column: str) -> T.StructType:
@@ -81,92 +68,46 @@ class ActEstTable:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def manifest(self) -> dict | None:
-        """The newest manifest; None if the table was never published."""
-        folder = self._path(f"{self.root}/manifest")
-        if not self._fs.exists(folder):
-            return None
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith(".")]
-        if not numbers:
-            return None
-        stream = self._fs.open(self._path(f"{self.root}/manifest/{max(numbers):08d}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
 
     def exists(self) -> bool:
-        return self.manifest() is not None
-
-    def _publish(self, manifest: dict) -> None:
-        final = self._path(f"{self.root}/manifest/{manifest['number']:08d}.json")
-        draft = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise RuntimeError(f"another writer published {final}")
-
-    def _stored(self, parts: dict[str, str]) -> DataFrame:
-        """The named partitions of their current versions."""
-        if not parts:
+        return path_exists(self.spark, self.root)
+
+    def _stored(self) -> DataFrame:
+        if not self.exists():
             return self.spark.createDataFrame([], STORED)
-        paths = [f"{self.root}/data/version={v}/{p}" for p, v in sorted(parts.items())]
-        return self.spark.read.schema(STORED).option("basePath", f"{self.root}/data").parquet(*paths)
+        return self.spark.read.schema(STORED).parquet(self.root)
 
     def read(self) -> DataFrame:
         """The table as of now; filters on fiscal_year and date prune directories."""
-        return self._stored((self.manifest() or {"parts": {}})["parts"]).select(*ACT_EST_COLS)
-
-    def _write(self, rows: DataFrame, buckets: int) -> str:
-        version = uuid.uuid4().hex
-        bucket = F.pmod(F.xxhash64("product_code", "customer_code"), F.lit(buckets)).cast("int")
-        cut = rows.withColumn("bucket", bucket).repartition(*PARTITION_COLS).sortWithinPartitions(*PARTITION_COLS, "customer_code")
-        cut.write.partitionBy(*PARTITION_COLS).parquet(f"{self.root}/data/version={version}")
-        return version
+        return self._stored().select(*ACT_EST_COLS)
 
-    def _name(self, row) -> str:
-        return "/".join(f"{c}={row[c]}" for c in PARTITION_COLS)
+    def _write(self, rows: DataFrame, path: str, mode: str) -> None:
+        """A month is cut by size: as many ranges of its rows as Spark's sampled bounds give it."""
+        cut = rows.repartitionByRange(*PARTITION_COLS, "customer_code", "product_code").sortWithinPartitions(*PARTITION_COLS, "customer_code", "product_code")
+        cut.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*PARTITION_COLS).parquet(path)
 
-    def rebuild(self, fact_sales: DataFrame, fact_forecast: DataFrame, buckets: int = BUCKETS) -> None:
-        """Replace the contents by the full outer join of the facts. A table keeps its bucket count."""
-        old = self.manifest() or {"number": 0, "buckets": buckets, "applied": {}}
+    def rebuild(self, fact_sales: DataFrame, fact_forecast: DataFrame) -> None:
+        """Replace the contents by the full outer join of the facts."""
         rows = integrate_act_est(fact_sales, fact_forecast)
-        rows = rows.withColumns({seq: F.lit(-1).cast("bigint") for seq in SEQS.values()})
-        version = self._write(rows, old["buckets"])
-        written = self.spark.read.schema(STORED).option("basePath", f"{self.root}/data").parquet(f"{self.root}/data/version={version}")
-        parts = {self._name(r): version for r in written.select(*PARTITION_COLS).distinct().collect()}  # months x buckets
-        self._publish(old | {"number": old["number"] + 1, "parts": parts})
-
-    def upsert(self, batch: DataFrame, column: str, stream: str, batch_id: int, buckets: int = BUCKETS) -> None:
-        """Apply one batch of changes; a batch of ``stream`` that was published before is skipped."""
-        old = self.manifest() or {"number": 0, "buckets": buckets, "applied": {}, "parts": {}}
-        if old["applied"].get(stream, -1) >= batch_id:
-            return
+        self._write(rows.withColumns({seq: F.lit(-1).cast("bigint") for seq in SEQS.values()}), self.root, "static")
+
+    def upsert(self, batch: DataFrame, column: str) -> None:
+        """Apply one batch of changes to the months it touches."""
         changes = latest_changes(batch, column)
-        bucket = F.pmod(F.xxhash64("product_code", "customer_code"), F.lit(old["buckets"])).cast("int")
-        touched = changes.select(fiscal_year("date").alias("fiscal_year"), "date", bucket.alias("bucket")).distinct().limit(MAX_TOUCHED + 1).collect()
-        if len(touched) > MAX_TOUCHED:
-            raise ValueError(f"a batch touches more than {MAX_TOUCHED} partitions: give fewer files to a batch")
-        names = [self._name(r) for r in touched]
-        parts = dict(old["parts"])
-        if names:
-            current = self._stored({n: parts[n] for n in names if n in parts})
-            version = self._write(merge_changes(current, changes, column), old["buckets"])
-            parts |= dict.fromkeys(names, version)
-        self._publish(old | {"number": old["number"] + 1, "parts": parts, "applied": old["applied"] | {stream: batch_id}})
-
-
-def run_upsert_stream(table: ActEstTable, source_dir: str, column: str, stream: str, checkpoint: str, files_per_batch: int = 64) -> None:
+        months = [r["date"] for r in batch.select("date").distinct().collect()]  # of one batch
+        if not months:
+            return
+        current = self._stored().where(F.col("date").isin(months) & F.col("fiscal_year").isin(sorted({(m.year + (m.month > 8)) for m in months})))
+        merged = shared_dir(self.spark, "act-est-batch")
+        merge_changes(current, changes, column).write.parquet(merged)
+        self._write(self.spark.read.parquet(merged), self.root, "dynamic")
+
+
+def run_upsert_stream(table: ActEstTable, source_dir: str, column: str, checkpoint: str, files_per_batch: int = 64) -> None:
     """Drain the change files under ``source_dir`` into ``table`` (availableNow trigger)."""
     changes = table.spark.readStream.schema(change_schema(column)).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
     query = (
-        changes.writeStream.foreachBatch(lambda df, batch_id: table.upsert(df, column, stream, batch_id))
+        changes.writeStream.foreachBatch(lambda df, batch_id: table.upsert(df, column))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -186,5 +127,5 @@ def replay(spark: SparkSession, feeds: list[tuple[DataFrame, str]], files_per_ba
     table = ActEstTable(spark, f"{root}/table")
     for k, (rows, column) in enumerate(feeds):
         stage_changes(rows, column, f"{root}/feed-{k}")
-        run_upsert_stream(table, f"{root}/feed-{k}", column, f"{column}-{k}", f"{root}/checkpoint-{k}", files_per_batch)
+        run_upsert_stream(table, f"{root}/feed-{k}", column, f"{root}/checkpoint-{k}", files_per_batch)
     return table.read()

@@ -101,19 +101,69 @@ def test_churn_and_at_risk_join_reduced_sales(spark, stored):
             assert "fact_sales_monthly" not in part.split("HashAggregate")[0] or "HashAggregate" in below
 
 
-def test_the_waterfall_joins_the_fact_three_times(spark, stored):
-    """Small sides are joined first: prices with products, discounts with customers; the fact meets
-    those two and the post-invoice deductions."""
-    _, plan = _physical(spark, lambda: revenue.top_n_customers_net_sales(stored, P.market, P.fiscal_year, 5))
+def _above(plan, table):
+    """The names of the plan nodes above the scan of ``table``, from below."""
     def depth(line):
         return len(line) - len(line.lstrip(" :+-"))
 
     lines = plan.split("\n")
-    fact = next(i for i, line in enumerate(lines) if "FileScan" in line and "fact_sales_monthly" in line)
-    above, exchanges, joins = depth(lines[fact]), 0, 0
-    for line in reversed(lines[:fact]):
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and table in line)
+    above, out = depth(lines[scan]), []
+    for line in reversed(lines[:scan]):
         if depth(line) < above:
             above = depth(line)
-            exchanges += "Exchange" in line
-            joins += "Join" in line
-    assert joins == 3 and exchanges <= 4  # one before each join, one for the aggregate
+            out.append(line.lstrip(" :+-*0123456789()"))
+    return out
+
+
+def test_the_waterfall_joins_the_facts_without_an_exchange(spark, stored):
+    """Sales and deductions are bucketed by the keys of their join: no exchange below it, nothing broadcast.
+    The fact then meets two small sides: prices with products, discounts with customers."""
+    for build in (lambda: revenue.top_n_customers_net_sales(stored, P.market, P.fiscal_year, 5), lambda: revenue.net_sales_report(stored)):
+        _, plan = _physical(spark, build)
+        for table in ("sales_by_key", "fact_post_invoice_deductions"):
+            above = _above(plan, table)
+            join = next(i for i, node in enumerate(above) if "Join" in node)
+            assert "SortMergeJoin [customer_code" in above[join] and not any("Exchange" in node for node in above[:join])
+        assert sum("Join" in node for node in _above(plan, "sales_by_key")) == 3
+    one_year = _physical(spark, lambda: revenue.top_n_markets_net_sales(stored, P.fiscal_year, 5))[1]
+    assert one_year.count("PartitionFilters: [isnotnull(fiscal_year") >= 2
+
+
+def test_another_session_reads_the_bucketed_tables(spark, stored, tiny_model, tmp_path):
+    """The catalogue of a session that didn't write the star learns the buckets from its layout."""
+    from starledger.sources import star
+
+    path = str(tmp_path / "star")
+    star.write_star(tiny_model, path)
+    for t in ("sales_by_key", "fact_post_invoice_deductions"):
+        spark.sql(f"DROP TABLE {star._catalogue_name(path, t)}")
+    again = star.load_star(spark, path)
+    _, plan = _physical(spark, lambda: revenue.net_sales_report(again))
+    assert not any("Exchange" in node for node in _above(plan, "sales_by_key")[:3])
+    assert revenue.net_sales_report(again).count() == revenue.net_sales_report(tiny_model).count()
+    assert star.buckets_for(0) == star.LEAST_BUCKETS and star.buckets_for(10**14) == star.MOST_BUCKETS and star.buckets_for(10**9) == 128
+
+
+def test_a_market_filter_prunes_row_groups(spark, tmp_path):
+    """Sales lie by market: a market's report reads a small share of the row groups of a year."""
+    import pyarrow.parquet as pq
+
+    from starledger.plans import market
+    from starledger.sources import star
+
+    spark.conf.set("parquet.block.size", "16384")
+    try:
+        stored = star.build_star(spark, "/root/testdata/sf0.01", str(tmp_path / "star"))
+    finally:
+        spark.conf.unset("parquet.block.size")
+    plan = market.fm_top_customers_revenue(stored, P.market)._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo({star.MARKET_COLUMN},{P.market})" in plan
+    groups = hit = 0
+    for f in (tmp_path / "star" / "fact_sales_monthly").rglob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        column = next(i for i in range(meta.num_columns) if meta.schema.column(i).name == star.MARKET_COLUMN)
+        for g in range(meta.num_row_groups):
+            s = meta.row_group(g).column(column).statistics
+            groups, hit = groups + 1, hit + (s.min <= P.market <= s.max)
+    assert groups >= 100 and hit <= 0.25 * groups

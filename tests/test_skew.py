@@ -82,3 +82,30 @@ def test_two_values_that_hold_most_of_one_basket_share_no_window(spark, monkeypa
                 want[other, v] = want.get((other, v), 0) + n
         seen[v] = seen.get(v, 0) + 1
     assert got == want
+
+
+def test_sparse_codes_share_no_window(spark, monkeypatch):
+    """One basket of codes that lie far apart: no window holds more than a digit's rows of two values."""
+    from starledger.operators import pairs
+
+    n, step = 6000, 4096 * 977
+    rows = spark.range(n).selectExpr("1 as c", f"id * {step} - 5000000000 as p", "CASE WHEN id % 50 = 0 THEN 'x' WHEN id % 2 = 0 THEN 'a' ELSE 'b' END as v")
+    sizes = []
+    real = pairs._earlier_partners
+
+    def watched(part, group, attr):
+        expanded = part.join(part.select(*group, attr).distinct().withColumnRenamed(attr, "_partner"), group).filter(f"{attr} <> _partner")
+        sizes.append(expanded.groupBy(*group, F.least(attr, "_partner"), F.greatest(attr, "_partner")).count().agg({"count": "max"}).first()[0] or 0)
+        return real(part, group, attr)
+
+    monkeypatch.setattr(pairs, "_earlier_partners", watched)
+    got = {(r.a, r.b): r.frequency for r in pairs.ordered_pair_counts(rows, ["c"], "p", "v", "a", "b").collect()}
+    assert max(sizes) <= 1024 and len(sizes) == 4
+    want, seen = {}, {}
+    for i in range(n):
+        v = "x" if i % 50 == 0 else "a" if i % 2 == 0 else "b"
+        for other, k in seen.items():
+            if other != v:
+                want[other, v] = want.get((other, v), 0) + k
+        seen[v] = seen.get(v, 0) + 1
+    assert got == want

@@ -43,58 +43,53 @@ def test_interleaved_small_batches_equal_rebuild(spark, tiny_model):
 def test_sequence_numbers_decide_between_changes(spark, tmp_path):
     table = ActEstTable(spark, str(tmp_path / "t"))
     jan = D(2021, 1, 1)
-    table.upsert(_changes(spark, [(jan, 1, 1, 5, 1), (jan, 1, 1, 7, 10), (jan, 1, 1, 6, 2), (jan, 2, 1, 4, 4)]), "sold_quantity", "s", 0, buckets=4)
-    table.upsert(_changes(spark, [(jan, 1, 1, 3, 2), (jan, 2, 1, None, 5)]), "sold_quantity", "s", 1)  # late; null counts as 0
-    table.upsert(_changes(spark, [(jan, 1, 1, 9, 0)], "forecast_quantity"), "forecast_quantity", "f", 0)
+    table.upsert(_changes(spark, [(jan, 1, 1, 5, 1), (jan, 1, 1, 7, 10), (jan, 1, 1, 6, 2), (jan, 2, 1, 4, 4)]), "sold_quantity")
+    table.upsert(_changes(spark, [(jan, 1, 1, 3, 2), (jan, 2, 1, None, 5)]), "sold_quantity")  # late; null counts as 0
+    table.upsert(_changes(spark, [(jan, 1, 1, 9, 0)], "forecast_quantity"), "forecast_quantity")
+    assert _rows(table.read()) == [(jan, 2021, 1, 1, 7, 9), (jan, 2021, 2, 1, 0, 0)]
+    table.upsert(_changes(spark, []), "sold_quantity")
     assert _rows(table.read()) == [(jan, 2021, 1, 1, 7, 9), (jan, 2021, 2, 1, 0, 0)]
 
 
-def test_bucket_number_is_the_tables(spark, tmp_path):
-    """A caller with another number of buckets can't make duplicates."""
-    table = ActEstTable(spark, str(tmp_path / "t"))
-    rows = [(D(2021, m, 1), p, c, 1, 0) for m in (1, 2) for p in range(5) for c in range(5)]
-    table.upsert(_changes(spark, rows), "sold_quantity", "s", 0, buckets=4)
-    again = ActEstTable(spark, str(tmp_path / "t"))
-    again.upsert(_changes(spark, [(*r[:3], 2, 1) for r in rows]), "sold_quantity", "s", 1, buckets=1)
-    out = _rows(again.read())
-    assert len(out) == 50 and {r[4] for r in out} == {2} and again.manifest()["buckets"] == 4
-
-
-def test_a_published_batch_is_skipped_and_a_crash_before_publishing_changes_nothing(spark, tmp_path, monkeypatch):
+def test_a_batch_that_runs_twice_changes_nothing_and_a_crash_before_the_overwrite_neither(spark, tmp_path, monkeypatch):
     table = ActEstTable(spark, str(tmp_path / "t"))
-    jan, feb = D(2021, 1, 1), D(2021, 2, 1)
-    first = _changes(spark, [(jan, 1, 1, 5, 1), (feb, 2, 1, 4, 2)])
-    table.upsert(first, "sold_quantity", "s", 0, buckets=4)
-    once, number = _rows(table.read()), table.manifest()["number"]
-    table.upsert(first, "sold_quantity", "s", 0)
-    assert _rows(table.read()) == once and table.manifest()["number"] == number
+    jan, sep = D(2021, 1, 1), D(2021, 9, 1)
+    first = _changes(spark, [(jan, 1, 1, 5, 1), (sep, 2, 1, 4, 2)])
+    table.upsert(first, "sold_quantity")
+    once = _rows(table.read())
+    assert once == [(jan, 2021, 1, 1, 5, 0), (sep, 2022, 2, 1, 4, 0)]
+    table.upsert(first, "sold_quantity")
+    assert _rows(table.read()) == once
     second = _changes(spark, [(jan, 1, 1, 8, 3)])
     with monkeypatch.context() as m, pytest.raises(RuntimeError):
-        m.setattr(ActEstTable, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
-        table.upsert(second, "sold_quantity", "s", 1)
+        m.setattr(ActEstTable, "_write", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        table.upsert(second, "sold_quantity")
     assert _rows(table.read()) == once
-    table.upsert(second, "sold_quantity", "s", 1)
-    assert (jan, 2021, 1, 1, 8, 0) in _rows(table.read())
+    table.upsert(second, "sold_quantity")
+    assert (jan, 2021, 1, 1, 8, 0) in _rows(table.read()) and len(_rows(table.read())) == 2
 
 
-def test_the_second_of_two_writers_fails(spark, tmp_path):
+def test_a_batch_of_one_month_rewrites_that_month_only(spark, tmp_path):
     table = ActEstTable(spark, str(tmp_path / "t"))
-    table.upsert(_changes(spark, [(D(2021, 1, 1), 1, 1, 5, 1)]), "sold_quantity", "s", 0)
-    old = table.manifest()
-    table._publish(old | {"number": old["number"] + 1})
-    with pytest.raises(RuntimeError):
-        table._publish(old | {"number": old["number"] + 1})
-
-
-def test_a_batch_of_one_month_reads_that_month_only(spark, tmp_path):
+    table.upsert(_changes(spark, [(D(2021, m, 1), p, 1, 1, 0) for m in range(1, 13) for p in range(20)]), "sold_quantity")
+    before = set(_files(tmp_path / "t"))
+    table.upsert(_changes(spark, [(D(2021, 3, 1), p, 1, 2, 1) for p in range(25)]), "sold_quantity")
+    after = set(_files(tmp_path / "t"))
+    assert {f.parent.name for f in before ^ after} == {"date=2021-03-01"}
+    assert table.read().count() == 11 * 20 + 25
+
+
+def test_a_month_is_cut_by_its_size(spark, tmp_path):
+    """A month with most rows is written by most tasks."""
+    hot = spark.range(20_000).selectExpr("date'2021-03-01' as date", "id as product_code", "id % 50 as customer_code", "1L as sold_quantity", "id as ingest_seq")
+    rest = spark.range(500).selectExpr("date'2021-04-01' as date", "id as product_code", "1L as customer_code", "1L as sold_quantity", "id as ingest_seq")
     table = ActEstTable(spark, str(tmp_path / "t"))
-    table.upsert(_changes(spark, [(D(2021, m, 1), p, 1, 1, 0) for m in range(1, 13) for p in range(20)]), "sold_quantity", "s", 0, buckets=4)
-    before = table.manifest()["parts"]
-    read = {n: v for n, v in before.items() if "date=2021-03-01" in n}
-    assert {f.split("date=")[1][:10] for f in table._stored(read).inputFiles()} == {"2021-03-01"}
-    table.upsert(_changes(spark, [(D(2021, 3, 1), p, 1, 2, 1) for p in range(20)]), "sold_quantity", "s", 1)
-    after = table.manifest()["parts"]
-    assert {n for n in after if after[n] != before[n]} == set(read)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table.upsert(hot.union(rest), "sold_quantity")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([f for f in _files(tmp_path / "t") if f.parent.name == "date=2021-03-01"]) >= 6
 
 
 def test_reports_see_an_upsert(spark, tiny_model, tmp_path):
@@ -109,7 +104,7 @@ def test_reports_see_an_upsert(spark, tiny_model, tmp_path):
 
     before = sold(model)
     change = _changes(spark, [(row.date, row.product_code, row.customer_code, row.sold_quantity + 1000, 1)])
-    ActEstTable(spark, f"{path}/fact_act_est").upsert(change, "sold_quantity", "s", 0)
+    ActEstTable(spark, f"{path}/fact_act_est").upsert(change, "sold_quantity")
     assert sold(load_star(spark, path)) == before + 1000
 
 
@@ -125,8 +120,15 @@ def test_log_table(spark, tmp_path):
         assert purge.read_logs(spark, target).count() == 7
     finally:
         spark.conf.unset("spark.sql.ansi.enabled")
-    assert purge.purge_logs(spark, target, dt.date(2022, 10, 22), 6) == 3
-    assert sorted(r.log for r in purge.read_logs(spark, target).collect()) == ["EVENT 16", "EVENT 22", "EVENT 22", "EVENT ?"]
+    purge.create_log_table(spark, target, "session_logs_test")
+    named = lambda: sorted(r.log for r in spark.sql("SELECT log FROM session_logs_test").collect())
+    assert len(named()) == 7
+    assert purge.purge_logs(spark, target, dt.date(2022, 10, 22), 6) == 2
+    left = ["EVENT 16", "EVENT 22", "EVENT 22", "EVENT ?"]
+    assert sorted(r.log for r in purge.read_logs(spark, target).collect()) == left
+    purge.refresh_log_table(spark, "session_logs_test")
+    assert named() == left
+    spark.sql("DROP TABLE session_logs_test")
 
 
 def test_log_stream_purges_as_of_each_batch(spark, tmp_path):
