@@ -12,7 +12,8 @@
    no list length limits what is counted.
 5. An audit compares some vectors of saturated groups and some others, more in a larger table, with
    all vectors. While too few of either kind have all their pairs in the graph, rounds go on from
-   new leaves; if the last ones miss too, a warning says so.
+   new leaves; if the last ones miss too, blocks of all vectors are compared, but for those that
+   bounds on their centres and radii keep apart: slower, and complete.
 
 Vectors travel as they are; cosines are computed in double precision.
 """
@@ -20,7 +21,6 @@ Vectors travel as they are; cosines are computed in double precision.
 from __future__ import annotations
 
 import math
-import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -326,42 +326,157 @@ def graph_groups(classes: DataFrame, lists: DataFrame, threshold: float, k: int)
     return components(bridges.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
-def _group_links(classes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """(rep, links, lowest): for each class in a group, the vectors of other classes linked with it,
-    and the smallest class among itself and them, by comparing the group's blocks with each other."""
-    members = staged(classes.join(groups, classes["rep"] == groups["node"]).select("component", "rep", "copies", "v"), "members")
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
-    # Dealt by block: a join by component alone would leave a large group in one task.
-    dealt = dealt.repartition("component", "block")
-    blocks = staged(dealt.groupBy("component", "block").agg(F.collect_list(F.struct("rep", "copies", "v")).alias("members")), "blocks")
-    left = blocks.select("component", F.col("block").alias("i"), F.col("members").alias("x"))
-    right = blocks.select("component", F.col("block").alias("j"), F.col("members").alias("y"))
-    pairs = left.join(right, "component").where("i <= j")
+def _codes(rows: DataFrame) -> DataFrame:
+    """``rows`` (with rep, v) and ``signs``: on which sides of BITS random planes a vector lies, a bit each."""
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    place = rows.columns.index("v")
 
     def run(batches):
+        for batch in batches:
+            v = batch.column(place)
+            offsets, flat = np.asarray(v.offsets), np.asarray(v.values, np.float64)
+            sizes, signs = np.diff(offsets), np.zeros(batch.num_rows, np.int64)
+            for d in np.unique(sizes):
+                at = np.flatnonzero(sizes == d)
+                x = _unit(np.concatenate([flat[offsets[r] : offsets[r + 1]] for r in at]), len(at))
+                planes = np.random.default_rng((97, int(d))).standard_normal((int(d), BITS))
+                signs[at] = (x @ planes > 0) @ (1 << np.arange(BITS, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs)], names=[*batch.schema.names, "signs"])
+
+    return rows.mapInArrow(run, f"{kinds}, signs long")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(component, block, members): ``members`` (component, rep, copies, v) in blocks of about BLOCK vectors.
+
+    Vectors that lie on the same sides of some planes are put together, so that blocks are small in
+    radius where the component is wide; those that no plane parts are dealt by hash.
+    """
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    bits = F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.col("n") / BLOCK)))).cast("int")
+    large = staged(sizes.where(F.col("n") > BLOCK).select("component", bits.alias("bits")), "large")
+    coded = _codes(members.join(bounded_broadcast(large), "component"))
+    coded = staged(coded.withColumn("cell", F.col("signs").bitwiseAND(F.expr("shiftleft(1L, bits) - 1"))).drop("signs", "bits"), "coded")
+    cells = coded.groupBy("component", "cell").agg(F.count("*").alias("in_cell"))
+    salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("in_cell") / BLOCK))
+    dealt = coded.join(cells, ["component", "cell"]).withColumn("block", F.xxhash64("cell", salt)).select("component", "block", "rep", "copies", "v")
+    small = members.join(bounded_broadcast(large), "component", "left_anti").select("component", F.lit(0).cast("long").alias("block"), "rep", "copies", "v")
+    # Dealt by block: by component alone, a large one would be in one task.
+    rows = dealt.unionByName(small).repartition("component", "block")
+    return staged(rows.groupBy("component", "block").agg(F.collect_list(F.struct("rep", "copies", "v")).alias("members")), "blocks")
+
+
+def _near_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(component, i, j): the pairs of a component's blocks that can hold a pair at the threshold, each
+    once, and each block with itself. Only centres and radii are compared, in tiles."""
+
+    def middles(batches):
+        for batch in batches:
+            centres, radii = [], []
+            for n in range(batch.num_rows):
+                column = batch.column(2)
+                a, b = column.offsets[n].as_py(), column.offsets[n + 1].as_py()
+                x = _unit(np.asarray(column.values.slice(a, b - a).field(2).flatten()), b - a)
+                mean = x.sum(axis=0)
+                length = np.sqrt(mean @ mean)
+                centre = mean / length if length > 1e-6 else x[0]
+                centres.append(centre)
+                radii.append(float(np.arccos(np.clip(x @ centre, -1, 1)).max()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64())], names=["component", "block", "centre", "radius"])
+
+    counts = blocks.groupBy("component").agg(F.count("*").alias("n"))
+    several = bounded_broadcast(staged(counts.where("n > 1").select("component", F.ceil(F.col("n") / TILE).alias("tiles")), "several"))
+    middle = blocks.join(several.drop("tiles"), "component").select("component", "block", "members").mapInArrow(middles, "component long, block long, centre array<double>, radius double")
+    placed = staged(middle, "middles").join(several, "component").withColumn("tile", F.pmod(F.xxhash64("component", "block"), "tiles"))
+    tile = staged(placed.groupBy("component", "tiles", "tile").agg(F.collect_list(F.struct("block", "centre", "radius")).alias("x")), "tiles")
+    left = tile.select("component", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("j"), "x")
+    right = tile.select("component", F.explode(F.sequence(F.lit(0).cast("long"), "tile")).alias("i"), F.col("tile").alias("j"), F.col("x").alias("y"))
+    reach = float(np.arccos(threshold)) + 1e-6
+
+    def near(batches):
         def side(column, n):
             a, b = column.offsets[n].as_py(), column.offsets[n + 1].as_py()
-            part = column.values.slice(a, b - a)
-            reps, copies, v = (part.field(i) for i in range(3))
-            return np.asarray(reps), np.asarray(copies), _unit(np.asarray(v.flatten()), b - a)
+            block, centre, radius = (column.values.slice(a, b - a).field(i) for i in range(3))
+            return np.asarray(block), np.asarray(centre.flatten()).reshape(b - a, -1), np.asarray(radius)
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                (bx, x, rx), (by, y, ry) = side(batch.column(1), n), side(batch.column(2), n)
+                close = np.arccos(np.clip(x @ y.T, -1, 1)) <= rx[:, None] + ry[None, :] + reach
+                if batch.column(3)[n].as_py():  # a tile with itself
+                    close &= bx[:, None] < by[None, :]
+                i, j = np.nonzero(close)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), batch.column(0)[n].as_py(), np.int64)), pa.array(bx[i]), pa.array(by[j])], names=["component", "i", "j"])
+
+    pairs = left.join(right, ["component", "i", "j"]).select("component", "x", "y", (F.col("i") == F.col("j")).alias("same")).mapInArrow(near, "component long, i long, j long")
+    return staged(pairs.union(blocks.select("component", F.col("block").alias("i"), F.col("block").alias("j"))), "near-pairs")
+
+
+def _paired(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, same): the members of the near pairs of blocks."""
+    left = blocks.select("component", F.col("block").alias("i"), F.col("members").alias("x"))
+    right = blocks.select("component", F.col("block").alias("j"), F.col("members").alias("y"))
+    pairs = _near_pairs(blocks, threshold).join(left, ["component", "i"]).join(right, ["component", "j"])
+    return pairs.select("x", "y", (F.col("i") == F.col("j")).alias("same"))
+
+
+def _side(column, n):
+    """(reps, copies, unit vectors) of row ``n``'s members."""
+    a, b = column.offsets[n].as_py(), column.offsets[n + 1].as_py()
+    part = column.values.slice(a, b - a)
+    reps, copies, v = (part.field(i) for i in range(3))
+    return np.asarray(reps), np.asarray(copies), _unit(np.asarray(v.flatten()), b - a)
+
+
+def _group_links(classes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """(rep, links): for each class in a group, the vectors of other classes linked with it, by comparing
+    the blocks of its group that are near each other."""
+    blocks = _blocks(staged(classes.join(groups, classes["rep"] == groups["node"]).select("component", "rep", "copies", "v"), "members"))
 
+    def run(batches):
         for batch in batches:
             out = []
             for n in range(batch.num_rows):
-                (r, cr, x), (s, cs, y) = side(batch.column(0), n), side(batch.column(1), n)
+                (r, cr, x), (s, cs, y) = _side(batch.column(0), n), _side(batch.column(1), n)
                 near = x @ y.T >= threshold
                 near &= r[:, None] != s[None, :]
-                for ids, links, linked, others in ((r, near @ cs, near, s), (s, near.T @ cr, near.T, r)):
-                    hit = linked.any(axis=1)
-                    lowest = np.where(linked, others[None, :], np.iinfo(np.int64).max).min(axis=1) if len(others) else ids
-                    out.append((ids[hit], links[hit], np.minimum(lowest, ids)[hit]))
+                for ids, links in ((r, near @ cs), (s, near.T @ cr)):
+                    out.append((ids[links > 0], links[links > 0]))
                     if batch.column(2)[n].as_py():
                         break  # a block with itself: both sides are one
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(3)], names=["rep", "links", "lowest"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(2)], names=["rep", "links"])
+
+    return _paired(blocks, threshold).mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+def _spanning(near: np.ndarray, r: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, label) that connect what the links of two blocks connect, at most one for each node."""
+    far = np.iinfo(np.int64).max
+    rows, cols = np.where(near.any(axis=1), r, far), np.where(near.any(axis=0), s, far)
+    while True:
+        to_cols = np.minimum(cols, np.where(near, rows[:, None], far).min(axis=0))
+        to_rows = np.minimum(rows, np.where(near, to_cols[None, :], far).min(axis=1))
+        if (to_cols == cols).all() and (to_rows == rows).all():
+            break
+        rows, cols = to_rows, to_cols
+    return np.concatenate([r[rows < far], s[cols < far]]), np.concatenate([rows[rows < far], cols[cols < far]])
+
+
+def exact_groups(classes: DataFrame, threshold: float) -> DataFrame:
+    """(node, component) of all links: every space is cut into blocks, and blocks that bounds on their
+    centres and radii don't part are compared. The way out where the graph's rounds miss links."""
+    blocks = _blocks(classes.select(F.xxhash64("space").alias("component"), "rep", "copies", "v"))
+
+    def run(batches):
+        for batch in batches:
+            out = [(np.zeros(0, np.int64),) * 2]
+            for n in range(batch.num_rows):
+                (r, _, x), (s, _, y) = _side(batch.column(0), n), _side(batch.column(1), n)
+                if x.shape[1] == y.shape[1]:
+                    out.append(_spanning((x @ y.T >= threshold) & (r[:, None] != s[None, :]), r, s))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(2)], names=["a", "b"])
 
-    found = pairs.select("x", "y", (F.col("i") == F.col("j")).alias("same")).mapInArrow(run, "rep long, links long, lowest long")
-    return found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("lowest").alias("lowest"))
+    return components(staged(_paired(blocks, threshold).mapInArrow(run, "a long, b long").distinct(), "exact-links"))
 
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
@@ -370,7 +485,9 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, k: int = NEI
     Vectors of one label with cosine >= threshold are linked; n_links counts a vector's links and
     component_id is the smallest vec_id reachable. Vectors that can't be linked (see ``vectors_of``)
     have no links and are their own component. Rows that repeat a vec_id are one vector. A null
-    vec_id has a null component and is kept. Other columns are ignored.
+    vec_id has a null component and is kept. Equal vectors, however many, are one class of the graph;
+    labels are compared as texts of any length. An empty table gives an empty result. Other columns
+    are ignored.
     """
     vectors = staged(vectors_of(table), "vectors")
     classes = staged(classes_of(vectors), "classes")
@@ -382,8 +499,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, k: int = NEI
         if all(whole >= RECALL * n for whole, n in audited):
             break
     else:
-        (a, b), (c, d) = audited
-        warnings.warn(f"near_duplicates: links are missing. All links found for {a} of {b} audited vectors of large groups, {c} of {d} others", stacklevel=2)
+        groups = exact_groups(classes, threshold)
     links = staged(_group_links(classes, groups, threshold), "links")
     per_class = classes.select("rep", "copies").join(links.select("rep", "links"), "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
     per_class = per_class.select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -119,9 +119,51 @@ def test_audit_by_vector_sees_pairs_beside_a_dense_group(spark):
     assert whole == dense > 60 and found == 0 and others == 60
 
 
-def test_missing_links_are_said(spark, monkeypatch):
-    rows = given(3, 60, 16)
+def test_the_exact_way_where_the_graph_misses_links(spark, monkeypatch):
+    """A graph that finds nothing: blocks are compared, and all links and groups are there."""
+    rows = given(3, 240, 16)
     monkeypatch.setattr(embedding, "graph_groups", lambda classes, *_: classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0))
     monkeypatch.setattr(embedding, "RESTARTS", 1)
-    with pytest.warns(UserWarning, match="links are missing"):
-        embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    monkeypatch.setattr(embedding, "BLOCK", 24)
+    monkeypatch.setattr(embedding, "TILE", 2)
+    out = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == brute(rows)
+
+
+def test_spanning_edges_connect_what_links_do():
+    rng = np.random.default_rng(8)
+    for density in (0.02, 0.1, 0.5):
+        near = rng.random((30, 40)) < density
+        r, s = rng.permutation(1000)[:30], 1000 + rng.permutation(1000)[:40]
+        nodes, labels = embedding._spanning(near, r, s)
+
+        def groups(edges):
+            group = {int(x): {int(x)} for x in (*r, *s)}
+            for a, b in edges:
+                whole = group[int(a)] | group[int(b)]
+                for x in whole:
+                    group[x] = whole
+            return {frozenset(g) for g in group.values()}
+
+        i, j = np.nonzero(near)
+        assert groups(zip(nodes, labels, strict=True)) == groups(zip(r[i], s[j], strict=True)) and len(nodes) <= 70
+
+
+def test_a_component_with_a_third_of_all_rows_is_cut_into_small_blocks(spark, monkeypatch):
+    """A long chain of vectors: blocks are bounded, and blocks that are far apart are not compared."""
+    monkeypatch.setattr(embedding, "BLOCK", 32)
+    n = 1500
+    angle = np.arange(n) * 0.004
+    chain = np.stack([np.cos(angle), np.sin(angle), np.full(n, 0.01), np.zeros(n)], 1)
+    rows = [(i, v.astype(float).tolist()) for i, v in enumerate(chain)]
+    members = spark.createDataFrame([(0, i, 1, v) for i, v in rows] + [(9, 5000, 1, [0.0, 0.0, 0.0, 1.0])], "component long, rep long, copies long, v array<double>")
+    blocks = embedding._blocks(members).cache()
+    sizes = [len(r["members"]) for r in blocks.collect()]
+    assert sum(sizes) == n + 1 and max(sizes) <= 3 * 32
+    pairs = embedding._near_pairs(blocks, 0.98)
+    assert pairs.count() < 0.5 * len(sizes) * (len(sizes) + 1) / 2 and pairs.distinct().count() == pairs.count()
+    classes = members.select(F.lit("s").alias("space"), "rep", "copies", "v")
+    groups = spark.createDataFrame([(i, 0) for i in range(n)], "node long, component long")
+    got = {r["rep"]: r["links"] for r in embedding._group_links(classes, groups, 0.98).collect()}
+    x = chain / np.linalg.norm(chain, axis=1)[:, None]
+    assert got == {i: int(c) - 1 for i, c in enumerate((x @ x.T >= 0.98).sum(axis=1))}
