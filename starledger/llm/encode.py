@@ -29,6 +29,9 @@ JOINED_WORDS = 100
 _ODD_SPACE = re.compile(r"[^\S \n]")
 #: Marks that can follow a word (the apostrophe, which may begin a suffix, isn't one).
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What byte-level vocabularies write for each byte: printable ones as they are, the rest from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 #: The signs that a string begins with, letters apart: no normaliser makes them from letters.
 _SIGNS = re.compile(r"[^\w\s]*")
 
@@ -59,11 +62,19 @@ class TextEncoder:
         (self._mark_id,) = self._tokenizer.encode(self._mark, add_special_tokens=False).ids
         self._tails: dict[str, bytes] = {}
         self._ignores_case = self._encode(["A"]) == self._encode(["a"])
+        self._model = self._tokenizer.model
+        probes = ["word", "einführung", "évaluation", "ñandú", "zzqxj", "a"]
+        self._splits_nothing = [self._of_letters(w) for w in probes] == self._encode([" " * keeps_space + w for w in probes])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _of_letters(self, word: str) -> bytes:
+        """Ids of a word that is letters alone: nothing to normalise or to split, so the model takes its bytes."""
+        raw = (" " + word if self._keeps_space else word).encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return array("I", [t.id for t in self._model.tokenize(raw)]).tobytes()
+
     def _learn(self, new: set[str]) -> None:
         """Put the ids of words into the memo. Marks after a letter are split from it before ids are looked
         up, so a word that ends in some has the ids of the word without them, and theirs. (The dotted
@@ -89,6 +100,10 @@ class TextEncoder:
                     memo[base] = older[base]
                 else:
                     words[base] = None
+        if self._splits_nothing:
+            plain = [w for w in words if w.isalpha() and max(w) < "\u0100"]
+            memo.update(zip(plain, map(self._of_letters, plain), strict=True))
+            words = [w for w in words if w not in memo]
         words = list(words)
         for i in range(0, len(words), JOINED_WORDS):
             part = words[i : i + JOINED_WORDS]
