@@ -89,6 +89,7 @@ def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """Collapse and render ``conversations`` (conv_id, turn, role, text); other columns are ignored and
-    an empty table gives an empty result."""
+    an empty table gives an empty result. Texts are rendered whole, however long; a conversation of very
+    many turns comes in parts, each a row."""
     turns = staged(turns_of(conversations), "turns")
     return render(turns, staged(maximal(turns), "kept"))

@@ -182,7 +182,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     component_id is the smallest doc_id reachable by links (100 * intersection >= percent * union of
     the shingle sets). Texts that are null or without words link with nothing. Rows that repeat a
     doc_id are one document. A row without doc_id isn't linked: its component_id is null, it is kept.
-    Other columns are ignored; an empty table gives an empty result.
+    Whole texts count, however long; equal texts, however many, are one class and link by it. Sketches
+    that tie keep the values that are smallest, in any order of the rows. Other columns are ignored; an
+    empty table gives an empty result.
     """
     features = staged(sketches(docs, words, k), "sketches")
     known = features.where("doc_id is not null and n_shingles > 0")
