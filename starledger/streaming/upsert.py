@@ -93,11 +93,11 @@ class ActEstTable:
 
     def upsert(self, batch: DataFrame, column: str) -> None:
         """Apply one batch of changes to the months it touches."""
-        changes = latest_changes(batch, column)
-        months = [r["date"] for r in batch.select("date").distinct().collect()]  # of one batch
-        if not months:
+        changes = latest_changes(batch.where("date is not null"), column)
+        touched = batch.select("date", fiscal_year("date").alias("fiscal_year")).where("date is not null").distinct().collect()  # months of one batch
+        if not touched:
             return
-        current = self._stored().where(F.col("date").isin(months) & F.col("fiscal_year").isin(sorted({(m.year + (m.month > 8)) for m in months})))
+        current = self._stored().where(F.col("date").isin([r["date"] for r in touched]) & F.col("fiscal_year").isin(sorted({r["fiscal_year"] for r in touched})))
         merged = shared_dir(self.spark, "act-est-batch")
         merge_changes(current, changes, column).write.parquet(merged)
         self._write(self.spark.read.parquet(merged), self.root, "dynamic")
