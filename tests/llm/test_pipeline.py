@@ -84,3 +84,35 @@ def test_queries_equal_their_sql(spark, name):
     assert columns == sorted(got.columns)
     a, b = (x[columns].sort_values(columns).reset_index(drop=True).astype(str) for x in (want, got))
     assert a.equals(b)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, words string, seeds int, component_id long, piece string"
+
+
+def through(spark, docs, tmp_path):
+    out = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        out.append(docs)
+    return out
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, columns with the operators' own names."""
+    plain = [(i, f"the {i} quick brown foxes number {i * 7} jump over {i * 11} lazy dogs of {i} in the field", "en") for i in range(40)]
+    texts = [(None, "a document without any id stays in the corpus", "en"), (100, None, "en"), (101, "", None), (102, "12 34 !!", "en"), (103, "long text of the field " * 40_000, "en"), (104, "the very same text twice over here", "en"), (104, "the very same text twice over here", "en"), (105, "the very same text twice over here", "en")]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t or ""), "w", 1, 7, "p") for i, t, x in plain + texts], ODD).repartition(5)
+    language, near, leaks, packed = through(spark, docs, tmp_path)
+    assert all(step.columns == docs.columns for step in (language, near, leaks))
+    assert {r["doc_id"] for r in language.collect()} == {None, *range(40), 103, 104, 105}
+    assert {r["doc_id"] for r in near.collect()} == {None, *range(40), 103, 104}
+    assert {r["doc_id"] for r in leaks.collect()} == {None, *range(40), 103, 104}
+    assert {r["doc_id"] for r in packed.collect()} == {None, *range(40), 103, 104}
+
+
+def test_no_rows_and_no_labels_through_all_stages(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "no language is known here", None, "s", 1, "w", 1, 7, "p")], ODD)
+    for part, name in ((docs.limit(0), "none"), (docs, "unlabelled")):
+        (tmp_path / name).mkdir()
+        assert [step.count() for step in through(spark, part, tmp_path / name)] == [0, 0, 0, 0]
