@@ -167,3 +167,34 @@ def test_a_market_filter_prunes_row_groups(spark, tmp_path):
             s = meta.row_group(g).column(column).statistics
             groups, hit = groups + 1, hit + (s.min <= P.market <= s.max)
     assert groups >= 100 and hit <= 0.25 * groups
+
+
+def test_large_tables_are_not_broadcast(spark, tiny_model, tmp_path, monkeypatch):
+    """Compressed files say little about the rows a driver would hold: tables with many rows are merged, though
+    their files are under Spark's limit for broadcasts; those with few are still broadcast."""
+    from starledger.plans import supply
+    from starledger.plans.summary import build_market_months
+    from starledger.plans.views import net_sales
+    from starledger.sources import star
+
+    def plans(m):
+        frames = [build_market_months(m), net_sales(m, P.fiscal_year), supply.forecast_accuracy(m.fact_act_est, m.dim_customer, P.fiscal_year)]
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # above any file here, below the estimate of a join of two
+        try:
+            return [f._jdf.queryExecution().sparkPlan().toString() for f in frames]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+    star.write_star(tiny_model, f"{tmp_path}/small")
+    assert all("BroadcastHashJoin" in p for p in plans(star.load_star(spark, f"{tmp_path}/small")))
+    monkeypatch.setattr(star, "BROADCAST_BYTES", 1000)
+    star.write_star(tiny_model, f"{tmp_path}/large")
+    large = star.load_star(spark, f"{tmp_path}/large")
+    assert not any("Broadcast" in p for p in plans(large))
+    for t in star.STAR_TABLES:
+        tiny_model.tables()[t].write.parquet(f"{tmp_path}/plain/{t}")
+    plain = star.load_star(spark, f"{tmp_path}/plain")
+    assert not any("Broadcast" in p for p in plans(plain.replace(fact_act_est=large.fact_act_est)))
+    assert sorted(map(tuple, net_sales(large).collect())) == sorted(map(tuple, net_sales(tiny_model).collect()))
+    assert "BroadcastHashJoin" not in star.derive_sales_grain(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()

@@ -49,3 +49,9 @@ def test_reports_read_the_summary_not_the_fact(spark, stored):
     assert "market_months" in plan and "fact_sales_monthly" not in plan
     other = stored.replace(dim_customer=stored.dim_customer.where("customer_code < 10"))
     assert other.market_months is None and other.sales_by_market is None
+
+
+def test_months_hold_no_bitmaps(spark, stored):
+    """A summary that is no larger than the (month, customer) pairs of the sales."""
+    assert not [k for _, k in stored.market_months.dtypes if k == "binary"]
+    assert stored.market_months.count() == stored.fact_sales_monthly.select("date", "customer_code").distinct().count()
