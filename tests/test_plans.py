@@ -145,6 +145,16 @@ def test_another_session_reads_the_bucketed_tables(spark, stored, tiny_model, tm
     assert star.buckets_for(0) == star.LEAST_BUCKETS and star.buckets_for(10**14) == star.MOST_BUCKETS and star.buckets_for(10**9) == 128
 
 
+def test_buckets_hold_few_rows_before_they_grow():
+    """A task sorts a whole bucket: 36 million rows in 8 of them did not fit a heap of 1 GB."""
+    from starledger.sources import star
+
+    assert star.buckets_for(600_000) == star.LEAST_BUCKETS
+    for rows in (9_000_000, 36_000_000, 100_000_000):
+        assert rows / star.buckets_for(rows) <= star.BUCKET_ROWS
+    assert star.buckets_for(10**8) == star.buckets_for(10**9) == star.SMALL_BUCKETS
+
+
 def test_a_market_filter_prunes_row_groups(spark, tmp_path):
     """Sales lie by market: a market's report reads a small share of the row groups of a year."""
     import pyarrow.parquet as pq
