@@ -1,7 +1,7 @@
-"""Audits of a whole schema in one shuffle: functional dependencies and foreign keys.
+"""Audits of a whole schema: functional dependencies and foreign keys.
 
-Both turn the rows of all tables into small (rule, key) rows, reduce them on the map side and meet once:
-no join, and a hot key collapses before it is sent.
+Both turn the rows of all tables into small key rows, reduce them on the map side and meet once, dependencies
+by (rule, key), foreign keys edge by edge: no join, and a hot key collapses before it is sent.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -63,20 +64,25 @@ def dependency_violations(rules: Sequence[Dependency]) -> DataFrame:
     return seen.where("_least <> _greatest").select("dependency", "key_value", "row_count")
 
 
+def _edge_orphans(edge: Edge) -> DataFrame:
+    """Columns of one type, or of integers, are compared as such: rows of a fixed width, as text only where a key
+    is reported. Others are compared as text."""
+    columns, parent_columns = edge.columns, edge.parent_columns or edge.columns
+    kinds = [(edge.child.schema[c].dataType, edge.parent.schema[p].dataType) for c, p in zip(columns, parent_columns, strict=True)]
+    typed = [a == b or isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType) for a, b in kinds]
+    names = [f"_k{i}" for i in range(len(columns))]
+
+    def keys(table: DataFrame, of: Sequence[str], parent: int) -> DataFrame:
+        return table.select(*((F.col(c) if t else F.col(c).cast("string")).alias(n) for c, t, n in zip(of, typed, names)), F.lit(parent).alias("_parent"))
+
+    rows = keys(edge.child, columns, 0).union(keys(edge.parent, parent_columns, 1).dropna(subset=names))
+    met = rows.groupBy(*names).agg(F.max("_parent").alias("_parent"), F.count_if(F.col("_parent") == 0).alias("row_count"))
+    return met.where("_parent = 0").select(F.lit(edge.name).alias("edge"), _key(names).alias("key_value"), "row_count")
+
+
 def orphans(edges: Sequence[Edge]) -> DataFrame:
     """(edge, key_value, row_count): child keys without a parent, and the rows that an inner join drops.
 
     A null in a key joins nothing, so such a key is an orphan; its nulls show as empty.
     """
-    parts = []
-    for child in {id(e.child): e.child for e in edges}.values():
-        mine = [e for e in edges if e.child is child]
-        structs = [F.struct(F.lit(e.name).alias("edge"), _key(e.columns).alias("key_value"), F.array_contains(F.array(*(F.col(c).isNull() for c in e.columns)), True).alias("_none"), F.lit(0).alias("_parent")) for e in mine]
-        parts.append(_stacked(child, structs))
-    for parent in {id(e.parent): e.parent for e in edges}.values():
-        mine = [e for e in edges if e.parent is parent]
-        structs = [F.struct(F.lit(e.name).alias("edge"), _key(e.parent_columns or e.columns).alias("key_value"), F.array_contains(F.array(*(F.col(c).isNull() for c in e.parent_columns or e.columns)), True).alias("_none"), F.lit(1).alias("_parent")) for e in mine]
-        parts.append(_stacked(parent, structs).where(~F.col("_none")))
-    rows = functools.reduce(DataFrame.unionByName, parts)
-    met = rows.groupBy("edge", "key_value", "_none").agg(F.max("_parent").alias("_parent"), F.count_if(F.col("_parent") == 0).alias("row_count"))
-    return met.where("_parent = 0").select("edge", "key_value", "row_count")
+    return functools.reduce(DataFrame.unionByName, map(_edge_orphans, edges))
