@@ -208,3 +208,18 @@ def test_large_tables_are_not_broadcast(spark, tiny_model, tmp_path, monkeypatch
     assert not any("Broadcast" in p for p in plans(plain.replace(fact_act_est=large.fact_act_est)))
     assert sorted(map(tuple, net_sales(large).collect())) == sorted(map(tuple, net_sales(tiny_model).collect()))
     assert "BroadcastHashJoin" not in star.derive_sales_grain(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_sales_are_exchanged_twice_at_most(spark, stored):
+    """Rows of sales go by customer and by product; names and attributes join them last."""
+    from starledger.plans.summary import build_market_months
+
+    builds = {"net_invoice_sales": lambda: revenue.net_invoice_sales(stored, P.fiscal_year), "market months": lambda: build_market_months(stored)}
+    for name, build in builds.items():
+        _, plan = _physical(spark, build)
+        above = _above(plan, "fact_sales_monthly")
+        reduced = next((i for i, node in enumerate(above) if node.startswith(("HashAggregate", "ObjectHashAggregate"))), len(above))
+        exchanges = [node for node in above[:reduced] if node.startswith("Exchange")]
+        assert len(exchanges) <= 2, (name, exchanges)
+        scans = [node for node in exchanges if "product_code" in node or "customer_code" in node]
+        assert scans == exchanges and sum("Join" in node for node in above[:reduced]) <= 2, name

@@ -64,3 +64,24 @@ def test_a_star_build_and_its_reports_are_cut_by_rows(spark, settings, tmp_path,
     plan = finance.monthly_gross_sales_customers(star, (1, 2))._jdf.queryExecution().toString()
     assert ", 20)" in plan and ", 4)" not in plan
     assert views.net_sales(star).agg({"sold_quantity": "sum"}).first()[0] == sum(row[2] for row in tables["lineitem"])
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_a_build_leaves_neither_shuffle_files_nor_the_grain(spark, settings, tmp_path):
+    mode, before = spark.conf.get(session.FREED, None), _shuffle_files(spark)
+    build_star(spark, "/root/testdata/sf0.001", f"{tmp_path}/star")
+    assert _shuffle_files(spark) <= before
+    assert spark.conf.get(session.FREED, None) == mode
+    assert not (tmp_path / "star" / "_sales_grain").exists() and (tmp_path / "star" / "market_months").exists()
+
+
+def test_the_setting_comes_back_after_an_error(spark):
+    mode = spark.conf.get(session.FREED, None)
+    with pytest.raises(ZeroDivisionError), session.shuffles_freed(spark):
+        assert spark.conf.get(session.FREED) == "true"
+        1 / 0
+    assert spark.conf.get(session.FREED, None) == mode

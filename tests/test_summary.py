@@ -55,3 +55,17 @@ def test_months_hold_no_bitmaps(spark, stored):
     """A summary that is no larger than the (month, customer) pairs of the sales."""
     assert not [k for _, k in stored.market_months.dtypes if k == "binary"]
     assert stored.market_months.count() == stored.fact_sales_monthly.select("date", "customer_code").distinct().count()
+
+
+def test_market_months_of_keys_that_repeat_or_lack(spark):
+    """Each of several rows of a customer, product or price counts; sales without one of them don't."""
+    from helpers import D, model
+
+    customers = [(1, "c", "p", "ch", "M", "z", "R"), (1, "c", "p", "ch", "M", "z", "R"), (1, "c", "p", "ch", "N", "z", "R"), (2, "d", "p", "ch", None, "z", "R")]
+    products = [(1, "d", "s", "c", "a", "v"), (2, "d", "s", "c", "b", "v"), (2, "d", "s", "c", "b", "w")]
+    sales = [(D(1997, 10, 1), 1, 1, 5), (D(1997, 10, 1), 2, 1, 7), (D(1997, 10, 1), 2, 1, None), (D(1997, 11, 1), 1, 2, 3), (D(1997, 11, 1), 3, 2, 3), (D(1997, 11, 1), 1, 9, 3), (D(1997, 11, 1), None, None, 4)]
+    m = model(spark, customers, products, sales, [(1, 1998, 2.5), (2, 1998, 1.5), (2, 1998, 4), (3, 1998, 9)])
+    got = summary.build_market_months(m)
+    want = revenue_star(m).groupBy("date", "fiscal_year", *summary.ATTRIBUTES, "customer_code").agg(F.sum("rev").alias("rev"), F.count("rev").alias("n"), F.sum("sold_quantity").alias("quantity"))
+    assert got.dtypes == want.dtypes and got.count() == 3
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
